@@ -6,8 +6,9 @@ content ends, so text, siblings and children are slices of one list.
 
 from __future__ import annotations
 
+import html
+import re
 from collections import Counter
-from html.parser import HTMLParser
 
 from postmill.functions import fixed_values as fv
 
@@ -18,96 +19,107 @@ VOID = set(
 )
 NO_TEXT = {"script", "style", "template", "rt", "rp"}
 
+_MARKUP = re.compile(
+    r"<!--.*?-->|<[!?][^>]*>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>",
+    re.S,
+)
+_RAW_TEXT_END = {t: re.compile(f"</{t}", re.I) for t in ("script", "style")}
+_CLASS = re.compile(r"""(?is)(?:^|\s)class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+
 
-class Outline(HTMLParser):
-    """Entries are ``[tag, attributes, text, parent, end]``; text entries have no tag."""
+class Outline:
+    """Parallel lists over entries; a text entry has no tag, entry 0 is the page itself."""
 
-    def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
-        self.entries = [["", {}, None, -1, 0]]
+    def __init__(self, page: str):
+        self.tag: list[str | None] = [""]
+        self.content = [""]  # text of a text entry, attributes of an element
+        self.parent = [-1]
+        self.end = [0]
         self._open = [0]
         self._open_tags: Counter[str] = Counter()
-        self._pending: list[str] = []
-        self.feed(html)
-        self.close()
-        self._end_text()
+        self._read(page)
         while self._open:
-            self.entries[self._open.pop()][4] = len(self.entries)
-
-    def _end_text(self):
-        if self._pending:
-            text = "".join(self._pending)
-            self._pending.clear()
-            self.entries.append([None, {}, text, self._open[-1], len(self.entries) + 1])
-
-    def handle_data(self, data):
-        self._pending.append(data)
-
-    def handle_comment(self, data):
-        self._end_text()
-
-    handle_decl = handle_pi = unknown_decl = handle_comment
-
-    def handle_starttag(self, tag, attrs):
-        self._end_text()
-        names = {}
-        for name, value in attrs:
-            names.setdefault(name, value or "")
-        at = len(self.entries)
-        self.entries.append([tag, names, None, self._open[-1], at + 1])
-        if tag not in VOID:
-            self._open.append(at)
+            self.end[self._open.pop()] = len(self.tag)
+
+    def _add(self, tag: str | None, content: str) -> int:
+        self.tag.append(tag)
+        self.content.append(content)
+        self.parent.append(self._open[-1])
+        self.end.append(len(self.tag))
+        return len(self.tag) - 1
+
+    def _read(self, page: str) -> None:
+        at = 0
+        while at < len(page):
+            markup = _MARKUP.search(page, at)
+            upto = markup.start() if markup else len(page)
+            if upto > at:
+                text = page[at:upto]
+                self._add(None, html.unescape(text) if "&" in text else text)
+            if not markup:
+                return
+            at = markup.end()
+            if markup["tag"]:
+                tag = markup["tag"].lower()
+                if markup["end"]:
+                    self._close(tag)
+                else:
+                    self._start(tag, markup["rest"])
+                    if tag in _RAW_TEXT_END and self._open_tags[tag]:
+                        stop = _RAW_TEXT_END[tag].search(page, at)
+                        upto = stop.start() if stop else len(page)
+                        if upto > at:
+                            self._add(None, page[at:upto])
+                        at = upto
+
+    def _start(self, tag: str, rest: str) -> None:
+        entry = self._add(tag, rest)
+        if tag not in VOID and not rest.endswith("/"):
+            self._open.append(entry)
             self._open_tags[tag] += 1
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
-        self._end_text()
-        closed = not self._open_tags[tag]  # an end tag without a start is ignored
+    def _close(self, tag: str) -> None:
+        """Close up to the element; an end tag without a start is ignored."""
+        closed = not self._open_tags[tag]
         while not closed:
-            at = self._open.pop()
-            self.entries[at][4] = len(self.entries)
-            self._open_tags[self.entries[at][0]] -= 1
-            closed = self.entries[at][0] == tag
+            entry = self._open.pop()
+            self.end[entry] = len(self.tag)
+            self._open_tags[self.tag[entry]] -= 1
+            closed = self.tag[entry] == tag
 
     # -- queries -------------------------------------------------------------
 
-    def all(self, tag, inside=0):
-        last = self.entries[inside][4]
-        return (i for i in range(inside + 1, last) if self.entries[i][0] == tag)
-
-    def next_siblings(self, at):
-        parent, i = self.entries[at][3], self.entries[at][4]
-        last = self.entries[parent][4]
-        while i < last:
-            if self.entries[i][0] is not None:
-                yield i
-            i = self.entries[i][4]
-
-    def children(self, at):
-        i, last = at + 1, self.entries[at][4]
-        while i < last:
-            if self.entries[i][0] is not None:
-                yield i
-            i = self.entries[i][4]
-
-    def pieces(self, at=0):
+    def all(self, tag: str, inside: int = 0):
+        return (i for i in range(inside + 1, self.end[inside]) if self.tag[i] == tag)
+
+    def _elements(self, at: int, last: int):
+        while at < last:
+            if self.tag[at] is not None:
+                yield at
+            at = self.end[at]
+
+    def next_siblings(self, at: int):
+        return self._elements(self.end[at], self.end[self.parent[at]])
+
+    def children(self, at: int):
+        return self._elements(at + 1, self.end[at])
+
+    def pieces(self, at: int = 0):
         """Text pieces; hidden text counts only when asked for its own element."""
-        own = self.entries[at][0]
-        for _, _, text, parent, _ in self.entries[at:self.entries[at][4]]:
-            if text is not None:
-                holder = self.entries[parent][0]
+        own = self.tag[at]
+        for i in range(at, self.end[at]):
+            if self.tag[i] is None:
+                holder = self.tag[self.parent[i]]
                 if holder not in NO_TEXT or holder == own:
-                    yield text
+                    yield self.content[i]
 
-    def text(self, at=0, sep=""):
+    def text(self, at: int = 0, sep: str = "") -> str:
         return sep.join(p for p in (x.strip() for x in self.pieces(at)) if p)
 
-    def css(self, at):
-        return self.entries[at][1].get("class", "")
+    def css(self, at: int) -> str:
+        found = _CLASS.search(self.content[at])
+        return html.unescape(found[1] or found[2] or found[3] or "") if found else ""
 
 
 def _heading(page: Outline, word: str):
@@ -122,7 +134,7 @@ def _after_heading(page: Outline, word: str, tag: str, css_class: str | None, se
     later = list(page.next_siblings(at))
     fitting = (
         i for i in later
-        if page.entries[i][0] == tag and (css_class is None or css_class in page.css(i).split())
+        if page.tag[i] == tag and (css_class is None or css_class in page.css(i).split())
     )
     found = next(fitting, later[0] if later else None)
     return None if found is None else page.text(found, sep)
@@ -132,7 +144,7 @@ def _sidebar(page: Outline):
     at = _heading(page, fv.SIDEBAR_HEADING)
     rows = []
     if at is not None:
-        for div in page.all("div", inside=page.entries[at][3]):
+        for div in page.all("div", inside=page.parent[at]):
             if all(w in page.css(div) for w in fv.SIDEBAR_ROW_CLASSES):
                 cells = list(page.children(div))[:2]
                 if len(cells) == 2:
@@ -157,9 +169,9 @@ def _box_numbers(page: Outline):
     return numbers
 
 
-def section_row(html: str) -> dict:
+def section_row(body: str) -> dict:
     """Raw fields of a server-rendered page; the rest is done by column expressions."""
-    page = Outline(html)
+    page = Outline(body)
     return {
         "description": _after_heading(page, fv.DESCRIPTION_HEADING, "div", fv.SECTION_CLASS, "\n"),
         "requirements": _after_heading(page, fv.REQUIREMENTS_HEADING, "div", fv.SECTION_CLASS, "\n"),
@@ -170,14 +182,14 @@ def section_row(html: str) -> dict:
     }
 
 
-def loose_row(html: str) -> dict:
+def loose_row(body: str) -> dict:
     """Title and sections by headings that merely contain the word; missing sections are empty."""
-    page = Outline(html)
+    page = Outline(body)
 
     def section(word):
         for h in page.all("h2"):
-            first = next((e[2] for e in page.entries[h + 1:page.entries[h][4]]
-                          if e[2] is not None and e[3] == h), "")
+            first = next((page.content[i] for i in range(h + 1, page.end[h])
+                          if page.tag[i] is None and page.parent[i] == h), "")
             if word in first:
                 after = next(page.next_siblings(h), None)
                 if after is not None:

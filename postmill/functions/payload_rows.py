@@ -141,18 +141,9 @@ def _scalar(value) -> dict | None:
     return {"value": str(int(value) if isinstance(value, bool) else value), "is_number": number}
 
 
-def payload_row(html: str) -> dict:
-    """Raw payload fields and the meta description; ``payload`` tells how far reading came."""
-    page = Outline(html)
-    meta = next((i for i in page.all("meta")
-                 if page.entries[i][1].get("property") == "og:description"), None)
-    row = {"meta": None if meta is None else page.entries[meta][1].get("content"), "payload": "none"}
-    script = next(
-        (text for i in page.all("script")
-         if fv.PAYLOAD_MARKER in (text := "".join(page.pieces(i)))), None)
-    if script is None:
-        return row
-    row["payload"] = "unreadable"
+def payload_row(script: str) -> dict:
+    """Raw payload fields; ``payload`` tells whether the posting object was found."""
+    row = {"payload": "unreadable"}
     payload = Payload(script)
     outer = payload.body and payload.object_at(payload.field(payload.body, fv.PAYLOAD_OUTER))
     inner = outer and payload.object_at(payload.field(outer, fv.PAYLOAD_INNER))

@@ -105,6 +105,6 @@ def apply_cutoff(log: DataFrame, as_of: Column | datetime.date | str, target_day
     """
     stop = cutoffs(log, as_of, target_days, streak, distinct_urls, max_scrolls)
     cards = _within(log, max_scrolls)
-    first = dedupe_first_wins(cards, "url", ["scroll_no", "pos"], within=CRAWL)
+    first = dedupe_first_wins(cards, "url", ["scroll_no", "pos"], within=CRAWL)  # cards without URL stay
     kept = cards.groupBy(*SCROLL).agg(F.lit(1)).join(stop, CRAWL).filter(F.col("scroll_no") <= F.col("cutoff"))
     return first.join(kept.select(*SCROLL), SCROLL, "left_semi").select(*log.columns)

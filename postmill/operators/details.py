@@ -22,6 +22,7 @@ from postmill.functions.html_rows import loose_row, section_row
 from postmill.functions.numbers import first_compact_number, salary_span
 from postmill.functions.payload_rows import payload_row
 from postmill.schemas import DETAIL_FIELDS
+from postmill.sources.staging import spread
 
 # The page helpers travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(postmill)
@@ -40,7 +41,6 @@ SECTION_RAW = T.StructType([
 ])
 PAYLOAD_RAW = T.StructType([
     T.StructField("payload", _S),
-    T.StructField("meta", _S),
     T.StructField("text", _S),
     T.StructField("text_length", T.LongType()),
     T.StructField("category", _S),
@@ -60,15 +60,31 @@ class Site:
     kind: str  # "sections" or "payload"
 
 
+def payload_script(html: Column) -> Column:
+    """The first script that holds the payload marker, NULL when there is none."""
+    scripts = F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*>(.*?)</script"), 1)
+    found = F.try_element_at(F.filter(scripts, lambda s: s.contains(fv.PAYLOAD_MARKER)), F.lit(1))
+    return F.when(html.contains(fv.PAYLOAD_MARKER), found)
+
+
+def meta_description(html: Column) -> Column:
+    """Content of the first ``og:description`` tag."""
+    tag = r"(?is)<meta\b[^>]*\sproperty\s*=\s*[\"']?og:description[\"'\s/>][^>]*>?"
+    content = r"(?is)\scontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
+    first = F.regexp_extract(html, tag, 0)
+    value = F.concat(F.regexp_extract(first, content, 1), F.regexp_extract(first, content, 2))
+    return F.when(html.contains("og:description"), F.nullif(text.decode_entities(value), F.lit("")))
+
+
 def parse_pages(pages: DataFrame, parsers: dict[str, tuple[Callable[[str], dict], T.StructType]],
                 keys: Sequence[str]) -> DataFrame:
-    """Run the parser named by column ``kind`` on column ``html``.
+    """Run the parser named by column ``kind`` on column ``body``; a NULL body is left alone.
 
     The result has the keys, one struct per parser (NULL for the others) and ``error``. A page
     that cannot be read gives an error, not a failed task. Arrow batches are bounded in bytes by
     ``spark.sql.execution.arrow.maxBytesPerBatch``.
     """
-    source = pages.select(*keys, "kind", "html")
+    source = pages.select(*keys, "kind", "body")
     schema = T.StructType([
         *[source.schema[k] for k in keys],
         *[T.StructField(name, raw) for name, (_, raw) in parsers.items()],
@@ -77,16 +93,18 @@ def parse_pages(pages: DataFrame, parsers: dict[str, tuple[Callable[[str], dict]
     arrow = to_arrow_schema(schema)
     functions = {name: parser for name, (parser, _) in parsers.items()}
 
+    def parse_one(kind, body):
+        if body is None:
+            return {}
+        try:
+            return {kind: functions[kind](body)}
+        except Exception as e:  # noqa: BLE001 - a bad page must not fail the job
+            return {"error": f"{type(e).__name__}: {e}"}
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for kind, html in zip(batch.column("kind").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                row = {}
-                try:
-                    row[kind] = functions[kind](html)
-                except Exception as e:  # noqa: BLE001 - a bad page must not fail the job
-                    row["error"] = f"{type(e).__name__}: {e}"
-                rows.append(row)
+            rows = [parse_one(k, b) for k, b in zip(
+                batch.column("kind").to_pylist(), batch.column("body").to_pylist(), strict=True)]
             parsed = pa.RecordBatch.from_pylist(rows, pa.schema(list(arrow)[len(keys):]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(k) for k in keys] + parsed.columns, schema=arrow)
@@ -106,22 +124,27 @@ def label_values(sidebar: Column) -> dict[str, Column]:
     return {field: last_value(word, words[:i]) for i, (word, field) in enumerate(fv.SIDEBAR_LABELS)}
 
 
-def section_fields(raw: Column) -> dict[str, Column]:
-    side = label_values(raw["sidebar"])
-    page_text = F.array_join(raw["nodes"], "")
-    return {
-        "description": raw["description"],
-        "requirements": raw["requirements"],
-        "job_type": F.coalesce(
-            F.nullif(side["job_type"], F.lit("")),
-            text.first_word_in_order(page_text, fv.JOB_TYPE_WORDS), side["job_type"]),
+def with_section_fields(parsed: DataFrame, raw: str = "sections") -> DataFrame:
+    """Fields of server-rendered pages. The page text is joined once, as a column of its own."""
+    section = F.col(raw)
+    side = label_values(section["sidebar"])
+    texts = parsed.withColumns({
+        "_text": F.array_join(section["nodes"], ""),
+        "_spaced": F.array_join(section["nodes"], " "),
+        "_type": side["job_type"],
+    })
+    return texts.withColumns({
+        "description": section["description"],
+        "requirements": section["requirements"],
+        "job_type": F.coalesce(F.nullif(F.col("_type"), F.lit("")),
+                               text.first_word_in_order(F.col("_text"), fv.JOB_TYPE_WORDS), "_type"),
         "job_level": side["job_level"],
         "education": side["education"],
-        "category": raw["category"],
-        "salary": salary_span(F.array_join(raw["nodes"], " ")),
+        "category": section["category"],
+        "salary": salary_span(F.col("_spaced")),
         "deadline": side["deadline"],
-        "views": first_compact_number(raw["numbers"]),
-    }
+        "views": first_compact_number(section["numbers"]),
+    }).drop("_text", "_spaced", "_type")
 
 
 # -- payload pages -------------------------------------------------------------
@@ -219,7 +242,7 @@ def meta_fallback(description: Column, meta: Column) -> Column:
 
 
 def with_payload_fields(parsed: DataFrame, raw: str = "payload") -> DataFrame:
-    """Payload fields, labels found in the text, then the meta fallback."""
+    """Payload fields, labels found in the text, then column ``meta`` as fallback."""
     payload = F.col(raw)
     plain = parsed.withColumns({
         "_full": F.when(payload["text_length"] > 10, payload["text"]),
@@ -231,7 +254,7 @@ def with_payload_fields(parsed: DataFrame, raw: str = "payload") -> DataFrame:
     return cut.withColumn("_both", F.when(F.col("description") != "", both)).withColumns({
         "job_type": text.first_label_in_order(F.col("_both"), fv.JOB_TYPE_LABELS),
         "education": text.first_label_in_order(F.col("_both"), fv.EDUCATION_LABELS),
-        "description": meta_fallback(F.col("description"), payload["meta"]),
+        "description": meta_fallback(F.col("description"), F.col("meta")),
     }).drop("_full", "_both")
 
 
@@ -239,30 +262,24 @@ def with_payload_fields(parsed: DataFrame, raw: str = "payload") -> DataFrame:
 
 def section_details(pages: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
     """Detail fields of server-rendered pages."""
-    parsed = parse_pages(pages.withColumn("kind", F.lit("sections")),
-                         {"sections": (section_row, SECTION_RAW)}, keys)
-    return parsed.select(*keys, *[c.alias(n) for n, c in section_fields(F.col("sections")).items()], "error")
+    bodies = spread(pages, *keys).select(*keys, F.lit("sections").alias("kind"), F.col("html").alias("body"))
+    parsed = parse_pages(bodies, {"sections": (section_row, SECTION_RAW)}, keys)
+    return with_section_fields(parsed).select(*keys, *DETAIL_FIELDS, "error")
 
 
 def payload_details(pages: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
-    """Detail fields of payload pages.
-
-    Pages that hold neither the payload marker nor a meta description never reach Python.
-    """
-    worth = F.col("html").contains(fv.PAYLOAD_MARKER) | F.col("html").contains("og:description")
-    parsed = parse_pages(pages.filter(worth).withColumn("kind", F.lit("payload")),
-                         {"payload": (payload_row, PAYLOAD_RAW)}, keys)
-    found = with_payload_fields(parsed).select(
-        *keys, *DETAIL_FIELDS, F.col("payload.payload").alias("payload"), "error")
-    rest = pages.filter(~worth).select(
-        *keys, *[F.lit(None).cast(found.schema[n].dataType).alias(n) for n in DETAIL_FIELDS],
-        F.lit("none").alias("payload"), F.lit(None).cast("string").alias("error"))
-    return found.unionByName(rest)
+    """Detail fields of payload pages. Only the payload script itself crosses to Python."""
+    bodies = spread(pages, *keys).select(
+        *keys, meta_description(F.col("html")).alias("meta"),
+        F.lit("payload").alias("kind"), payload_script(F.col("html")).alias("body"))
+    parsed = parse_pages(bodies, {"payload": (payload_row, PAYLOAD_RAW)}, [*keys, "meta"])
+    return with_payload_fields(parsed).select(
+        *keys, *DETAIL_FIELDS, F.coalesce("payload.payload", F.lit("none")).alias("payload"), "error")
 
 
 def title_and_sections_loose(pages: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
-    parsed = parse_pages(pages.withColumn("kind", F.lit("loose")), {"loose": (loose_row, LOOSE_RAW)}, keys)
-    return parsed.select(*keys, "loose.*")
+    bodies = spread(pages, *keys).select(*keys, F.lit("loose").alias("kind"), F.col("html").alias("body"))
+    return parse_pages(bodies, {"loose": (loose_row, LOOSE_RAW)}, keys).select(*keys, "loose.*")
 
 
 def latest_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -287,15 +304,18 @@ def details_job(pending: DataFrame, pages: DataFrame, sites: Sequence[Site]) ->
     wanted = pending.select(F.col("id").alias("job_id"), "job_url").withColumn("kind", kind)
     wanted = wanted.filter(F.col("kind").isNotNull())
     usable = pages.filter(F.col("html").isNotNull() & (F.col("html") != ""))
-    found = latest_pages(usable, wanted).withColumn("kind", kind)
-    parsed = parse_pages(found, {"sections": (section_row, SECTION_RAW), "payload": (payload_row, PAYLOAD_RAW)},
-                         ["job_id"])
-    by_payload = with_payload_fields(parsed)
-    by_section = section_fields(F.col("sections"))
-    fields = by_payload.select("job_id", *[
-        F.when(F.col("sections").isNotNull(), by_section[n]).otherwise(F.col(n)).alias(n)
-        for n in DETAIL_FIELDS
-    ], "error")
+    html = F.col("html")
+    payload = F.col("kind") == "payload"
+    bodies = latest_pages(usable, wanted).withColumn("kind", kind).select(
+        "job_id", "kind", F.when(payload, meta_description(html)).alias("meta"),
+        F.when(payload, payload_script(html)).otherwise(html).alias("body"))
+    parsed = parse_pages(bodies, {"sections": (section_row, SECTION_RAW), "payload": (payload_row, PAYLOAD_RAW)},
+                         ["job_id", "meta"])
+    # Each page is of one kind, so the fields of the other kind are NULL throughout.
+    by_section = with_section_fields(parsed).select(
+        "job_id", "error", "meta", "payload", F.struct(*DETAIL_FIELDS).alias("_s"))
+    fields = with_payload_fields(by_section).select("job_id", "error", *[
+        F.coalesce(F.col(n), F.col("_s")[n]).alias(n) for n in DETAIL_FIELDS])
     return wanted.drop("kind").join(fields.withColumn("_read", F.lit(True)), "job_id", "left").select(
         "job_id", "job_url", *DETAIL_FIELDS,
         F.when(F.col("_read").isNull(), "no_page").when(F.col("error").isNotNull(), "error")

@@ -26,12 +26,18 @@ def _first_of_each(df: DataFrame, key: str, order_by: Sequence[str], within: Seq
 
 
 def dedupe_first_wins(df: DataFrame, key: str, order_by: Sequence[str] = ("pos",),
-                      within: Sequence[str] = ()) -> DataFrame:
+                      within: Sequence[str] = (), unique_order: bool = False) -> DataFrame:
     """First row of each key in arrival order; rows whose key is NULL are all kept.
 
-    NULL keys take a branch of their own without any shuffle.
+    NULL keys take a branch of their own without any shuffle. Where the order columns are known
+    to tell every two rows apart, ``unique_order`` does it in one pass over the input: each NULL
+    row is then a group by itself.
     """
-    return _first_of_each(df, key, order_by, within).union(df.filter(F.col(key).isNull()))
+    if not unique_order:
+        return _first_of_each(df, key, order_by, within).union(df.filter(F.col(key).isNull()))
+    alone = F.when(F.col(key).isNull(), F.struct(*order_by))
+    order = Window.partitionBy(*within, key, alone).orderBy(*order_by)
+    return df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") == 1).drop("_rank")
 
 
 def accept_by_key(batch: DataFrame, stored: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:

@@ -88,13 +88,12 @@ def link_strategy_fallback(pages: DataFrame, keys: Sequence[str] = ("page_id",),
     by_path = F.filter("all", lambda x: text.contains_any(x["href"], paths))
     by_id = F.filter("all", lambda x: x["href"].contains(fv.ID_QUERY))
     tiers = both.select(*keys, F.array(by_path, by_id, F.col("main"), F.col("all")).alias("tiers"))
-    tier = F.array_position(F.transform("tiers", lambda t: F.size(t) > 0), F.lit(True))
-    chosen = tiers.withColumn("tier", tier).filter(F.col("tier") > 0)
-    rows = _explode_links(chosen, F.element_at("tiers", F.col("tier").cast("int")), [*keys, "tier"])
-    rows = rows.filter(F.col("href").isNotNull())
-    # Only path and id links are kept once; a NULL key passes the dedupe untouched.
-    marked = rows.withColumn("_once", F.when(F.col("tier") <= 2, F.col("href")))
-    return dedupe_first_wins(marked, "_once", ["pos"], within=list(keys)).drop("_once")
+    tier = F.array_position(F.transform("tiers", lambda t: F.size(t) > 0), F.lit(True)).cast("int")
+    chosen = tiers.withColumn("tier", tier)
+    # A page without links has tier 0: nothing to explode.
+    rows = _explode_links(chosen, F.try_element_at("tiers", F.nullif("tier", F.lit(0))), [*keys, "tier"])
+    marked = rows.filter(F.col("href").isNotNull()).withColumn("_once", F.when(F.col("tier") <= 2, F.col("href")))
+    return dedupe_first_wins(marked, "_once", ["pos"], within=list(keys), unique_order=True).drop("_once")
 
 
 def first_n_cards(pages: DataFrame, n: int = 20, keys: Sequence[str] = ("page_id",),

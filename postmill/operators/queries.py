@@ -109,13 +109,12 @@ def details_in_matching_postings(details: DataFrame, postings: DataFrame, url_pa
 def not_in_details(postings: DataFrame, details: DataFrame) -> DataFrame:
     """``id NOT IN (SELECT job_id ...)``: a single NULL ``job_id`` makes it select nothing.
 
-    A plain anti join (any size, no forced broadcast) gives the rows; a NULL id, if there is one,
-    is joined as a marker row that removes them all.
+    Whether there is one is asked first (a narrow scan that stops at the first hit); the rest is
+    a plain anti join of any size, where ``NOT IN`` would broadcast all ids.
     """
-    kept = postings.join(details.select("job_id"), F.col("id") == F.col("job_id"), "left_anti")
-    null_id = details.filter(F.col("job_id").isNull()).select(F.lit(True).alias("_null_id")).limit(1)
-    return kept.withColumn("_null_id", F.lit(True)).join(
-        F.broadcast(null_id), "_null_id", "left_anti").drop("_null_id")
+    if not details.filter(F.col("job_id").isNull()).isEmpty():
+        return postings.filter(F.lit(False))
+    return postings.join(details.select("job_id"), F.col("id") == F.col("job_id"), "left_anti")
 
 
 def ids_in(postings: DataFrame, ids: DataFrame) -> DataFrame:

@@ -174,7 +174,7 @@ def _split_feeds(spark, sf):
 
 @query("dedupe_first_wins", with_views("SELECT * FROM postings", "postings"))
 def dedupe_first_wins(spark, sf):
-    return v.postings(spark, sf)
+    return ingest.dedupe_first_wins(v.posting_batch(spark, sf), "job_url").drop("pos")
 
 
 @query("existing_urls", with_views("SELECT DISTINCT job_url FROM posting_batch", "posting_batch"))
@@ -244,7 +244,7 @@ def delivery_state(spark, sf):
 
 
 @query("clear_postings", with_views("""
-    SELECT (SELECT count(*) FROM postings) AS deleted, 0 AS postings_left, 0 AS details_left,
+    SELECT (SELECT count(*) FROM postings) AS deleted, 0::BIGINT AS postings_left, 0::BIGINT AS details_left,
            (SELECT count(*) FROM details) AS orphans_if_kept""", "postings", "details"))
 def clear_postings(spark, sf):
     old, old_details = v.postings(spark, sf), v.details(spark, sf)
@@ -258,7 +258,7 @@ def clear_postings(spark, sf):
                         for n in ("deleted", "postings_left", "details_left", "orphans_if_kept")])
 
 
-@query("clear_details", with_views("SELECT count(*) AS deleted, 0 AS details_left FROM details", "details"))
+@query("clear_details", with_views("SELECT count(*) AS deleted, 0::BIGINT AS details_left FROM details", "details"))
 def clear_details(spark, sf):
     old = v.details(spark, sf)
     both = old.select(F.lit(True).alias("old")).unionAll(mutate.clear_details(old).select(F.lit(False)))
@@ -323,7 +323,7 @@ def filter_job_links(spark, sf):
     SELECT page_id, place AS pos, href, tier FROM kept WHERE tier = 4 OR rn = 1""")
 def link_tiers(spark, sf):
     return listing.link_strategy_fallback(v.table(spark, sf, "pages"), paths=["/des", "/oue"]).select(
-        "page_id", "pos", "href", F.col("tier").cast("int").alias("tier"))
+        "page_id", "pos", "href", "tier")
 
 
 @query("first_n_cards", f"WITH {_LINKS} SELECT page_id, pos, href FROM cards WHERE pos < 4")
@@ -384,7 +384,7 @@ def location_override(spark, sf):
 
 
 @query("parse_posted_date", with_views(
-    "SELECT o_orderkey AS page_id, card_date AS posted_date, date_diff('day', card_date, DATE '2024-01-31') AS days_ago FROM order_fields",
+    "SELECT o_orderkey AS page_id, card_date AS posted_date, CAST(date_diff('day', card_date, DATE '2024-01-31') AS INTEGER) AS days_ago FROM order_fields",
     "order_fields"))
 def parse_posted_date(spark, sf):
     last = F.element_at(F.split("text", "\n"), -1)
@@ -692,7 +692,7 @@ def retry_after(spark, sf):
 
 @query("delivery_counts", _notify_sql("""
     SELECT count(*) FILTER (outcome = 'send') AS sent, count(*) FILTER (outcome = 'skip') AS skipped,
-           count(*) FILTER (outcome = 'skip' AND NOT mark) AS skipped_without_details, 0 AS failed FROM selected"""))
+           count(*) FILTER (outcome = 'skip' AND NOT mark) AS skipped_without_details, 0::BIGINT AS failed FROM selected"""))
 def delivery_counts(spark, sf):
     return notify.delivery_counts(_selected(spark, sf))
 

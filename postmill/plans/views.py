@@ -40,7 +40,7 @@ def posting_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe_first_wins(posting_batch(spark, sf_dir), "job_url", ["pos"]).drop("pos")
+    return dedupe_first_wins(posting_batch(spark, sf_dir), "job_url", ["pos"], unique_order=True).drop("pos")
 
 
 def flagged_postings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,7 +57,8 @@ def run_round(store: Store, listings: DataFrame, pages: DataFrame, settings: Rou
     # Details. Extraction is the costly step, so its result is written once and used twice.
     postings = store.read("postings", batch_id + 1)
     known = store.read("details", batch_id)
-    extracted = stage(det.details_job(queries.pending_details(postings, known, ordered=False), pages, settings.sites), "details")
+    pending = stage(queries.pending_details(postings, known, ordered=False).select("id", "job_url"), "pending")
+    extracted = stage(det.details_job(pending, pages, settings.sites), "details")
     accepted = ingest.ingest_details(extracted.filter(F.col("status") == "ok"), known, check=False)
     numbered = ingest.assign_ids(accepted.select("job_id", "job_url", *DETAIL_FIELDS), ["job_id"], store.highest_id("details", batch_id))
     store.append("details", numbered.withColumn("scraped_at", now), batch_id)
