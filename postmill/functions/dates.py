@@ -20,14 +20,17 @@ def as_date(as_of: Column | datetime.date | str) -> Column:
 
 
 def parse_posted_date(c: Column, as_of: Column | datetime.date | str) -> Column:
-    """Local words for yesterday and today, else the first ``dd-MM-yyyy``; bad dates are NULL."""
+    """Local words for yesterday and today, else the first ``dd-MM-yyyy``; bad dates are NULL.
+
+    A text without a date never reaches the date parser, whose failures are costly.
+    """
     day = as_date(as_of)
     text = strip(c)
     word = F.lower(text)
     return (
         F.when(word == YESTERDAY, F.date_sub(day, 1))
         .when(word == TODAY, day)
-        .otherwise(F.try_to_date(F.regexp_extract(text, DAY_FIRST, 0), "dd-MM-yyyy"))
+        .otherwise(F.try_to_date(F.nullif(F.regexp_extract(text, DAY_FIRST, 0), F.lit("")), "dd-MM-yyyy"))
     )
 
 
@@ -39,9 +42,3 @@ def looks_like_date(c: Column) -> Column:
 
 def days_ago(date: Column, as_of: Column | datetime.date | str) -> Column:
     return F.datediff(as_date(as_of), date)
-
-
-def last_date_in(lines: Column, as_of: Column | datetime.date | str) -> Column:
-    """Date of the last line that holds one."""
-    found = F.filter(F.transform(lines, lambda x: parse_posted_date(x, as_of)), lambda d: d.isNotNull())
-    return F.try_element_at(found, F.lit(-1))

@@ -11,20 +11,24 @@ import re
 from postmill.functions import fixed_values as fv
 from postmill.functions.html_rows import Outline
 
+# A name directly followed by a colon is one token: a key.
 _TOKEN = re.compile(
     r'"[^"\\]*(?:\\.[^"\\]*)*"?'
     r"|'[^'\\]*(?:\\.[^'\\]*)*'?"
-    r"|[A-Za-z_$][\w$]*"
+    r"|[A-Za-z_$][\w$]*:?"
     r"|-?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
     r"|\S",
     re.S,
 )
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|(.))", re.S)
 _CONTROL = {"n": "\n", "r": "\r", "t": "\t"}
-_CLOSE = {"{": "}", "[": "]", "(": ")"}
+_OPEN = {"}": "{", "]": "[", ")": "("}
 
 
 def _unescape(body: str) -> str:
+    if "\\" not in body:
+        return body
+
     def decode(m):
         code = m[1] or m[2]
         if code:
@@ -38,24 +42,20 @@ def _unescape(body: str) -> str:
 
 class Payload:
     def __init__(self, script: str):
-        found = list(_TOKEN.finditer(script))
-        self.tokens = [m[0] for m in found]
-        self.starts = [m.start() for m in found]
-        self.arguments: dict[str, object] = {}
+        self.tokens = _TOKEN.findall(script)
+        self.close = self._pair_brackets()
+        self.arguments: dict[str, tuple[int, int]] = {}  # read only when asked for
         self.body = self._read_call()
 
-    def _match(self, at: int) -> int | None:
-        """Index of the token closing the bracket at ``at``; other brackets are ignored."""
-        opener = self.tokens[at]
-        closer, depth = _CLOSE[opener], 0
-        for i in range(at, len(self.tokens)):
-            if self.tokens[i] == opener:
-                depth += 1
-            elif self.tokens[i] == closer:
-                depth -= 1
-                if depth == 0:
-                    return i
-        return None
+    def _pair_brackets(self) -> dict[int, int]:
+        """Closing token of each bracket; each kind of bracket is paired by itself."""
+        pairs, waiting = {}, {"{": [], "[": [], "(": []}
+        for i, token in enumerate(self.tokens):
+            if token in waiting:
+                waiting[token].append(i)
+            elif token in _OPEN and waiting[_OPEN[token]]:
+                pairs[waiting[_OPEN[token]].pop()] = i
+        return pairs
 
     def _read_call(self) -> tuple[int, int] | None:
         """Fill the argument map; the range of body tokens, or None when this is no call."""
@@ -64,26 +64,25 @@ class Payload:
                       if t[i] == "function" and t[i + 1] == "(" and t[i + 2] != ")"), None)
         if start is None:
             return None
-        after = self._match(start + 1)
+        after = self.close.get(start + 1)
         if after is None or t[after + 1:after + 2] != ["{"]:
             return None
-        end = self._match(after + 1)
+        end = self.close.get(after + 1)
         if end is None:
             return None
         names = [x for x in t[start + 2:after] if x != ","]
         if t[end + 1:end + 3] == [")", "("]:
             last = len(t) - 1 - t[::-1].index(")")
             values = self._split_arguments(end + 3, last)
-            self.arguments = {n: self._literal(*r) for n, r in zip(names, values, strict=False)}
+            self.arguments = dict(zip(names, values, strict=False))
         return after + 2, end
 
     def _split_arguments(self, at: int, end: int) -> list[tuple[int, int]]:
         """One range per argument; an object or array counts as one."""
         ranges, begin = [], at
         while at < end:
-            if self.tokens[at] in _CLOSE:
-                close = self._match(at)
-                at = end if close is None else close
+            if self.tokens[at] in ("{", "[", "("):
+                at = self.close.get(at, end)
             elif self.tokens[at] == ",":
                 ranges.append((begin, at))
                 begin = at + 1
@@ -105,32 +104,28 @@ class Payload:
 
     def field(self, span: tuple[int, int], name: str, depth: int | None = None) -> int | None:
         """Index of the value of the first ``name:`` in the span, optionally at one brace depth."""
-        level = 0
-        for i in range(span[0], span[1] - 1):
+        key, level = name + ":", 0
+        for i in range(*span):
             token = self.tokens[i]
+            if token == key and depth in (None, level):
+                return i + 1
             if token == "{":
                 level += 1
             elif token == "}":
                 level -= 1
-            elif (
-                token == name and self.tokens[i + 1] == ":"
-                and self.starts[i + 1] == self.starts[i] + len(name)
-                and depth in (None, level)
-            ):
-                return i + 2
         return None
 
     def object_at(self, at: int | None) -> tuple[int, int] | None:
         if at is None or self.tokens[at:at + 1] != ["{"]:
             return None
-        end = self._match(at)
+        end = self.close.get(at)
         return None if end is None else (at, end + 1)
 
     def value_at(self, at: int | None):
         if at is None or at >= len(self.tokens):
             return None
         token = self.tokens[at]
-        return self.arguments[token] if token in self.arguments else self._literal(at, at + 1)
+        return self._literal(*self.arguments.get(token, (at, at + 1)))
 
 
 def _scalar(value) -> dict | None:

@@ -14,12 +14,10 @@ from postmill.functions.fixed_values import UNKNOWN
 
 WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
-_HIDDEN = (
-    r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-    r"|<template\b.*?</template\s*>"
-)
-_TAG = r"<[!/?a-zA-Z][^>]*>"
-_BREAK = "\u0001"  # stands for "a tag was here"; not a character of any HTML text
+# Both patterns begin with a fixed character, which lets the matcher pass over plain text quickly.
+_HIDDEN = r"(?is)<(?:!--.*?-->|(script|style|template)\b.*?</\1\s*>)"
+_MARKUP = r"(?is)<(?:!--.*?-->|(script|style|template)\b.*?</\1\s*>|[!/?a-z][^>]*>)"
+_BREAK = "\u0001"  # stands for "markup was here"; not a character of any HTML text
 
 _NAMED = json.dumps({n: chr(c) for n, c in html.entities.name2codepoint.items()} | {"apos": "'"})
 
@@ -101,26 +99,20 @@ def decode_entities(c: Column) -> Column:
 
 def remove_hidden(html_text: Column) -> Column:
     """Drop comments, scripts, styles and templates."""
-    return F.regexp_replace(html_text, _HIDDEN, _BREAK)
-
-
-def text_nodes(html_text: Column) -> Column:
-    """Text pieces between tags, in document order, entities decoded."""
-    marked = F.regexp_replace(remove_hidden(html_text), _TAG, _BREAK)
-    return F.transform(F.filter(F.split(marked, _BREAK), lambda x: x != ""), decode_entities)
+    return F.regexp_replace(html_text, _HIDDEN, "")
 
 
 def visible_text(html_text: Column, sep: str = "", stripped: bool = False) -> Column:
-    """Text of flat or slightly broken HTML.
+    """Text of flat or slightly broken HTML, its pieces joined by ``sep``.
 
     With ``stripped`` each piece is stripped and empty pieces are dropped before joining.
     Pages whose structure matters go through the details job instead.
     """
-    nodes = text_nodes(html_text)
+    if sep == "" and not stripped:
+        return decode_entities(F.regexp_replace(html_text, _MARKUP, ""))
+    marked = F.regexp_replace(html_text, _MARKUP, _BREAK)
     if stripped:
-        nodes = F.filter(F.transform(nodes, strip), lambda x: x != "")
-    elif sep == "":
-        # Nothing has to be told apart, so there is no need to cut the text into pieces.
-        bare = F.regexp_replace(remove_hidden(html_text), _TAG, _BREAK)
-        return decode_entities(F.translate(bare, _BREAK, ""))
-    return F.array_join(nodes, sep)
+        pieces = F.filter(F.transform(F.split(decode_entities(marked), _BREAK), strip), lambda x: x != "")
+        return F.array_join(pieces, sep)
+    inner = F.regexp_replace(marked, f"^{_BREAK}+|(?<!{_BREAK}){_BREAK}+$", "")
+    return decode_entities(F.regexp_replace(inner, _BREAK + "+", sep))

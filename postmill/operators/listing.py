@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import PySparkException
@@ -34,7 +35,7 @@ def _href(anchor: Column) -> Column:
 
 def _anchors(html: Column) -> Column:
     """Links of a page in document order as ``array<struct<href, inner>>``."""
-    found = F.regexp_extract_all(F.translate(text.remove_hidden(html), "\u0001", ""), F.lit(_ANCHOR), 1)
+    found = F.regexp_extract_all(text.remove_hidden(html), F.lit(_ANCHOR), 1)
     return F.transform(found, lambda a: F.struct(
         _href(a).alias("href"), F.regexp_extract(a, _INNER, 1).alias("inner")))
 
@@ -126,18 +127,16 @@ def card_fields_separator(cards: DataFrame, as_of: Column | datetime.date | str,
     The last date line and the last separator line win; a line that reads as a date is never
     taken for a separator line.
     """
-    parts = F.split(
-        F.try_element_at(
-            F.filter("lines", lambda x: x.contains(separator)
-                     & dates.parse_posted_date(x, as_of).isNull()),
-            F.lit(-1)),
-        separator)
-    return cards.withColumn("_parts", parts).select(
+    dated = cards.withColumn("_dated", F.transform("lines", lambda x: F.struct(
+        x.alias("line"), dates.parse_posted_date(x, as_of).alias("date"))))
+    date = F.try_element_at(F.filter("_dated", lambda d: d["date"].isNotNull()), F.lit(-1))["date"]
+    company = F.try_element_at(
+        F.filter("_dated", lambda d: d["date"].isNull() & d["line"].contains(separator)), F.lit(-1))["line"]
+    part = lambda k: F.coalesce(text.strip(F.try_element_at("_parts", F.lit(k))), F.lit(fv.UNKNOWN))
+    return dated.withColumn("_parts", F.split(company, re.escape(separator))).select(
         *[c for c in cards.columns if c not in ("inner", "text", "lines")],
         card_title(F.col("inner"), F.col("lines")).alias("title"),
-        F.coalesce(text.strip(F.try_element_at("_parts", F.lit(1))), F.lit(fv.UNKNOWN)).alias("company"),
-        F.coalesce(text.strip(F.try_element_at("_parts", F.lit(2))), F.lit(fv.UNKNOWN)).alias("location"),
-        dates.last_date_in(F.col("lines"), as_of).alias("posted_date"),
+        part(1).alias("company"), part(2).alias("location"), date.alias("posted_date"),
     )
 
 
