@@ -300,7 +300,8 @@ def details_job(pending: DataFrame, pages: DataFrame, sites: Sequence[Site]) ->
     ``ok`` means that a page was there and could be read, even if it held no field; ``no_page``
     and ``error`` are failures.
     """
-    kind = F.coalesce(*[F.when(text.ascii_fold(F.col("job_url")).contains(s.host.lower()), F.lit(s.kind)) for s in sites])
+    url = text.ascii_fold(F.col("job_url"))
+    kind = F.coalesce(*[F.when(url.contains(s.host.lower()), F.lit(s.kind)) for s in sites], F.lit(None).cast("string"))
     wanted = pending.select(F.col("id").alias("job_id"), "job_url").withColumn("kind", kind)
     wanted = wanted.filter(F.col("kind").isNotNull())
     usable = pages.filter(F.col("html").isNotNull() & (F.col("html") != ""))

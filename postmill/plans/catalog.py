@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,9 @@ from postmill.operators import details as det
 from postmill.plans import views as v
 from postmill.plans.views import with_views
 from postmill.sources.readers import listings_from_payload, usable_page
+from postmill.sources.staging import shared_folder
+from postmill.sources.store import Store
+from postmill.streaming import rounds
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -702,3 +706,66 @@ def delivery_counts(spark, sf):
 def truncate_body(spark, sf):
     return v.table(spark, sf, "documents").select(
         "doc_id", notify.budget_truncate(F.col("text"), F.lit(500)).alias("body"))
+
+
+# -- orders as postings --------------------------------------------------------
+
+@query("ingest_new_orders", with_views("""
+    SELECT (SELECT max(id) FROM order_postings WHERE source = 'O') + row_number() OVER (ORDER BY pos) AS id, pos, source, title, job_url, posted_date
+    FROM (SELECT *, row_number() OVER (PARTITION BY job_url ORDER BY pos) AS rn FROM order_postings WHERE source <> 'O') a
+    WHERE rn = 1 AND job_url NOT IN (SELECT job_url FROM order_postings WHERE source = 'O')""", "order_postings"))
+def ingest_new_orders(spark, sf):
+    both = v.order_postings(spark, sf)
+    return ingest.ingest_new(both.filter("source <> 'O'"), both.filter("source = 'O'"))
+
+
+@query("pending_details_orders", with_views(
+    "SELECT * FROM order_postings p WHERE NOT EXISTS (SELECT 1 FROM line_details d WHERE d.job_id = p.id)",
+    "order_postings", "line_details"))
+def pending_details_orders(spark, sf):
+    return queries.pending_details(v.order_postings(spark, sf), v.line_details(spark, sf))
+
+
+@query("unsent_with_details_orders", with_views("""
+    SELECT id, title, posted_date, coalesce(s.outcome, '') <> '' AS logged, views FROM order_postings p
+    LEFT JOIN (SELECT DISTINCT job_id, 'x' AS outcome FROM delivery_log) s ON s.job_id = p.id
+    LEFT JOIN line_details d ON d.job_id = p.id""", "order_postings", "line_details", "delivery_log"))
+def unsent_with_details_orders(spark, sf):
+    """All orders with the first returned line, and whether the delivery log knows them."""
+    logged = v.delivery_log(spark, sf).select(F.col("job_id").alias("id")).distinct().withColumn("logged", F.lit(True))
+    flagged = v.order_postings(spark, sf).withColumn("is_sent", F.lit(False))
+    return queries.unsent_with_details(flagged, v.line_details(spark, sf), ordered=False).join(logged, "id", "left").select(
+        "id", "title", "posted_date", F.coalesce("logged", F.lit(False)).alias("logged"), "views")
+
+
+# -- incremental rounds --------------------------------------------------------
+
+def _run_rounds(spark, sf, sites, files_per_round=None) -> Store:
+    """Land the feeds as JSON files in the shared folder and run the stream over them."""
+    folder = f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
+    v.posting_batch(spark, sf).drop("id").withColumn("feed", F.col("source")).write.partitionBy("feed").json(f"{folder}/landed")
+    store = Store(spark, f"{folder}/store").init()
+    urls = v.posting_batch(spark, sf).select(F.col("id").alias("page_id"), F.col("job_url").alias("url"))
+    pages = v.section_pages(spark, sf).drop("url").join(urls, "page_id")
+    settings = rounds.RoundSettings("chat", sites, WORDS, SITE_ROOT)
+    landed = rounds.landed_listings(spark, f"{folder}/landed", files_per_round)
+    rounds.start_rounds(store, landed, lambda: pages, settings, f"{folder}/checkpoint").awaitTermination()
+    return store
+
+
+@query("incremental_rounds", with_views("SELECT job_url, title, location FROM postings", "postings"))
+def incremental_rounds(spark, sf):
+    """Several rounds over the landed files store the same postings as one batch would."""
+    return _run_rounds(spark, sf, (), files_per_round=10).read("postings").select("job_url", "title", "location")
+
+
+@query("round_metrics", with_views("", "postings").rstrip() + f""",
+    read AS (SELECT p.title, CASE WHEN p.job_url IS NOT NULL THEN {_STRIPPED} END AS description, p.job_url FROM postings p JOIN documents d ON d.doc_id = p.id),
+    chosen AS (SELECT *, regexp_matches(lower(title) || ' ' || lower(coalesce(description, '')) || ' ', '{_WHOLE_WORD}') AS hit FROM read)
+    SELECT count(*) AS inserted, (SELECT count(*) FROM documents) - count(*) AS skipped, count(job_url) AS details_ok,
+           0::BIGINT AS details_failed, count(*) FILTER (hit) AS send, count(*) FILTER (NOT hit) AS skip,
+           count(*) FILTER (NOT hit AND coalesce(description, '') = '') AS skip_no_details FROM chosen""")
+def round_metrics(spark, sf):
+    """Counters of one full round: listings, details out of pages, selection."""
+    store = _run_rounds(spark, sf, (det.Site("example.com", "sections"),))
+    return store.read("metrics").drop("batch_id")

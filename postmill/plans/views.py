@@ -90,6 +90,24 @@ def crawl_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.col("event_type"), F.lit("Company ● City"), shown).alias("card_lines"))
 
 
+# -- a wider binding: orders as postings, lines as details ----------------------
+
+def order_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of one customer and priority share a URL."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("pos"), F.col("o_orderstatus").alias("source"),
+        F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"),
+        F.concat(F.lit("https://c.example.com/"), F.col("o_custkey").cast("string"), F.lit("/"), "o_orderpriority").alias("job_url"),
+        F.to_date("o_orderdate").alias("posted_date"))
+
+
+def line_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first returned line of each order."""
+    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == "R")
+    return lines.groupBy(F.col("l_orderkey").alias("job_id")).agg(
+        F.min(F.struct("l_linenumber", "l_partkey")).alias("first")).select("job_id", F.col("first.l_partkey").alias("views"))
+
+
 # -- pages built from columns --------------------------------------------------
 
 def _escape(c: Column) -> Column:
@@ -200,6 +218,14 @@ SQL_VIEWS = {
                event_type || '/' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS url,
                CAST(DATE '2024-01-31' - CAST(extract(day FROM ts) AS INTEGER) AS DATE) AS card_date
         FROM events""",
+    "order_postings": """
+        SELECT o_orderkey AS id, o_orderkey AS pos, o_orderstatus AS source, 'Order ' || o_orderkey AS title,
+               'https://c.example.com/' || o_custkey || '/' || o_orderpriority AS job_url, CAST(o_orderdate AS DATE) AS posted_date
+        FROM orders""",
+    "line_details": """
+        SELECT l_orderkey AS job_id, l_partkey AS views FROM (
+          SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS rn
+          FROM lineitem WHERE l_returnflag = 'R') WHERE rn = 1""",
     "order_fields": """
         SELECT *, CASE o_orderstatus WHEN 'O' THEN 'Bakı ofisi' WHEN 'F' THEN 'REMOTE work' ELSE 'Paris' END AS place,
                CASE WHEN o_orderpriority = '2-HIGH' THEN 'Urgent & ' ELSE '' END || 'Order ' || o_orderkey AS title,
