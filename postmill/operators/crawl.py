@@ -25,16 +25,25 @@ def _within(log: DataFrame, max_scrolls: int) -> DataFrame:
     return log.filter(F.col("scroll_no") <= max_scrolls)
 
 
+def _scrolls(log: DataFrame, max_scrolls: int, with_lines: bool = False) -> DataFrame:
+    """One row per scroll: height, number of cards, and the lines of the last card if asked for."""
+    counted = [F.max("height").alias("height"), F.count("*").alias("cards")]
+    if with_lines:
+        counted.append(F.max_by("card_lines", "pos").alias("lines"))
+    return _within(log, max_scrolls).groupBy(*SCROLL).agg(*counted)
+
+
+def _last_date(as_of: Column | datetime.date | str) -> Column:
+    """First line of ``lines`` that is a date, as ``struct<date, text>``."""
+    dated = F.transform("lines", lambda x: F.struct(
+        F.when(looks_like_date(x), parse_posted_date(x, as_of)).alias("date"), strip(x).alias("text")))
+    return F.try_element_at(F.filter(dated, lambda s: s["date"].isNotNull()), F.lit(1))
+
+
 def last_visible_date(log: DataFrame, as_of: Column | datetime.date | str, max_scrolls: int = 100) -> DataFrame:
     """Date and text of the first date line of the last card, per scroll."""
-    last = _within(log, max_scrolls).groupBy(*SCROLL).agg(F.max_by("card_lines", "pos").alias("lines"))
-    dated = F.filter(
-        F.transform("lines", lambda x: F.struct(
-            F.when(looks_like_date(x), parse_posted_date(x, as_of)).alias("date"),
-            strip(x).alias("text"))),
-        lambda s: s["date"].isNotNull())
-    first = F.try_element_at(dated, F.lit(1))
-    return last.select(*SCROLL, first["date"].alias("last_date"), first["text"].alias("last_text"))
+    last = _scrolls(log, max_scrolls, with_lines=True).withColumn("_last", _last_date(as_of))
+    return last.select(*SCROLL, F.col("_last.date").alias("last_date"), F.col("_last.text").alias("last_text"))
 
 
 def cutoff_by_age(log: DataFrame, target_days: int, as_of: Column | datetime.date | str,
@@ -45,12 +54,10 @@ def cutoff_by_age(log: DataFrame, target_days: int, as_of: Column | datetime.dat
         F.min(F.when(old, F.col("scroll_no"))).alias("age_cutoff"))
 
 
-def distinct_growth(log: DataFrame, max_scrolls: int = 100) -> DataFrame:
-    """New and running distinct URLs per scroll, with height and number of cards."""
-    seen = _within(log, max_scrolls)
-    scrolls = seen.groupBy(*SCROLL).agg(F.max("height").alias("height"), F.count("*").alias("cards"))
+def _with_growth(log: DataFrame, scrolls: DataFrame, max_scrolls: int) -> DataFrame:
+    """Add new and running distinct URLs. A URL counts in the first scroll that shows it."""
     first_seen = (
-        seen.filter(F.col("url").isNotNull())
+        _within(log, max_scrolls).filter(F.col("url").isNotNull())
         .groupBy(*CRAWL, "url").agg(F.min("scroll_no").alias("scroll_no"))
         .groupBy(*SCROLL).agg(F.count("*").alias("new_urls"))
     )
@@ -62,39 +69,52 @@ def distinct_growth(log: DataFrame, max_scrolls: int = 100) -> DataFrame:
     )
 
 
-def cutoff_stalled(log: DataFrame, streak: int = 1, distinct_urls: bool = False,
-                   max_scrolls: int = 100) -> DataFrame:
-    """First scroll ending a run of ``streak`` scrolls that changed neither height nor count.
+def distinct_growth(log: DataFrame, max_scrolls: int = 100) -> DataFrame:
+    """New and running distinct URLs per scroll, with height and number of cards."""
+    return _with_growth(log, _scrolls(log, max_scrolls), max_scrolls)
+
+
+def _with_stall_length(scrolls: DataFrame, count: str) -> DataFrame:
+    """Add ``stalled``: how many scrolls in a row, up to this one, changed nothing.
 
-    The count is the number of cards, or the running number of distinct URLs. The scroll before
-    the first counts as zero high and empty.
+    The scroll before the first counts as zero high and empty.
     """
-    if distinct_urls:
-        scrolls = distinct_growth(log, max_scrolls).withColumnRenamed("total_urls", "n")
-    else:
-        scrolls = _within(log, max_scrolls).groupBy(*SCROLL).agg(
-            F.max("height").alias("height"), F.count("*").alias("n"))
     order = Window.partitionBy(*CRAWL).orderBy("scroll_no")
-    zero = F.lit(0).cast("long")
-    same = (F.col("height") == F.lag("height", 1, 0).over(order)) & (
-        F.col("n") == F.coalesce(F.lag("n", 1).over(order), zero))
-    runs = scrolls.withColumn("same", same).withColumn(
-        "run", F.sum(F.when(F.col("same"), 0).otherwise(1)).over(order))
-    in_run = Window.partitionBy(*CRAWL, "run").orderBy("scroll_no")
-    length = F.sum(F.when(F.col("same"), 1).otherwise(0)).over(in_run)
-    return runs.withColumn("length", length).groupBy(*CRAWL).agg(
-        F.min(F.when(F.col("length") >= streak, F.col("scroll_no"))).alias("stall_cutoff"))
-
-
-def cutoffs(log: DataFrame, as_of: Column | datetime.date | str, target_days: int | None = None,
-            streak: int = 1, distinct_urls: bool = False, max_scrolls: int = 100) -> DataFrame:
-    """Last scroll of each crawl: by age (when asked for), by standstill, or the limit."""
-    stop = cutoff_stalled(log, streak, distinct_urls, max_scrolls)
-    by_age = F.lit(None).cast("int")
-    if target_days is not None:
-        stop = stop.join(cutoff_by_age(log, target_days, as_of, max_scrolls), CRAWL)
-        by_age = F.col("age_cutoff")
-    return stop.select(*CRAWL, F.least(by_age, "stall_cutoff", F.lit(max_scrolls)).alias("cutoff"))
+    before = lambda c: F.coalesce(F.lag(c, 1).over(order), F.lit(0))
+    same = (F.col("height") == before("height")) & (F.col(count) == before(count))
+    runs = scrolls.withColumn("_same", same).withColumn(
+        "_run", F.sum(F.when(F.col("_same"), 0).otherwise(1)).over(order))
+    in_run = Window.partitionBy(*CRAWL, "_run").orderBy("scroll_no")
+    return runs.withColumn("stalled", F.sum(F.when(F.col("_same"), 1).otherwise(0)).over(in_run)).drop("_same", "_run")
+
+
+def _counted(log: DataFrame, distinct_urls: bool, max_scrolls: int, with_lines: bool = False) -> tuple[DataFrame, str]:
+    """Scrolls, and the column whose standstill ends a crawl: cards, or running distinct URLs."""
+    scrolls = _scrolls(log, max_scrolls, with_lines)
+    return (_with_growth(log, scrolls, max_scrolls), "total_urls") if distinct_urls else (scrolls, "cards")
+
+
+def cutoff_stalled(log: DataFrame, streak: int = 1, distinct_urls: bool = False,
+                   max_scrolls: int = 100) -> DataFrame:
+    """First scroll ending a run of ``streak`` scrolls that changed neither height nor count."""
+    stalled = _with_stall_length(*_counted(log, distinct_urls, max_scrolls))
+    return stalled.groupBy(*CRAWL).agg(
+        F.min(F.when(F.col("stalled") >= streak, F.col("scroll_no"))).alias("stall_cutoff"))
+
+
+def loaded_scrolls(log: DataFrame, as_of: Column | datetime.date | str, target_days: int | None = None,
+                   streak: int = 1, distinct_urls: bool = False, max_scrolls: int = 100) -> DataFrame:
+    """Scrolls each crawl needs: up to the first that is old enough (when asked for) or ends a
+    standstill, and never beyond the limit. One partitioning by crawl serves all the windows."""
+    by_age = target_days is not None
+    scrolls = _with_stall_length(*_counted(log, distinct_urls, max_scrolls, with_lines=by_age))
+    stop = F.col("stalled") >= streak
+    if by_age:
+        old = days_ago(_last_date(as_of)["date"], as_of) >= target_days
+        stop = stop | F.coalesce(old, F.lit(False))
+    first_stop = F.min(F.when(stop, F.col("scroll_no"))).over(Window.partitionBy(*CRAWL))
+    return scrolls.withColumn("cutoff", F.least(first_stop, F.lit(max_scrolls))).filter(
+        F.col("scroll_no") <= F.col("cutoff")).select(*SCROLL, "cutoff")
 
 
 def apply_cutoff(log: DataFrame, as_of: Column | datetime.date | str, target_days: int | None = None,
@@ -103,8 +123,7 @@ def apply_cutoff(log: DataFrame, as_of: Column | datetime.date | str, target_day
 
     The join goes by scroll, not by crawl, so one huge crawl is spread over its scrolls.
     """
-    stop = cutoffs(log, as_of, target_days, streak, distinct_urls, max_scrolls)
-    cards = _within(log, max_scrolls)
-    first = dedupe_first_wins(cards, "url", ["scroll_no", "pos"], within=CRAWL)  # cards without URL stay
-    kept = cards.groupBy(*SCROLL).agg(F.lit(1)).join(stop, CRAWL).filter(F.col("scroll_no") <= F.col("cutoff"))
-    return first.join(kept.select(*SCROLL), SCROLL, "left_semi").select(*log.columns)
+    kept = loaded_scrolls(log, as_of, target_days, streak, distinct_urls, max_scrolls)
+    cards = dedupe_first_wins(
+        _within(log, max_scrolls), "url", ["scroll_no", "pos"], within=CRAWL, unique_order=True)
+    return cards.join(kept.select(*SCROLL), SCROLL, "left_semi").select(*log.columns)

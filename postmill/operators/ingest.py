@@ -113,27 +113,38 @@ def ingest_counts(batch: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def ambiguous_details(batch: DataFrame) -> DataFrame:
-    """Keys of a detail batch that do not pair one id with one URL.
+    """Ids with several URLs and URLs with several ids in a detail batch; NULL counts as a value.
 
     For such batches the outcome would depend on the row order, so they must be refused.
     """
-    pairs = batch.filter(F.col("job_id").isNotNull() & F.col("job_url").isNotNull())
-    by_id = pairs.groupBy("job_id").agg(F.min("job_url").alias("lo"), F.max("job_url").alias("hi"))
-    by_url = pairs.groupBy("job_url").agg(F.min("job_id").alias("lo"), F.max("job_id").alias("hi"))
-    return (
-        by_id.filter("lo <> hi").select(F.col("job_id").cast("string").alias("key"))
-        .unionAll(by_url.filter("lo <> hi").select(F.col("job_url").alias("key")))
-    )
+    def several(key: str, partner: str) -> DataFrame:
+        values = batch.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("key")).agg(
+            F.min(partner).alias("lo"), F.max(partner).alias("hi"),
+            F.max(F.col(partner).isNull()).alias("some_null"), F.min(F.col(partner).isNull()).alias("all_null"))
+        return values.filter((F.col("lo") != F.col("hi")) | (F.col("some_null") != F.col("all_null"))).select("key")
+
+    return several("job_id", "job_url").unionAll(several("job_url", "job_id"))
 
 
 def ingest_details(batch: DataFrame, stored: DataFrame, order_by: Sequence[str] = ("job_id",),
                    check: bool = True) -> DataFrame:
     """Detail rows whose id and URL are both new, the first of each id and of each URL.
 
-    Exact while ids and URLs pair one to one; ``check`` refuses other batches. Batches made from
-    pending postings pair by construction and need no check.
+    Ids and URLs must pair one to one; ``check`` refuses other batches. Batches made from
+    pending postings pair by construction and need no check. With such pairs one rank by both
+    keys does the dedupe, and two anti joins do the rest. A NULL key never collides: it joins
+    under a value no stored key has, made from the other key so that NULLs spread.
     """
     if check and not ambiguous_details(batch).isEmpty():
         raise ValueError("detail batch pairs one id with several URLs, or one URL with several ids")
-    new_id = accept_by_key(batch, stored, "job_id", order_by)
-    return accept_by_key(new_id, stored, "job_url", order_by)
+    keyless = F.col("job_id").isNull() & F.col("job_url").isNull()
+    pair = Window.partitionBy("job_id", "job_url").orderBy(*order_by)
+    first = batch.filter(~keyless).withColumn("_rank", F.row_number().over(pair)).filter(F.col("_rank") == 1)
+    # Stored ids are positive and stored URLs hold no such character.
+    id_key = F.coalesce("job_id", -1 - F.shiftrightunsigned(F.xxhash64("job_url"), 1))
+    url_key = F.coalesce("job_url", F.concat(F.lit("\u0000"), F.col("job_id").cast("string")))
+    ids = stored.select(F.col("job_id").alias("_stored_id"))
+    urls = stored.select(F.col("job_url").alias("_stored_url"))
+    new = first.join(ids, id_key == F.col("_stored_id"), "left_anti").join(
+        urls, url_key == F.col("_stored_url"), "left_anti")
+    return new.select(*batch.columns).union(batch.filter(keyless))

@@ -118,14 +118,17 @@ def not_in_details(postings: DataFrame, details: DataFrame) -> DataFrame:
 
 
 def ids_in(postings: DataFrame, ids: DataFrame) -> DataFrame:
-    """Postings whose id is in the one-column frame ``ids``."""
-    return postings.join(ids.select(F.col(ids.columns[0]).alias("id")), "id", "left_semi")
+    """Postings whose id is in the one-column frame ``ids``.
+
+    Repeated ids are folded in each task before the shuffle, so a hot one does no harm.
+    """
+    return postings.join(ids.select(F.col(ids.columns[0]).alias("id")).distinct(), "id", "left_semi")
 
 
 def detail_by_id(details: DataFrame, ids: DataFrame | int) -> DataFrame:
     if isinstance(ids, int):
         return details.filter(F.col("job_id") == ids)
-    return details.join(ids.select(F.col(ids.columns[0]).alias("job_id")), "job_id", "left_semi")
+    return details.join(ids.select(F.col(ids.columns[0]).alias("job_id")).distinct(), "job_id", "left_semi")
 
 
 # -- counts --------------------------------------------------------------------

@@ -346,10 +346,7 @@ def card_skip_reasons(spark, sf):
     SELECT CASE WHEN rn = 1 THEN 'kept' ELSE 'duplicate' END AS reason, count(*) AS cards
     FROM (SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) GROUP BY 1""")
 def card_skip_reasons_positional(spark, sf):
-    cards = v.order_cards(spark, sf).drop("page_id", "href").join(
-        v.table(spark, sf, "orders").select("o_orderkey", "o_custkey"),
-        F.regexp_extract("text", r"Order (\d+)", 1).cast("long") == F.col("o_orderkey"))
-    cards = cards.withColumn("href", F.concat(F.lit("/job/"), F.col("o_custkey").cast("string")))
+    cards = v.order_cards(spark, sf, "/job/", "o_custkey")
     return listing.card_skip_reasons(cards, "positional", within=[])
 
 
@@ -413,14 +410,14 @@ def default_unknown(spark, sf):
 @query("listings_from_payload", f"""
     SELECT 'B' AS source, pos, CASE WHEN title = '' THEN 'Unknown' ELSE title END AS title, company, 'Unknown' AS location,
            CAST(NULL AS DATE) AS posted_date, '{SITE_ROOT}/job/' || doc_id AS job_url
-    FROM (SELECT doc_id, source AS company, lang,
-                 row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, split_part(text, chr(10), 1) AS title FROM documents)""")
+    FROM (SELECT doc_id, source AS company, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos,
+                 unnest(string_split(text, chr(10))) AS title FROM documents)""")
 def listings_from_payload_query(spark, sf):
-    card = F.struct(F.concat(F.lit("/job/"), F.col("doc_id").cast("string")).alias("url"),
-                    F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("source").alias("company"),
-                    F.lit("").alias("location"))
-    payloads = v.table(spark, sf, "documents").groupBy("source").agg(
-        F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", card.alias("card")))), lambda x: x["card"])).alias("payload"))
+    """Each document is a payload: one listing per line."""
+    url = F.concat(F.lit("/job/"), F.col("doc_id").cast("string"))
+    payload = F.to_json(F.transform(F.split("text", "\n"), lambda line: F.struct(
+        url.alias("url"), line.alias("title"), F.col("source").alias("company"), F.lit("").alias("location"))))
+    payloads = v.table(spark, sf, "documents").select(payload.alias("payload"))
     return listings_from_payload(payloads, "payload", SITE_ROOT, "B")
 
 

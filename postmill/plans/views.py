@@ -158,7 +158,7 @@ def payload_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
 
 
-def order_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_cards(spark: SparkSession, sf_dir: str, path: str = "/vacancies/", key: str = "o_orderkey") -> DataFrame:
     """Listing cards of the orders: title, separator line, date line; some name a place."""
     place = F.when(F.col("o_orderstatus") == "O", "Bakı ofisi").when(F.col("o_orderstatus") == "F", "REMOTE work").otherwise("Paris")
     day = F.when(F.col("o_orderstatus") == "P", F.lit(" Dünən ")).otherwise(
@@ -169,7 +169,7 @@ def order_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority"), F.lit(" ● "), place, F.lit("\n  \n"), day)
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("page_id"),
-        F.concat(F.lit("/vacancies/"), F.col("o_orderkey").cast("string")).alias("href"), inner.alias("inner"),
+        F.concat(F.lit(path), F.col(key).cast("string")).alias("href"), inner.alias("inner"),
         F.replace(F.regexp_replace(inner, "<[^>]+>", ""), F.lit("&amp;"), F.lit("&")).alias("text"))
 
 

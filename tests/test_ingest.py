@@ -76,15 +76,19 @@ def details(spark, *rows):
 
 
 def test_ingest_details(spark):
-    have = details(spark, (1, "a"))
-    new = details(spark, (1, "a"), (2, "a"), (3, "c"), (3, "c"), (4, None), (5, None), (None, "d"))
-    rows = ingest.ingest_details(new, have, check=False).collect()
-    assert sorted(map(str, rows)) == sorted(map(str, details(spark, (3, "c"), (4, None), (5, None), (None, "d")).collect()))
+    have = details(spark, (1, "a"), (None, "n"), (8, None))
+    new = details(spark, (1, "z"), (2, "a"), (3, "c"), (3, "c"), (4, None), (4, None), (5, None), (None, "d"), (None, "d"), (None, "n"), (8, "y"),
+                  (None, None), (None, None))
+    rows = ingest.ingest_details(new, have).collect()
+    expected = details(spark, (3, "c"), (4, None), (5, None), (None, "d"), (None, None), (None, None))
+    assert sorted(map(str, rows)) == sorted(map(str, expected.collect()))
 
 
-def test_ambiguous_detail_batches_are_refused(spark):
+@pytest.mark.parametrize("rows", [
+    [(1, "a"), (1, "b")], [(1, "a"), (2, "a")], [(1, "a"), (1, None)], [(1, "a"), (None, "a")]])
+def test_ambiguous_detail_batches_are_refused(spark, rows):
     with pytest.raises(ValueError, match="several"):
-        ingest.ingest_details(details(spark, (1, "a"), (1, "b")), details(spark, (9, "z")))
+        ingest.ingest_details(details(spark, *rows), details(spark, (9, "z")))
 
 
 def test_url_exists_and_existing(spark):
