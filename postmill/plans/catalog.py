@@ -15,7 +15,7 @@ from postmill.operators import details as det
 from postmill.plans import views as v
 from postmill.plans.views import with_views
 from postmill.sources.readers import listings_from_payload, usable_page
-from postmill.sources.staging import shared_folder
+from postmill.sources.staging import shared_folder, spread
 from postmill.sources.store import Store
 from postmill.streaming import rounds
 
@@ -515,7 +515,7 @@ def title_and_sections(spark, sf):
 @query("salary_span", "SELECT doc_id AS page_id, '500 - ' || n_chars || ' azn' AS salary FROM documents")
 def salary_span(spark, sf):
     shown = text.visible_text(F.col("html"), " ")
-    return v.section_pages(spark, sf).select("page_id", numbers.salary_span(shown).alias("salary"))
+    return spread(v.section_pages(spark, sf), "page_id").select("page_id", numbers.salary_span(shown).alias("salary"))
 
 
 @query("vocabulary_hit", """
@@ -544,7 +544,7 @@ def compact_number(spark, sf):
         '(?s)<!--.*?-->', '', 'g'), '(?s)<script.*?</script>', '', 'g'), '(?s)<style.*?</style>', '', 'g'),
         '<[!/a-zA-Z][^>]*>', '', 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&') AS text FROM pages""")
 def visible_text(spark, sf):
-    return v.table(spark, sf, "pages").select("page_id", text.visible_text(F.col("html")).alias("text"))
+    return spread(v.table(spark, sf, "pages"), "page_id").select("page_id", text.visible_text(F.col("html")).alias("text"))
 
 
 @query("meta_fallback", """

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from postmill.operators.ingest import dedupe_first_wins
 from postmill.operators.mutate import with_sent_flag
+from postmill.sources.staging import spread
 
 AS_OF = datetime.date(2024, 1, 31)
 NO_LINK_FEED, NO_DATE_FEED = "src7", "src11"
@@ -167,7 +168,7 @@ def order_cards(spark: SparkSession, sf_dir: str, path: str = "/vacancies/", key
     inner = F.concat(
         F.when(F.col("o_orderpriority") == "2-HIGH", F.concat(F.lit("<h3> Urgent &amp; "), title, F.lit("</h3>\n"))).otherwise(F.concat(title, F.lit("\n"))),
         F.col("o_orderpriority"), F.lit(" ● "), place, F.lit("\n  \n"), day)
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders"), "o_orderkey").select(
         F.col("o_orderkey").alias("page_id"),
         F.concat(F.lit(path), F.col(key).cast("string")).alias("href"), inner.alias("inner"),
         F.replace(F.regexp_replace(inner, "<[^>]+>", ""), F.lit("&amp;"), F.lit("&")).alias("text"))

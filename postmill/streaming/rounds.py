@@ -7,7 +7,7 @@ replaces its own partitions, so a replayed batch leaves the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from postmill.functions.keywords import parse_keyword_list
+from postmill.functions.text import absolute_url
 from postmill.operators import details as det
 from postmill.operators import ingest, mutate, notify, queries
 from postmill.schemas import DETAIL_FIELDS, LISTING
@@ -30,6 +31,8 @@ class RoundSettings:
     sites: Sequence[det.Site] = ()
     keywords: Sequence[str] = field(default_factory=parse_keyword_list)
     site_root: str = ""
+    # Root of each source whose listings may hold relative URLs.
+    source_roots: Mapping[str, str] = field(default_factory=dict)
 
 
 def landed_listings(spark: SparkSession, path: str, files_per_round: int | None = None) -> DataFrame:
@@ -46,7 +49,11 @@ def landed_listings(spark: SparkSession, path: str, files_per_round: int | None
 
 def run_round(store: Store, listings: DataFrame, pages: DataFrame, settings: RoundSettings, batch_id: int) -> None:
     now = F.current_timestamp()
-    listings = stage(listings, "listings")  # read several times below
+    # URLs are made absolute before they serve as keys. Staged, as it is read several times below.
+    url = F.col("job_url")
+    for source, root in settings.source_roots.items():
+        url = F.when(F.col("source") == source, absolute_url(F.col("job_url"), root)).otherwise(url)
+    listings = stage(listings.withColumn("job_url", url), "listings")
     order = [c for c in ARRIVAL if c in listings.columns]
 
     # Ingest. Only earlier batches count as stored, or a replay would refuse its own rows.
