@@ -78,10 +78,8 @@ def assign_ids(df: DataFrame, order_by: Sequence[str], start: DataFrame) -> Data
     partition its offset. The running sum is over partitions, not rows: at most one row per
     shuffle partition.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     place = F.monotonically_increasing_id()  # partition number, then row number within it
-    ranged = df.repartitionByRange(parts, *order_by).sortWithinPartitions(*order_by)
+    ranged = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)  # small ranges are merged at run time
     placed = stage(ranged.withColumn("_place", place), "ids")
     part = F.shiftright("_place", 33)
     row = F.col("_place").bitwiseAND((1 << 33) - 1)

@@ -48,6 +48,7 @@ def landed_listings(spark: SparkSession, path: str, files_per_round: int | None
 
 
 def run_round(store: Store, listings: DataFrame, pages: DataFrame, settings: RoundSettings, batch_id: int) -> None:
+    store = store.pin()
     now = F.current_timestamp()
     # URLs are made absolute before they serve as keys. Staged, as it is read several times below.
     url = F.col("job_url")
