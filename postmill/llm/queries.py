@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import decontaminate, langid, quality
+from postmill.llm import decontaminate, langid, quality, simhash, substrings
 from postmill.llm.common import fold, table
 from postmill.sources.staging import stage
 
@@ -18,6 +18,15 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(stats, forest).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedupe(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.filter(fold("doc_id", 5) != 0))
@@ -30,6 +39,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality": op2_quality,
+    "op3_substrings": op3_substrings,
+    "op5_simhash": op5_simhash,
     "op6_language": op6_language,
     "op10_decontamination": op10_decontamination,
 }
