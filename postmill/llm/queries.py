@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import decontaminate, langid, quality, simhash, substrings
+from postmill.llm import decontaminate, langid, packing, quality, simhash, substrings, vectors
 from postmill.llm.common import fold, table
 from postmill.sources.staging import stage
 
 
+def vocabulary() -> str:
+    """Place of the vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stats = stage(quality.features(docs), "quality-features")
@@ -33,15 +44,21 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_quality": op2_quality,
     "op3_substrings": op3_substrings,
     "op5_simhash": op5_simhash,
     "op6_language": op6_language,
+    "op9_vectors": op9_vectors,
     "op10_decontamination": op10_decontamination,
 }
 
