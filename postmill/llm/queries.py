@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import decontaminate, langid, packing, quality, simhash, substrings, vectors
+from postmill.llm import decontaminate, langid, licenses, packing, pii, quality, simhash, substrings, vectors
 from postmill.llm.common import fold, table
 from postmill.sources.staging import stage
 
@@ -44,6 +44,25 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan(docs, licenses.word_idf(docs))
+    starts = F.flatten(F.transform("base", lambda b: b["starts"]))
+    return found.select(
+        "doc_id", "n_words", F.size(starts).cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"), F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), "score")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.annotate(docs, pii.fit(docs))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", *[count(i).alias(f"n_{kind}") for i, kind in enumerate(pii.BASE_KINDS)],
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -58,6 +77,8 @@ QUERIES = {
     "op3_substrings": op3_substrings,
     "op5_simhash": op5_simhash,
     "op6_language": op6_language,
+    "op7_licenses": op7_licenses,
+    "op8_pii": op8_pii,
     "op9_vectors": op9_vectors,
     "op10_decontamination": op10_decontamination,
 }
