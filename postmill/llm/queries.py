@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import decontaminate, langid, licenses, packing, pii, quality, simhash, substrings, vectors
+from postmill.llm import decontaminate, katz, langid, licenses, packing, pii, quality, simhash, substrings, vectors
 from postmill.llm.common import fold, table
 from postmill.sources.staging import stage
 
@@ -33,6 +33,14 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedupe(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = katz.fit(docs.filter(fold("doc_id", 7) != 2))
+    return katz.score(docs, model).select(
+        "doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -75,6 +83,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
     "op3_substrings": op3_substrings,
+    "op4_katz": op4_katz,
     "op5_simhash": op5_simhash,
     "op6_language": op6_language,
     "op7_licenses": op7_licenses,

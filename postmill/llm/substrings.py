@@ -106,12 +106,12 @@ def _hulls(docs: DataFrame, key: str, text: str, length: int, k: int, passing: n
         run, "anchor long, hull long, doc long, lo long, windows array<long>")
 
 
-def fixed_filter(rows: DataFrame, column: str) -> np.ndarray:
-    """Bit set by the top ``FILTER_BITS`` bits of a 64-bit column; its size does not depend on the rows."""
-    slot = F.shiftrightunsigned(F.col(column), 64 - FILTER_BITS)
+def fixed_filter(rows: DataFrame, column: str, width: int = FILTER_BITS) -> np.ndarray:
+    """Bits set by the top ``width`` bits of a 64-bit column; the size does not depend on the rows."""
+    slot = F.shiftrightunsigned(F.col(column), 64 - width)
     cells = rows.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("cell")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out = np.zeros(1 << (width - 6), np.uint64)
     out[cells["cell"].to_numpy()] = cells["bits"].to_numpy().view(np.uint64)
     return out
 
