@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postmill.llm.words import LOWER, SPACED, find_words, slices, text_bytes
 
@@ -149,14 +150,17 @@ def proportions(data: np.ndarray, at: np.ndarray, model: LanguageModel) -> np.nd
     return best
 
 
-def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, lang_pred, score, langs)``: main language, its share, and the shares of all languages in the set."""
-    schema = f"{key} {docs.schema[key].dataType.simpleString()}, lang_pred string, score double, langs map<string,double>"
+def mark(docs: DataFrame, model: LanguageModel, prefix: str = "", text: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` and ``langs`` (shares of all languages in the set), their names prefixed."""
     kind = pa.map_(pa.string(), pa.float64())
+    names = [prefix + n for n in ("lang_pred", "score", "langs")]
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()),
+                           T.StructField(names[2], T.MapType(T.StringType(), T.DoubleType()))])
+    at_text = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            column = batch.column(1)
+        for batch in slices(batches, text):
+            column = batch.column(at_text)
             data, at = text_bytes(column)
             share = proportions(data, at, model)
             ascii_letter = ((data | 32) >= 97) & ((data | 32) <= 122)
@@ -166,11 +170,15 @@ def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: s
                 has[i] = any(c.isalpha() for c in column[i].as_py())
             known = has & (share.sum(1) > 0) if len(model.names) else np.zeros(len(has), bool)
             top = share.argmax(1) if len(model.names) else np.zeros(len(has), int)
-            names = [model.names[t] if k else UNKNOWN for t, k in zip(top, known, strict=True)]
+            main = [model.names[t] if k else UNKNOWN for t, k in zip(top, known, strict=True)]
             score = [float(min(1.0, share[i, t])) if k else 0.0 for i, (t, k) in enumerate(zip(top, known, strict=True))]
             langs = [[(n, float(v)) for n, v in zip(model.names, share[i], strict=True) if v > 0] if known[i] else [] for i in range(len(has))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(langs, kind)],
-                names=[key, "lang_pred", "score", "langs"])
+                [*batch.columns, pa.array(main, pa.string()), pa.array(score), pa.array(langs, kind)], names=[*batch.schema.names, *names])
+
+    return docs.mapInArrow(run, schema)
 
-    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, schema)
+
+def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, lang_pred, score, langs)``: main language, its share, and the shares of all languages in the set."""
+    return mark(docs.select(F.col(key), F.col(text)), model, text=text).select(key, "lang_pred", "score", "langs")
