@@ -313,7 +313,7 @@ def sketches(docs: DataFrame, key: str, text: str, k: int = SHINGLE) -> DataFram
             if not len(full):
                 continue
             same = np.add.reduceat(mix(h), heads)
-            codes = np.stack([_majority(mix(h + np.uint64(0x9E3779B97F4A7C15) * np.uint64(p + 1)), heads, n) for p in range(parts)], axis=1)
+            codes = np.stack([_majority(mix(h + np.uint64(0x9E3779B97F4A7C15 * (p + 1) % (1 << 64))), heads, n) for p in range(parts)], axis=1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(full)), pa.array(n), pa.array(same.view(np.int64)),
                  pa.array([row.tobytes() for row in codes], pa.binary())], names=[key, "n", "same", "sketch"])

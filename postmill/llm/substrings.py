@@ -11,7 +11,7 @@ document with a smaller key. The union of covered windows over neighbouring anch
 Occurrences are compared as sets (smallest key per hull and per window), never as pairs, so a passage in a
 third of all documents costs rows in proportion.
 
-Repeated anchors reach the second scan as a filter of fixed size (``FILTER_BITS``), which may pass too much, never
+Repeated anchors, and those with different hulls, reach the later scans as a filter of fixed size (``FILTER_BITS``), which may pass too much, never
 too little; joins on the full hashes follow.
 
 Defined results: NULL and texts below ``length`` words lose nothing; repeats within one document stay; documents
@@ -87,23 +87,26 @@ def _anchors(docs: DataFrame, key: str, text: str, length: int, k: int) -> DataF
     return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, "anchor long, doc long")
 
 
-def _hulls(docs: DataFrame, key: str, text: str, length: int, k: int, passing: np.ndarray) -> DataFrame:
+def _hulls(docs: DataFrame, key: str, text: str, length: int, k: int, passing: np.ndarray, with_windows: bool = False) -> DataFrame:
+    """Occurrences of the anchors that pass: ``(anchor, hull, doc, lo, n[, windows])``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = _occurrences(batch, length, k, passing)
             if found is None or not len(found[2]):
                 continue
             words, word, anchor, hull, owner, lo, counts = found
-            begin = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lo, counts)
-            window = run_hash(word, begin, begin + length)
-            bounds = np.append(0, np.cumsum(counts)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(hull.view(np.int64)), batch.column(0).take(pa.array(owner)),
-                 pa.array(lo - words.first[owner]), pa.ListArray.from_arrays(pa.array(bounds), pa.array(window.view(np.int64)))],
-                names=["anchor", "hull", "doc", "lo", "windows"])
+            out = [pa.array(anchor.view(np.int64)), pa.array(hull.view(np.int64)), batch.column(0).take(pa.array(owner)),
+                   pa.array(lo - words.first[owner]), pa.array(counts)]
+            if with_windows:
+                begin = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lo, counts)
+                window = run_hash(word, begin, begin + length)
+                bounds = np.append(0, np.cumsum(counts)).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(window.view(np.int64))))
+            yield pa.RecordBatch.from_arrays(out, names=["anchor", "hull", "doc", "lo", "n", "windows"][:len(out)])
 
     return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(
-        run, "anchor long, hull long, doc long, lo long, windows array<long>")
+        run, "anchor long, hull long, doc long, lo long, n long" + (", windows array<long>" if with_windows else ""))
 
 
 def fixed_filter(rows: DataFrame, column: str, width: int = FILTER_BITS) -> np.ndarray:
@@ -125,16 +128,18 @@ def covered(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
         F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
     passing = fixed_filter(repeated, "anchor")
     seen = _hulls(docs, key, text, length, k, passing)
-    hulls = stage(seen.groupBy("anchor", "hull").agg(
-        F.min("doc").alias("first"), F.max("doc").alias("last"), F.any_value("windows").alias("windows")), "hulls")
-    each = hulls.select("anchor", "hull", "first", F.posexplode("windows").alias("at", "window"))
+    hulls = stage(seen.groupBy("anchor", "hull").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "hulls")
+    # Windows are read only where hulls differ: equal ones are settled already.
+    mixed = fixed_filter(hulls.groupBy("anchor").agg(F.count("*").alias("hulls")).filter("hulls > 1"), "anchor")
+    each = _hulls(docs, key, text, length, k, mixed, True).groupBy("anchor", "hull").agg(
+        F.min("doc").alias("first"), F.any_value("windows").alias("windows")).select(
+        "anchor", "hull", "first", F.posexplode("windows").alias("at", "window"))
     shared = each.groupBy("window").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most")
     masks = each.join(shared, "window").filter("least < first").groupBy("anchor", "hull").agg(
         F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
-    known = hulls.select("anchor", "hull", "first", "last").join(masks, ["anchor", "hull"], "left").filter(
-        "first < last OR mask IS NOT NULL")
-    hit = seen.select("anchor", "hull", "doc", "lo", F.size("windows").alias("n")).join(known, ["anchor", "hull"]).select(
-        "doc", "lo", F.when(F.col("first") < F.col("doc"), F.expr("shiftleft(1L, n) - 1")).otherwise(F.col("mask")).alias("mask"))
+    known = hulls.join(masks, ["anchor", "hull"], "left").filter("first < last OR mask IS NOT NULL")
+    hit = seen.join(known, ["anchor", "hull"]).select(
+        "doc", "lo", F.when(F.col("first") < F.col("doc"), F.expr("shiftleft(1L, cast(n as int)) - 1")).otherwise(F.col("mask")).alias("mask"))
     return hit.filter("mask <> 0").groupBy("doc").agg(F.collect_list(F.struct("lo", "mask")).alias("runs"))
 
 
