@@ -15,6 +15,8 @@ by row number; repeated rows are packed each. An empty table gives no pieces.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,8 +32,9 @@ from postmill.sources.staging import stage
 LENGTH = 2048
 END = 1
 BINS, DIMENSIONS, ORDER = 256, 4, 12
-#: Encoded words that a worker remembers, and the longest such word.
-REMEMBERED, LONGEST = 300_000, 64
+#: Encoded parts that a worker remembers, the longest such part, and parts given to the tokenizer at once.
+REMEMBERED, LONGEST, TOGETHER = 400_000, 48, 2_000
+_SPACES = re.compile(r" (?:\s|$)")
 
 
 class Encoder:
@@ -42,20 +45,42 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # Tasks share the cores already; further threads would only hold memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        # Each sign of a byte-level token stands for one byte.
+        self.widths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.widths[number] = len(token)
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _fresh(self, parts: list[str]) -> dict[str, bytes]:
-        encoded = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return {p: np.array(e.ids, self.kind).tobytes() for p, e in zip(parts, encoded, strict=True)}
+        """Ids of parts not met before. Parts with a leading space are encoded as one text, whose ids are then cut
+        where the tokens' bytes add up to the parts'; what the tokenizer returns is far larger than ids, so few at once."""
+        out = {}
+        spaced = [p for p in parts if p[:1] == " "]
+        for begin in range(0, len(spaced), TOGETHER):
+            some = spaced[begin:begin + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.cumsum([len(p.encode()) for p in some])
+            cuts = np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1
+            raw, size = ids.astype(self.kind).tobytes(), self.kind.itemsize
+            out.update((p, raw[a * size:b * size]) for p, a, b in zip(some, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True))
+        for p in parts:
+            if p[:1] != " ":
+                out[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, self.kind).tobytes()
+        return out
 
     @staticmethod
     def parts(text: str) -> list[str]:
         """The text's parts, each with its leading space."""
+        if not _SPACES.search(text) and "\0" not in text:
+            return text.replace(" ", "\0 ").split("\0")
         raw = text.split(" ")
         out = [raw[0]]
         for p in raw[1:]:
@@ -67,15 +92,16 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.parts(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
+        if len(self.known) > REMEMBERED:  # what is met again moves on to the next generation
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
         extra: dict[str, bytes] = {}
-        fresh = list(set().union(*split).difference(known)) if split else []
-        if fresh:
-            new = self._fresh(fresh)
-            for p, ids in new.items():
-                (known if len(p) <= LONGEST else extra)[p] = ids
+        fresh = set().union(*split).difference(known)
+        again = fresh.intersection(old)
+        known.update((p, old[p]) for p in again)
+        fresh = list(fresh.difference(again))
+        for p, ids in self._fresh(fresh).items():
+            (known if len(p) <= LONGEST else extra)[p] = ids
         if extra:
             return [b"".join([known[p] if p in known else extra[p] for p in s]) for s in split]
         return [b"".join(map(known.__getitem__, s)) for s in split]
