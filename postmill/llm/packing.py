@@ -19,6 +19,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ LENGTH = 2048
 END = 1
 BINS, DIMENSIONS, ORDER = 256, 4, 12
 #: Encoded parts that a worker remembers, the longest such part, and parts given to the tokenizer at once.
-REMEMBERED, LONGEST, TOGETHER = 400_000, 48, 2_000
+REMEMBERED, LONGEST, TOGETHER = 800_000, 48, 2_000
 _SPACES = re.compile(r" (?:\s|$)")
 
 
@@ -96,7 +97,7 @@ class Encoder:
             self.old, self.known = self.known, {}
         known, old = self.known, self.old
         extra: dict[str, bytes] = {}
-        fresh = set().union(*split).difference(known)
+        fresh = set(filterfalse(known.__contains__, chain.from_iterable(split)))
         again = fresh.intersection(old)
         known.update((p, old[p]) for p in again)
         fresh = list(fresh.difference(again))
