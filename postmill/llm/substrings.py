@@ -11,8 +11,8 @@ document with a smaller key. The union of covered windows over neighbouring anch
 Occurrences are compared as sets (smallest key per hull and per window), never as pairs, so a passage in a
 third of all documents costs rows in proportion.
 
-Repeated anchors, and those with different hulls, reach the later scans as a filter of fixed size (``FILTER_BITS``), which may pass too much, never
-too little; joins on the full hashes follow.
+Repeated anchors, those with different hulls, and windows that several hulls share, reach the later steps as filters
+of fixed size, which may pass too much, never too little; joins on the full hashes follow.
 
 Defined results: NULL and texts below ``length`` words lose nothing; repeats within one document stay; documents
 with equal keys count as one holder. Extra columns are ignored.
@@ -34,6 +34,7 @@ from postmill.sources.staging import stage
 LENGTH = 50
 ANCHOR = 10
 FILTER_BITS = 25
+WINDOW_BITS = 26
 
 
 def _least_of(values: np.ndarray, width: int) -> np.ndarray:
@@ -119,6 +120,24 @@ def fixed_filter(rows: DataFrame, column: str, width: int = FILTER_BITS) -> np.n
     return out
 
 
+def _passing_windows(content: DataFrame, passing: np.ndarray) -> DataFrame:
+    """``(id, first, at, window)`` of the windows that the filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            n = np.diff(lists.offsets.to_numpy())
+            window = lists.flatten().to_numpy().view(np.uint64)
+            owner, at = np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            slot = (window >> np.uint64(64 - WINDOW_BITS)).astype(np.int64)
+            some = np.flatnonzero((passing[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i).take(pa.array(owner[some])) for i in (0, 1)), pa.array(at[some].astype(np.int32)), pa.array(window[some].view(np.int64))],
+                names=["id", "first", "at", "window"])
+
+    return content.mapInArrow(run, "id long, first long, at int, window long")
+
+
 def covered(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
     """``(doc, runs)``: for each document with repeats, ``(lo, mask)`` entries; bit i of a mask is the window at word lo + i."""
     if length - k + 1 > 62:
@@ -131,12 +150,13 @@ def covered(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     hulls = stage(seen.groupBy("anchor", "hull").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "hulls")
     # Windows are read only where hulls differ: equal ones are settled already.
     mixed = fixed_filter(hulls.groupBy("anchor").agg(F.count("*").alias("hulls")).filter("hulls > 1"), "anchor")
-    each = _hulls(docs, key, text, length, k, mixed, True).groupBy("anchor", "hull").agg(
-        F.min("doc").alias("first"), F.any_value("windows").alias("windows")).select(
-        "anchor", "hull", "first", F.posexplode("windows").alias("at", "window"))
-    shared = each.groupBy("window").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most")
-    masks = each.join(shared, "window").filter("least < first").groupBy("anchor", "hull").agg(
-        F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
+    content = stage(_hulls(docs, key, text, length, k, mixed, True).groupBy("anchor", "hull").agg(
+        F.min("doc").alias("first"), F.any_value("windows").alias("windows")).withColumn("id", F.monotonically_increasing_id()), "windows")
+    shared = stage(content.select("first", F.explode("windows").alias("window")).groupBy("window").agg(
+        F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most").drop("most"), "shared-windows")
+    meeting = _passing_windows(content.select("id", "first", "windows"), fixed_filter(shared, "window", WINDOW_BITS))
+    masks = meeting.join(shared, "window").filter("least < first").groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
+    masks = content.select("anchor", "hull", "id").join(masks, "id").drop("id")
     known = hulls.join(masks, ["anchor", "hull"], "left").filter("first < last OR mask IS NOT NULL")
     hit = seen.join(known, ["anchor", "hull"]).select(
         "doc", "lo", F.when(F.col("first") < F.col("doc"), F.expr("shiftleft(1L, cast(n as int)) - 1")).otherwise(F.col("mask")).alias("mask"))
