@@ -1,7 +1,7 @@
 """Licence scan by a positional index of rare words, with built-in expressions only.
 
 Words are runs of ASCII letters and digits and of all that is not ASCII, A-Z lower-cased. Each notice is indexed by the
-``INDEXED`` of its words with the highest IDF over all documents, with their positions. A file looks up the
+``INDEXED`` words of its key phrase with the highest IDF over all documents, with their positions. A file looks up the
 ``LOOKED_UP`` rarest licence words it holds; a word at ``i`` that a notice holds at ``p`` proposes that notice at
 ``i - p``. A proposal stands if at least two indexed words agree on it and the notice's key phrase stands word for
 word at its place. Its score is the share of the notice's words found in place. Base phrases are found where
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from postmill.llm.licence_texts import BASE, NOTICES
 
 INDEXED = 5
-LOOKED_UP = 8
+LOOKED_UP = 32
 AGREEING = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -77,8 +77,8 @@ def scan(docs: DataFrame, idf: dict[str, float], text: str = "text", notices: Se
     for t, (label, body, phrase) in enumerate(notices):
         words, key = _words(body), _words(phrase)
         at = next(i for i in range(len(words)) if words[i:i + len(key)] == key)
-        rare = sorted(set(words), key=lambda w: (-idf[w], w))[:INDEXED]
-        index = [{"p": p, "w": w} for p, w in enumerate(words) if w in rare]
+        rare = sorted(set(key), key=lambda w: (-idf[w], w))[:INDEXED]
+        index = [{"p": at + p, "w": w} for p, w in enumerate(key) if w in rare]
         postings += [{"w": x["w"], "t": t, "p": x["p"]} for x in index]
         templates.append({"label": label, "words": words, "at": at, "key": key, "index": index})
     ranked = sorted({p["w"] for p in postings}, key=lambda w: (-idf[w], w))
