@@ -83,8 +83,8 @@ def _passes(kind: str, value: Column) -> Column:
     """The check of a base kind."""
     digits = _digits(value)
     if kind == "ip":
-        return F.forall(F.split(value, r"\."), lambda p: F.length(F.ltrim(F.lit("0"), p)) <= 3) & F.forall(
-            F.split(value, r"\."), lambda p: F.coalesce(F.ltrim(F.lit("0"), p).try_cast("int"), F.lit(0)) <= 255)
+        return F.forall(F.split(value, r"\."), lambda p: F.length(F.ltrim(p, F.lit("0"))) <= 3) & F.forall(
+            F.split(value, r"\."), lambda p: F.coalesce(F.ltrim(p, F.lit("0")).try_cast("int"), F.lit(0)) <= 255)
     if kind == "card":
         return F.length(digits).between(14, 19) & _luhn(digits)
     if kind == "phone":
