@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.llm.common import components, drop_staged, key_chunks, local_roots
@@ -282,6 +282,9 @@ TABLES = 10
 CODE_BITS = 32
 #: Of 320 bits, about 49 differ at similarity 0.8, with a standard deviation of about 6.
 FAR = 72
+#: Documents of a group that become or follow leaders in one round, and other documents per task.
+LEADERS = 512
+SALT_ROWS = 2_000
 
 
 def _sets(words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -333,27 +336,57 @@ def shingle_sets(docs: DataFrame, key: str, text: str, k: int = SHINGLE) -> Data
     return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("text")).mapInArrow(run, f"{key} long, shingles binary")
 
 
-def _compare(pairs: DataFrame, similar: float) -> DataFrame:
+def _judge(rows: DataFrame, similar: float, far: int) -> DataFrame:
+    """``(doc, leader)`` of each row of ``component, salt, role, doc, sketch, shingles``; NULL while no leader is similar.
+
+    Rows come sorted: the candidates for leaders of a group (role 0), then its other documents. A candidate that is
+    similar to an earlier leader follows it, else it leads. One task holds the leaders of one group.
+    """
+
+    def near(one: tuple, other: tuple) -> bool:
+        x, y = one[2], other[2]
+        if not similar * len(x) - 1e-9 <= len(y) <= len(x) / similar + 1e-9:
+            return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= similar * (len(x) + len(y) - both) - 1e-9
+
+    def follow(one: tuple, leaders: list[tuple], signs: np.ndarray) -> int | None:
+        if not leaders:
+            return None
+        close = np.flatnonzero(np.bitwise_count(signs[:len(leaders)] ^ one[1]).sum(1) <= far)
+        return next((leaders[i][0] for i in close.tolist() if near(one, leaders[i])), None)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, leaders, signs = None, [], np.zeros((0, 1), np.uint64)
         for batch in batches:
-            near = []
-            for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(both >= similar * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(near, pa.bool_())], names=["component", "doc", "leader", "near"])
-
-    return pairs.select("component", "doc", "leader", "shingles", "leader_shingles").mapInArrow(
-        run, "component long, doc long, leader long, near boolean")
+            docs, led = [], []
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            for component, salt, role, doc, sketch, shingles in zip(*columns, strict=True):
+                if (component, salt) != group:
+                    group, leaders = (component, salt), []
+                    signs = np.zeros((LEADERS, len(sketch) // 8), np.uint64)
+                one = (doc, np.frombuffer(sketch, np.uint64), np.frombuffer(shingles, np.uint64))
+                leader = follow(one, leaders, signs)
+                if role == 0 and leader is None:
+                    leader = doc
+                    signs[len(leaders)] = one[1]
+                    leaders.append(one)
+                if role == 1 or salt == 0:
+                    docs.append(doc)
+                    led.append(leader)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(led, pa.int64())], names=["doc", "leader"])
+
+    return rows.select("component", "salt", "role", "doc", "sketch", "shingles").mapInArrow(run, "doc long, leader long")
 
 
 def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
     """``(key, kept)``: each document to leave out, and the kept one whose shingle set is at least ``similar`` to its own.
 
-    Candidates come from SimHash codes joined over tries, in ``TABLES`` tables. In each group of candidates the
-    smallest id leads; what is similar to it (Jaccard of the shingle sets) is left out; the others go on with a
-    leader of their own, until all are placed. So everything left out has a kept document that it was compared
-    with. Texts without words are never duplicates.
+    Candidates come from SimHash codes joined over tries, in ``TABLES`` tables. In each group of candidates documents are
+    taken by id: one similar (Jaccard of the shingle sets) to a leader is left out, else it leads. ``LEADERS`` documents of
+    a group are settled among themselves per round, and all others, spread over tasks, are compared with these; who
+    finds none goes on to the next round. So everything left out has a kept document that it was compared with, and
+    no two pairs of a group are compared but with leaders. Texts without words are never duplicates.
     """
     spark = docs.sparkSession
     found = stage(sketches(docs, key, text, k), "sketches")
@@ -371,17 +404,22 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     codes = nodes.select("node", "sketch").mapInArrow(split, "tab int, node long, code long, sketch binary")
     groups = components(links(codes, CODE_BITS, BUDGET, far=FAR))
     members = docs.join(groups.withColumnRenamed("id", key), key, "left_semi")
-    open_ = stage(shingle_sets(members, key, text, k).join(groups, F.col(key) == F.col("id")).select(
-        "component", F.col(key).alias("doc"), "shingles"), "group-sets")
+    sets = shingle_sets(members, key, text, k).join(nodes.select(F.col("node").alias(key), "sketch"), key)
+    open_ = stage(sets.join(groups, F.col(key) == F.col("id")).select("component", F.col(key).alias("doc"), "sketch", "shingles").distinct(), "group-sets")
     placed = None
     while not open_.isEmpty():
-        leaders = open_.groupBy("component").agg(F.min(F.struct("doc", "shingles")).alias("l")).select(
-            "component", F.col("l.doc").alias("leader"), F.col("l.shingles").alias("leader_shingles"))
-        judged = stage(_compare(open_.join(leaders, "component"), similar), "judged")
-        near = judged.filter("near").select("doc", "leader")
+        sizes = open_.groupBy("component").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
+        first = open_.select("component", "doc").withColumn(
+            "rank", F.row_number().over(Window.partitionBy("component").orderBy("doc"))).filter(F.col("rank") <= LEADERS).select(
+            F.col("doc").alias("lead"))
+        roles = open_.join(first, F.col("doc") == F.col("lead"), "left").join(sizes, "component").withColumn(
+            "role", F.when(F.col("lead").isNull(), 1).otherwise(0))
+        own = F.array(F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int"))
+        dealt = roles.withColumn("salt", F.explode(F.when(F.col("role") == 0, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(own)))
+        judged = stage(_judge(dealt.repartition("component", "salt").sortWithinPartitions("component", "salt", "role", "doc"), similar, FAR), "judged")
+        near = judged.filter("leader IS NOT NULL")
         placed = near if placed is None else placed.unionAll(near)
-        left = judged.filter("NOT near").select("doc")
-        following = stage(open_.join(left, "doc", "left_semi").select("component", "doc", "shingles"), "group-sets")
+        following = stage(open_.join(judged.filter("leader IS NULL"), "doc", "left_semi").select("component", "doc", "sketch", "shingles"), "group-sets")
         drop_staged(spark, open_)
         open_ = following
     copies = found.join(nodes.select("same", "n", "node"), ["same", "n"]).select(F.col(key).alias("doc"), "node")
