@@ -40,8 +40,8 @@ DISCOUNTED = 5
 FREQUENT = 1 << 17
 FILTER_BITS = 26
 #: Tokens that a task gathers before it ships them, and entries of one part.
-GATHER = 1_200_000
-PART = 3_000_000
+GATHER = 500_000
+PART = 1_500_000
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 _SECOND = np.uint64(0x9E3779B97F4A7C15)
 
