@@ -8,7 +8,6 @@ write here while a failed round still waits to be run again.
 from __future__ import annotations
 
 import datetime
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Row
@@ -102,13 +101,13 @@ class Feed:
     # -- delivery state --------------------------------------------------------
 
     def _log(self, rows: DataFrame) -> int:
-        """Add to the delivery log under a step of its own, after all that is there.
+        """Add to the delivery log under the step for changes by hand, after all that is there.
 
         Before the first round it goes to batch -1, which that round takes into account.
         """
-        rows = stage(rows.withColumn("step", F.lit(f"by-hand-{uuid.uuid4().hex}")), "delivery")
+        rows = stage(rows, "delivery")
         last = self.store.read("delivery").agg(F.max("batch_id")).first()[0]
-        self.store.append("delivery", rows, -1 if last is None else last)
+        self.store.add_to_log(rows, -1 if last is None else last, "by-hand")
         return rows.count()
 
     def mark_sent(self, ids: DataFrame) -> int:

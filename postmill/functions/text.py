@@ -19,7 +19,9 @@ _HIDDEN = r"(?is)<(?:!--.*?-->|(script|style|template)\b.*?</\1\s*>)"
 _MARKUP = r"(?is)<(?:!--.*?-->|(script|style|template)\b.*?</\1\s*>|[!/?a-z][^>]*>)"
 _BREAK = "\u0001"  # stands for "markup was here"; not a character of any HTML text
 
-_NAMED = json.dumps({n: chr(c) for n, c in html.entities.name2codepoint.items()} | {"apos": "'"})
+_NAMED = json.dumps({n[:-1]: c for n, c in html.entities.html5.items() if n.endswith(";")})
+# Numbers 128 to 159 stand for the signs of the Windows code page, as in HTML; five of them have none.
+_WINDOWS = json.dumps({str(n): bytes([n]).decode("cp1252") for n in range(128, 160) if n not in (129, 141, 143, 144, 157)})
 
 
 def strip(c: Column) -> Column:
@@ -82,7 +84,8 @@ def _entity(segment: Column) -> Column:
         name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10).try_cast("int")
     ).otherwise(F.substring(name, 2, 7).try_cast("int"))
     valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
-    char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+    windows = F.try_element_at(F.from_json(F.lit(_WINDOWS), "map<string,string>"), number.cast("string"))
+    char = F.coalesce(F.when(number.between(128, 159), windows), F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")))
     value = F.when(name.startswith("#"), char).otherwise(
         F.try_element_at(F.from_json(F.lit(_NAMED), "map<string,string>"), name)
     )
@@ -91,7 +94,7 @@ def _entity(segment: Column) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    """Decode named (HTML 4) and numeric character references in one pass."""
+    """Decode named (HTML 5) and numeric character references in one pass."""
     parts = F.split(c, "&")
     decoded = F.transform(F.slice(parts, F.lit(2), F.size(parts)), _entity)
     return F.when(c.contains("&"), F.concat(parts[0], F.array_join(decoded, ""))).otherwise(c)

@@ -1,13 +1,14 @@
 """Crawl logs: how far each crawl had to scroll.
 
-A crawl stops at ``max_scrolls`` at the latest, so later scrolls are cut before anything else and
-cards are reduced to one row per scroll. What a window then sees of one crawl is at most
-``max_scrolls`` narrow rows, however large the crawl is.
+Facts about scrolls (last dates, growth, standstills) cover every scroll of the log; only cutting a log applies a bound,
+and each site has its own (``SITE_RULES``). Cards are reduced to one narrow row per scroll before any window.
 """
 
 from __future__ import annotations
 
 import datetime
+from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,14 +19,28 @@ from postmill.operators.ingest import dedupe_first_wins
 
 CRAWL = ["site", "crawl_id"]
 SCROLL = [*CRAWL, "scroll_no"]
-MAX_SCROLLS = {"A": 100, "B": 30}
 
 
-def _within(log: DataFrame, max_scrolls: int) -> DataFrame:
-    return log.filter(F.col("scroll_no") <= max_scrolls)
+@dataclass(frozen=True)
+class SiteRule:
+    """When a crawl of a site stops: at ``max_scrolls``; after ``streak`` scrolls that changed neither the height nor the
+    count (of cards, or of ``distinct_urls``); and at dates ``target_days`` old, where ``by_age`` says so."""
 
+    max_scrolls: int
+    streak: int = 1
+    distinct_urls: bool = False
+    by_age: bool = True
 
-def _scrolls(log: DataFrame, max_scrolls: int, with_lines: bool = False) -> DataFrame:
+
+#: Fixed values of the two sites.
+SITE_RULES = {"A": SiteRule(100), "B": SiteRule(30, streak=3, distinct_urls=True, by_age=False)}
+
+
+def _within(log: DataFrame, max_scrolls: int | None) -> DataFrame:
+    return log if max_scrolls is None else log.filter(F.col("scroll_no") <= max_scrolls)
+
+
+def _scrolls(log: DataFrame, max_scrolls: int | None, with_lines: bool = False) -> DataFrame:
     """One row per scroll: height, number of cards, and the lines of the last card if asked for."""
     counted = [F.max("height").alias("height"), F.count("*").alias("cards")]
     if with_lines:
@@ -40,21 +55,21 @@ def _last_date(as_of: Column | datetime.date | str) -> Column:
     return F.try_element_at(F.filter(dated, lambda s: s["date"].isNotNull()), F.lit(1))
 
 
-def last_visible_date(log: DataFrame, as_of: Column | datetime.date | str, max_scrolls: int = 100) -> DataFrame:
+def last_visible_date(log: DataFrame, as_of: Column | datetime.date | str, max_scrolls: int | None = None) -> DataFrame:
     """Date and text of the first date line of the last card, per scroll."""
     last = _scrolls(log, max_scrolls, with_lines=True).withColumn("_last", _last_date(as_of))
     return last.select(*SCROLL, F.col("_last.date").alias("last_date"), F.col("_last.text").alias("last_text"))
 
 
 def cutoff_by_age(log: DataFrame, target_days: int, as_of: Column | datetime.date | str,
-                  max_scrolls: int = 100) -> DataFrame:
+                  max_scrolls: int | None = None) -> DataFrame:
     """First scroll whose last date is at least ``target_days`` old; NULL when there is none."""
     old = days_ago(F.col("last_date"), as_of) >= target_days
     return last_visible_date(log, as_of, max_scrolls).groupBy(*CRAWL).agg(
         F.min(F.when(old, F.col("scroll_no"))).alias("age_cutoff"))
 
 
-def _with_growth(log: DataFrame, scrolls: DataFrame, max_scrolls: int) -> DataFrame:
+def _with_growth(log: DataFrame, scrolls: DataFrame, max_scrolls: int | None) -> DataFrame:
     """Add new and running distinct URLs. A URL counts in the first scroll that shows it."""
     first_seen = (
         _within(log, max_scrolls).filter(F.col("url").isNotNull())
@@ -69,7 +84,7 @@ def _with_growth(log: DataFrame, scrolls: DataFrame, max_scrolls: int) -> DataFr
     )
 
 
-def distinct_growth(log: DataFrame, max_scrolls: int = 100) -> DataFrame:
+def distinct_growth(log: DataFrame, max_scrolls: int | None = None) -> DataFrame:
     """New and running distinct URLs per scroll, with height and number of cards."""
     return _with_growth(log, _scrolls(log, max_scrolls), max_scrolls)
 
@@ -88,14 +103,14 @@ def _with_stall_length(scrolls: DataFrame, count: str) -> DataFrame:
     return runs.withColumn("stalled", F.sum(F.when(F.col("_same"), 1).otherwise(0)).over(in_run)).drop("_same", "_run")
 
 
-def _counted(log: DataFrame, distinct_urls: bool, max_scrolls: int, with_lines: bool = False) -> tuple[DataFrame, str]:
+def _counted(log: DataFrame, distinct_urls: bool, max_scrolls: int | None, with_lines: bool = False) -> tuple[DataFrame, str]:
     """Scrolls, and the column whose standstill ends a crawl: cards, or running distinct URLs."""
     scrolls = _scrolls(log, max_scrolls, with_lines)
     return (_with_growth(log, scrolls, max_scrolls), "total_urls") if distinct_urls else (scrolls, "cards")
 
 
 def cutoff_stalled(log: DataFrame, streak: int = 1, distinct_urls: bool = False,
-                   max_scrolls: int = 100) -> DataFrame:
+                   max_scrolls: int | None = None) -> DataFrame:
     """First scroll ending a run of ``streak`` scrolls that changed neither height nor count."""
     stalled = _with_stall_length(*_counted(log, distinct_urls, max_scrolls))
     return stalled.groupBy(*CRAWL).agg(
@@ -127,3 +142,16 @@ def apply_cutoff(log: DataFrame, as_of: Column | datetime.date | str, target_day
     cards = dedupe_first_wins(
         _within(log, max_scrolls), "url", ["scroll_no", "pos"], within=CRAWL, unique_order=True)
     return cards.join(kept.select(*SCROLL), SCROLL, "left_semi").select(*log.columns)
+
+
+def apply_site_rules(log: DataFrame, as_of: Column | datetime.date | str, target_days: int,
+                     rules: Mapping[str, SiteRule] = SITE_RULES) -> DataFrame:
+    """Cut a log of several sites, each by its own rule; sites without a rule keep all their cards, each URL once."""
+    parts = [apply_cutoff(log.filter(F.col("site") == site), as_of, target_days if r.by_age else None, r.streak, r.distinct_urls, r.max_scrolls)
+             for site, r in rules.items()]
+    others = log.filter(F.col("site").isNull() | ~F.col("site").isin(*rules))
+    parts.append(dedupe_first_wins(others, "url", ["scroll_no", "pos"], within=CRAWL, unique_order=True).select(*log.columns))
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionAll(part)
+    return result

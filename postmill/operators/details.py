@@ -22,7 +22,6 @@ from postmill.functions.html_rows import loose_row, section_row
 from postmill.functions.numbers import first_compact_number, salary_span
 from postmill.functions.payload_rows import payload_row
 from postmill.schemas import DETAIL_FIELDS
-from postmill.sources.staging import spread
 
 # The page helpers travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(postmill)
@@ -206,38 +205,6 @@ def _plain_payload_fields(raw: Column) -> dict[str, Column]:
 def meta_fallback(description: Column, meta: Column) -> Column:
     """The description, or the meta text with plain spaces when there is none."""
     plain = F.replace(F.nullif(meta, F.lit("")), F.lit("\u00a0"), F.lit(" "))
-    return F.coalesce(F.nullif(description, F.lit("")), full), F.nullif(requirements, F.lit(""))
-
-
-def classify_by_keyword(description: Column, requirements: Column,
-                        pairs: Sequence[tuple[str, str]]) -> Column:
-    """Label of the first word, in list order, found anywhere in the lowered texts."""
-    both = F.lower(F.concat(description, F.lit("\n"), F.coalesce(requirements, F.lit(""))))
-    return F.when(description != "", text.first_label_in_order(both, pairs))
-
-
-def payload_fields(raw: Column) -> dict[str, Column]:
-    """Fields of the payload before the meta fallback."""
-    description, requirements = split_sections(raw["text"])
-    long_enough = raw["text_length"] > 10
-    deadline, salary, views = raw["deadline"], raw["salary"], raw["views"]
-    amount = salary["value"].try_cast("double")
-    return {
-        "description": F.when(long_enough, description),
-        "requirements": F.when(long_enough, requirements),
-        "category": raw["category"],
-        "deadline": F.when(~deadline["is_number"] & (F.length(deadline["value"]) >= 10),
-                           F.substring(deadline["value"], 1, 10)),
-        "salary": F.when(salary["is_number"], F.when(
-            amount > 0, F.concat(amount.try_cast("bigint").cast("string"), F.lit(" " + fv.CURRENCY_CODE))))
-        .otherwise(F.nullif(text.strip(salary["value"]), F.lit(""))),
-        "views": F.when(views["is_number"], views["value"].try_cast("double").try_cast("bigint")),
-    }
-
-
-def meta_fallback(description: Column, meta: Column) -> Column:
-    """The description, or the meta text with plain spaces when there is none."""
-    plain = F.replace(F.nullif(meta, F.lit("")), F.lit(" "), F.lit(" "))
     return F.coalesce(F.nullif(description, F.lit("")), plain, description)
 
 
@@ -262,14 +229,14 @@ def with_payload_fields(parsed: DataFrame, raw: str = "payload") -> DataFrame:
 
 def section_details(pages: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
     """Detail fields of server-rendered pages."""
-    bodies = spread(pages, *keys).select(*keys, F.lit("sections").alias("kind"), F.col("html").alias("body"))
+    bodies = pages.select(*keys, F.lit("sections").alias("kind"), F.col("html").alias("body"))
     parsed = parse_pages(bodies, {"sections": (section_row, SECTION_RAW)}, keys)
     return with_section_fields(parsed).select(*keys, *DETAIL_FIELDS, "error")
 
 
 def payload_details(pages: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
     """Detail fields of payload pages. Only the payload script itself crosses to Python."""
-    bodies = spread(pages, *keys).select(
+    bodies = pages.select(
         *keys, meta_description(F.col("html")).alias("meta"),
         F.lit("payload").alias("kind"), payload_script(F.col("html")).alias("body"))
     parsed = parse_pages(bodies, {"payload": (payload_row, PAYLOAD_RAW)}, [*keys, "meta"])
@@ -278,20 +245,21 @@ def payload_details(pages: DataFrame, keys: Sequence[str] = ("page_id",)) -> Dat
 
 
 def title_and_sections_loose(pages: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
-    bodies = spread(pages, *keys).select(*keys, F.lit("loose").alias("kind"), F.col("html").alias("body"))
+    bodies = pages.select(*keys, F.lit("loose").alias("kind"), F.col("html").alias("body"))
     return parse_pages(bodies, {"loose": (loose_row, LOOSE_RAW)}, keys).select(*keys, "loose.*")
 
 
 def latest_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Newest landed page of each wanted posting, with its HTML.
+    """Newest usable page of each wanted posting, with its HTML: one scan of the bodies.
 
-    The newest page is found on ids alone; HTML is then read for those pages only. Both joins go
-    by unique keys after a partial aggregation, so a URL landed very often does no harm.
+    Pages of other URLs are left out first, so bodies are moved for wanted URLs only. The newest usable page is a
+    partial maximum by URL, so a URL landed very often sends one body per task.
     """
-    newest = pages.groupBy("url").agg(F.max("page_id").alias("page_id"))
-    chosen = wanted.select("job_id", "job_url").join(
-        newest, F.col("job_url") == F.col("url")).select("job_id", "job_url", "page_id")
-    return pages.select("page_id", "html").join(chosen, "page_id")
+    usable = F.col("html").isNotNull() & (F.col("html") != "")
+    newest = pages.join(wanted.select(F.col("job_url").alias("url")).distinct(), "url", "left_semi").filter(usable).groupBy("url").agg(
+        F.max(F.struct("page_id", "html")).alias("newest"))
+    return wanted.select("job_id", "job_url").join(newest, F.col("job_url") == F.col("url")).select(
+        "job_id", "job_url", F.col("newest.page_id").alias("page_id"), F.col("newest.html").alias("html"))
 
 
 def details_job(pending: DataFrame, pages: DataFrame, sites: Sequence[Site]) -> DataFrame:
@@ -304,10 +272,9 @@ def details_job(pending: DataFrame, pages: DataFrame, sites: Sequence[Site]) ->
     kind = F.coalesce(*[F.when(url.contains(s.host.lower()), F.lit(s.kind)) for s in sites], F.lit(None).cast("string"))
     wanted = pending.select(F.col("id").alias("job_id"), "job_url").withColumn("kind", kind)
     wanted = wanted.filter(F.col("kind").isNotNull())
-    usable = pages.filter(F.col("html").isNotNull() & (F.col("html") != ""))
     html = F.col("html")
     payload = F.col("kind") == "payload"
-    bodies = latest_pages(usable, wanted).withColumn("kind", kind).select(
+    bodies = latest_pages(pages, wanted).withColumn("kind", kind).select(
         "job_id", "kind", F.when(payload, meta_description(html)).alias("meta"),
         F.when(payload, payload_script(html)).otherwise(html).alias("body"))
     parsed = parse_pages(bodies, {"sections": (section_row, SECTION_RAW), "payload": (payload_row, PAYLOAD_RAW)},

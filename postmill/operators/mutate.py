@@ -11,16 +11,16 @@ from pyspark.sql import functions as F
 
 from postmill.operators.queries import details_in_matching_postings, empty_detail, ids_in, not_in_details
 
-SENT, SKIPPED, FAILED, RESET = "sent", "skipped", "failed", "reset"
+SENT, SKIPPED, FAILED, RESET, RENDERED = "sent", "skipped", "failed", "reset", "rendered"
 
 
 # -- delivery log --------------------------------------------------------------
 
 def delivery_state(log: DataFrame) -> DataFrame:
-    """One row per job: is it marked as sent. Failures leave the state as it was."""
+    """One row per job: is it marked as sent. Rendering and failures leave the state as it was."""
     order = F.struct("batch_id", "at")
     return (
-        log.filter(F.col("outcome") != FAILED)
+        log.filter(~F.col("outcome").isin(FAILED, RENDERED))
         .groupBy("job_id")
         .agg(F.max_by(F.col("outcome") != RESET, order).alias("is_sent"))
     )
@@ -32,6 +32,16 @@ def with_sent_flag(postings: DataFrame, log: DataFrame) -> DataFrame:
         "is_sent", F.coalesce("is_sent", F.lit(False)))
 
 
+def on_their_way(log: DataFrame, since: Column | None = None) -> DataFrame:
+    """Ids of jobs whose last entry says that a message was rendered: its result is not known yet.
+
+    With ``since``, messages rendered before that time count as lost and are left out.
+    """
+    order = F.struct("batch_id", "at", F.col("outcome") != RENDERED)
+    last = log.groupBy("job_id").agg(F.max_by(F.struct("outcome", "at"), order).alias("last")).filter(F.col("last.outcome") == RENDERED)
+    return (last if since is None else last.filter(F.col("last.at") >= since)).select(F.col("job_id").alias("id"))
+
+
 def log_rows(ids: DataFrame, outcome: str, at: Column) -> DataFrame:
     """Log rows of one outcome; ``step`` keeps rows of different origin in one batch apart."""
     return ids.select(
@@ -82,8 +92,8 @@ def delete_empty_details(details: DataFrame, postings: DataFrame | None = None,
     """The rows that stay."""
     if url_pattern is None:
         return details.filter(~empty_detail())
-    # A detail goes when it is empty and its posting matches: the rest is one anti join, where
-    # rows with text carry a NULL key and so are never matched.
-    doomed = details_in_matching_postings(details.filter(empty_detail()), postings, url_pattern)
-    key = F.when(empty_detail(), F.col("job_id"))
-    return details.join(doomed.select(F.col("job_id").alias("_doomed")), key == F.col("_doomed"), "left_anti")
+    # Only empty rows are compared; rows with text pass by without a shuffle.
+    empty = details.filter(empty_detail())
+    doomed = details_in_matching_postings(empty, postings, url_pattern).select(F.col("job_id").alias("_doomed")).distinct()
+    left = empty.join(doomed, F.col("job_id") == F.col("_doomed"), "left_anti")
+    return details.filter(~empty_detail()).unionAll(left)

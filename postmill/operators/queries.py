@@ -109,12 +109,11 @@ def details_in_matching_postings(details: DataFrame, postings: DataFrame, url_pa
 def not_in_details(postings: DataFrame, details: DataFrame) -> DataFrame:
     """``id NOT IN (SELECT job_id ...)``: a single NULL ``job_id`` makes it select nothing.
 
-    Whether there is one is asked first (a narrow scan that stops at the first hit); the rest is
-    a plain anti join of any size, where ``NOT IN`` would broadcast all ids.
+    Whether there is one is an aggregate of one row inside the plan; the rest is a plain anti join of any size, where
+    ``NOT IN`` would broadcast all ids.
     """
-    if not details.filter(F.col("job_id").isNull()).isEmpty():
-        return postings.filter(F.lit(False))
-    return postings.join(details.select("job_id"), F.col("id") == F.col("job_id"), "left_anti")
+    some_null = details.agg(F.coalesce(F.max(F.col("job_id").isNull()), F.lit(False)).alias("some_null")).scalar()
+    return postings.join(details.select("job_id"), F.col("id") == F.col("job_id"), "left_anti").filter(~some_null)
 
 
 def ids_in(postings: DataFrame, ids: DataFrame) -> DataFrame:

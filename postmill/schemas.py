@@ -84,3 +84,10 @@ LISTING_PAYLOAD = T.ArrayType(T.StructType([
     T.StructField("company", T.StringType()),
     T.StructField("location", T.StringType()),
 ]))
+
+REJECTED = T.StructType([
+    T.StructField("file", T.StringType()),
+    T.StructField("line", T.StringType()),
+    T.StructField("reason", T.StringType()),
+    T.StructField("at", T.TimestampType()),
+])

@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Work on pages is heavy per byte, so scans are cut finer than by default, at any size of the input.
+    "spark.sql.files.maxPartitionBytes": "32m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Pages differ widely in size: bound Arrow batches by bytes, not only by rows.
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",

@@ -20,9 +20,9 @@ def read_details(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_listings(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Landed listing batches; files that cannot be read are passed over."""
+    """Landed listing batches; a file that cannot be read fails the read instead of losing rows."""
     return (
-        spark.read.schema(LISTING).option("ignoreCorruptFiles", "true")
+        spark.read.schema(LISTING)
         .option("pathGlobFilter", f"*.{fmt}").option("recursiveFileLookup", "true")
         .format(fmt).load(path)
     )

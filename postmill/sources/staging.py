@@ -31,15 +31,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give every core a share of a small input before work that is heavy per row.
-
-    A scan of little data may come as one partition. Only inputs estimated to fill less than one
-    full scan partition per core are shuffled; larger ones already keep all cores busy.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    full = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores, *keys) if int(estimate) < cores * full else df

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from postmill.functions.keywords import parse_keyword_list
@@ -23,6 +24,8 @@ from postmill.sources.staging import stage
 from postmill.sources.store import Store
 
 ARRIVAL = ["_file_time", "_file", "pos"]
+#: Column of lines that are no listing.
+BAD = "_bad"
 
 
 @dataclass(frozen=True)
@@ -33,14 +36,22 @@ class RoundSettings:
     site_root: str = ""
     # Root of each source whose listings may hold relative URLs.
     source_roots: Mapping[str, str] = field(default_factory=dict)
+    # Seconds after which a message without a result counts as lost and is rendered again; None: never.
+    resend_after: int | None = None
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
 
 
 def landed_listings(spark: SparkSession, path: str, files_per_round: int | None = None) -> DataFrame:
     """Stream of landed listing files, one JSON object per line.
 
-    A file that cannot be read is passed over, so one broken source does not stop the others.
+    Lines that are no JSON come as rows with the line in ``_bad`` and go to the table of rejected ones. A file that cannot
+    be read fails the round and comes again at the next start, so nothing of it is lost unseen.
     """
-    reader = spark.readStream.schema(LISTING).option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true")
+    reader = spark.readStream.schema(f"{_ddl(LISTING)}, {BAD} string").option(
+        "columnNameOfCorruptRecord", BAD).option("recursiveFileLookup", "true")
     if files_per_round:
         reader = reader.option("maxFilesPerTrigger", files_per_round)
     return reader.json(path).select(
@@ -71,13 +82,21 @@ def run_round(store: Store, listings: DataFrame, pages: DataFrame, settings: Rou
     numbered = ingest.assign_ids(accepted.select("job_id", "job_url", *DETAIL_FIELDS), ["job_id"], store.highest_id("details", batch_id))
     store.append("details", numbered.withColumn("scraped_at", now), batch_id)
 
-    # Messages. Unsent is derived from the log each time, so what failed is tried again.
+    # Messages. Unsent is derived from the log each time, so what failed is tried again; what is on its way is not.
     flagged = mutate.with_sent_flag(postings, store.read("delivery", batch_id))
-    unsent = queries.unsent_with_details(flagged, store.read("details", batch_id + 1), ordered=False)
+    since = None if settings.resend_after is None else now - F.expr(f"INTERVAL {int(settings.resend_after)} SECONDS")
+    waiting = mutate.on_their_way(store.read("delivery", batch_id), since)
+    free = flagged.join(waiting, "id", "left_anti").select(*flagged.columns)
+    unsent = queries.unsent_with_details(free, store.read("details", batch_id + 1), ordered=False)
     selected = stage(notify.select_for_delivery(unsent, list(settings.keywords)), "selected")
     outbox = notify.render_messages(selected.filter(F.col("outcome") == "send"), settings.chat_id, now, settings.site_root)
     store.append("outbox", outbox, batch_id)
-    store.append("delivery", notify.skipped_log(selected, now), batch_id)
+    store.append("delivery", notify.skipped_log(selected, now), batch_id, mutate.SKIPPED)
+    rendered = selected.filter(F.col("outcome") == "send")
+    store.append("delivery", mutate.log_rows(rendered, mutate.RENDERED, now), batch_id, mutate.RENDERED)
+    rejected = listings.filter(F.col(BAD).isNotNull()) if BAD in listings.columns else listings.limit(0).withColumn(BAD, F.lit(None).cast("string"))
+    file = F.col("_file") if "_file" in listings.columns else F.lit(None).cast("string")
+    store.append("rejected", rejected.select(file.alias("file"), F.col(BAD).alias("line"), F.lit("malformed").alias("reason"), now.alias("at")), batch_id)
 
     store.append("metrics", _metrics(
         ("total", listings), ("inserted", store.read("postings").filter(F.col("batch_id") == batch_id)),
@@ -113,12 +132,12 @@ def start_rounds(store: Store, listings: DataFrame, pages: Callable[[], DataFram
 
 
 def deliver(store: Store, results: DataFrame, batch_id: int) -> None:
-    """Record delivery results for the outbox of a batch; doing so again changes nothing.
+    """Record delivery results for the outbox of a batch, in as many parts as they come; doing so again changes nothing.
 
-    What is not recorded as sent is tried again in the next round.
+    What is recorded as failed is tried again in the next round.
     """
     outbox = store.read("outbox").filter(F.col("batch_id") == batch_id)
-    store.append("delivery", notify.apply_outcomes(outbox, results, F.current_timestamp()), batch_id)
+    store.add_to_log(notify.apply_outcomes(outbox, results, F.current_timestamp()), batch_id, "result")
 
 
 def stream_dedupe(listings: DataFrame, within: str | None = None, time: str = "_file_time") -> DataFrame:

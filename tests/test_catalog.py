@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from postmill.plans import catalog
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
@@ -25,7 +26,7 @@ def plain(rows, names):
     return sorted(tuple(str(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query_agrees_with_sql(spark, sf_dir, duck, name):
     df = entry.queries()[name](spark, sf_dir)
     cursor = duck.execute(entry.oracle_sql()[name])
@@ -34,7 +35,7 @@ def test_query_agrees_with_sql(spark, sf_dir, duck, name):
     assert plain(df.collect(), df.columns) == plain(cursor.fetchall(), columns)
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in LANDING])
+@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in LANDING])
 def test_plan_has_no_unbounded_step(spark, sf_dir, plan, name):
     text = plan(entry.queries()[name](spark, sf_dir))
     assert not re.search("NestedLoop|Cartesian", text)

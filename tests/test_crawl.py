@@ -57,3 +57,22 @@ def test_scroll_limit_and_hot_crawl(spark):
     kept = crawl.apply_cutoff(df, AS_OF, max_scrolls=30)
     assert kept.count() == df.filter("scroll_no <= 30").count()
     assert kept.agg(F.max("scroll_no")).first()[0] == 30
+
+
+def test_facts_cover_scrolls_beyond_any_bound(spark):
+    df = spark.range(1, 121).select(
+        F.lit("A").alias("site"), F.lit(1).cast("long").alias("crawl_id"), F.col("id").cast("int").alias("scroll_no"),
+        F.col("id").alias("height"), F.lit(0).cast("long").alias("pos"), F.col("id").cast("string").alias("url"),
+        F.array(F.lit("T")).alias("card_lines"))
+    assert crawl.distinct_growth(df).count() == 120
+    assert crawl.last_visible_date(df, AS_OF).count() == 120
+
+
+def test_each_site_has_its_own_rule(spark):
+    """Both crawls are longer than their bounds; cards never stand still."""
+    df = spark.range(1, 131).select(
+        F.explode(F.array(F.lit("A"), F.lit("B"), F.lit("C"))).alias("site"), F.lit(1).cast("long").alias("crawl_id"),
+        F.col("id").cast("int").alias("scroll_no"), F.col("id").alias("height"), F.lit(0).cast("long").alias("pos"),
+        F.col("id").cast("string").alias("url"), F.array(F.lit("T")).alias("card_lines"))
+    kept = crawl.apply_site_rules(df, AS_OF, 10)
+    assert {r.site: r.n for r in kept.groupBy("site").agg(F.count("*").alias("n")).collect()} == {"A": 100, "B": 30, "C": 130}

@@ -1,3 +1,4 @@
+import re
 from html.parser import HTMLParser
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions.html_rows import NO_TEXT, VOID, Outline
 from postmill.operators import details as det
+from postmill.sources.readers import read_pages
 
 SIDEBAR = '<aside><h3>Vakansiya haqqında</h3>{}</aside>'
 
@@ -190,9 +192,10 @@ def test_details_job(spark):
     assert (refused.ok, refused.failed) == (1, 2)
 
 
-def test_html_is_not_read_to_find_the_newest_page(spark, plan, tmp_path):
+def test_bodies_are_scanned_once(spark, plan, tmp_path):
     path = str(tmp_path / "pages")
     spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string").write.parquet(path)
     wanted = spark.range(1).select(F.col("id").alias("job_id"), F.lit("u").alias("job_url"))
-    text = plan(det.latest_pages(spark.read.parquet(path), wanted))
-    assert "ReadSchema: struct<page_id:bigint,url:string>" in text
+    pending = wanted.withColumnRenamed("job_id", "id").withColumn("job_url", F.lit("a.example/u"))
+    text = plan(det.details_job(pending, read_pages(spark, path), [det.Site("a.example", "sections")]))
+    assert len(re.findall("ReadSchema: struct<[^>]*html", text)) == 1
