@@ -91,9 +91,9 @@ class Encoder:
                 out[-1] += " " + p
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str], remembered: int = REMEMBERED) -> list[bytes]:
         split = [self.parts(t) for t in texts]
-        if len(self.known) > REMEMBERED:  # what is met again moves on to the next generation
+        if len(self.known) > remembered:  # what is met again moves on to the next generation
             self.old, self.known = self.known, {}
         known, old = self.known, self.old
         extra: dict[str, bytes] = {}
@@ -160,7 +160,8 @@ def curve_keys(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return hilbert_key(np.minimum((place * (1 << ORDER)).astype(np.int64), (1 << ORDER) - 1))
 
 
-def encoded(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", end: int = END) -> DataFrame:
+def encoded(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", end: int = END,
+            remembered: int = REMEMBERED) -> DataFrame:
     """``(row, key, curve, n, ids)``: the ids of each whole text with the end id, and its curve key."""
     schema = f"row long, {key} {docs.schema[key].dataType.simpleString()}, curve long, n long, ids binary"
 
@@ -168,7 +169,7 @@ def encoded(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "
         enc = encoder(vocabulary)
         last = np.array([end], enc.kind).tobytes()
         for batch in slices(batches, size=1 << 20):
-            ids = [x + last for x in enc.encode([t or "" for t in batch.column(2).to_pylist()])]
+            ids = [x + last for x in enc.encode([t or "" for t in batch.column(2).to_pylist()], remembered)]
             counts = np.fromiter(map(len, ids), np.int64, len(ids)) // enc.kind.itemsize
             curve = curve_keys(np.frombuffer(b"".join(ids), enc.kind), counts)
             yield pa.RecordBatch.from_arrays(
@@ -203,9 +204,12 @@ def _places(rows: DataFrame) -> DataFrame:
 
 
 def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END,
-         with_ids: bool = False) -> DataFrame:
-    """Pieces ``(key, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids])``."""
-    rows = stage(encoded(docs, vocabulary, key, text, end), "encoded")
+         with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+    """Pieces ``(key, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids])``.
+
+    ``remembered`` bounds the encoded words that a worker keeps: more save time, fewer leave memory to other stages.
+    """
+    rows = stage(encoded(docs, vocabulary, key, text, end, remembered), "encoded")
     placed = rows.select("row", key, "n", "ids").join(_places(rows), "row").select(key, "n", "ids", "begin")
     schema = (f"{key} {docs.schema[key].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, "
               "sequence_id long, offset long" + (", ids binary" if with_ids else ""))

@@ -34,8 +34,8 @@ BITS = 64
 BUDGET = 3
 NODE_ROWS = 20_000
 #: Node pairs that go down together, and rows that a task holds at least.
-FRONTIER = 1 << 17
-CHUNK_ROWS = 50_000
+FRONTIER = 1 << 15
+CHUNK_ROWS = 20_000
 STEP = 8
 
 
@@ -358,7 +358,7 @@ def _judge(rows: DataFrame, similar: float, far: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, leaders, signs = None, [], np.zeros((0, 1), np.uint64)
-        for batch in batches:
+        for batch in slices(batches, "shingles", 1 << 20):  # a batch may hold very long sets
             docs, led = [], []
             columns = [batch.column(i).to_pylist() for i in range(6)]
             for component, salt, role, doc, sketch, shingles in zip(*columns, strict=True):
