@@ -157,7 +157,8 @@ def covered(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     meeting = _passing_windows(content.select("id", "first", "windows"), fixed_filter(shared, "window", WINDOW_BITS))
     masks = meeting.join(shared, "window").filter("least < first").groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
     masks = content.select("anchor", "hull", "id").join(masks, "id").drop("id")
-    known = hulls.join(masks, ["anchor", "hull"], "left").filter("first < last OR mask IS NOT NULL")
+    # A table of its own, so that the join with the occurrences is one that adaptive execution may split at hot hulls.
+    known = stage(hulls.join(masks, ["anchor", "hull"], "left").filter("first < last OR mask IS NOT NULL"), "known-hulls")
     hit = seen.join(known, ["anchor", "hull"]).select(
         "doc", "lo", F.when(F.col("first") < F.col("doc"), F.expr("shiftleft(1L, cast(n as int)) - 1")).otherwise(F.col("mask")).alias("mask"))
     return hit.filter("mask <> 0").groupBy("doc").agg(F.collect_list(F.struct("lo", "mask")).alias("runs"))
