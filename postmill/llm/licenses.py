@@ -2,10 +2,11 @@
 
 Words are runs of ASCII letters and digits and of all that is not ASCII, A-Z lower-cased. Each notice is indexed by the
 ``INDEXED`` words of its key phrase with the highest IDF over all documents, with their positions. A file looks up the
-``LOOKED_UP`` rarest licence words it holds; a word at ``i`` that a notice holds at ``p`` proposes that notice at
-``i - p``. A proposal stands if at least two indexed words agree on it and the notice's key phrase stands word for
-word at its place. Its score is the share of the notice's words found in place. Base phrases are found where
-their words stand consecutively, and always keep their labels, with score 1.
+``LOOKED_UP`` rarest licence words it holds; a word at ``i`` that a key phrase holds at ``p`` proposes that phrase at
+``i - p``. A proposal stands if at least two indexed words agree on it and the key phrase stands there word for
+word. Its score is the share of the notice's words found in place; those before the file's first word are missing, and the
+notice's start is negative then. Base phrases are found where their words stand consecutively, and always keep their
+labels, with score 1.
 
 All of it happens within a row, in one scan without a shuffle, after one scan that counts documents per licence
 word (one row per word of the notices goes to the driver).
@@ -78,7 +79,7 @@ def scan(docs: DataFrame, idf: dict[str, float], text: str = "text", notices: Se
         words, key = _words(body), _words(phrase)
         at = next(i for i in range(len(words)) if words[i:i + len(key)] == key)
         rare = sorted(set(key), key=lambda w: (-idf[w], w))[:INDEXED]
-        index = [{"p": at + p, "w": w} for p, w in enumerate(key) if w in rare]
+        index = [{"p": p, "w": w} for p, w in enumerate(key) if w in rare]
         postings += [{"w": x["w"], "t": t, "p": x["p"]} for x in index]
         templates.append({"label": label, "words": words, "at": at, "key": key, "index": index})
     ranked = sorted({p["w"] for p in postings}, key=lambda w: (-idf[w], w))
@@ -87,7 +88,7 @@ def scan(docs: DataFrame, idf: dict[str, float], text: str = "text", notices: Se
     rows = docs.withColumn("_words", word_array(F.col(text)))
     words = F.col("_words")
     rows = rows.withColumn("_top", F.slice(F.array_intersect(F.array(*map(F.lit, ranked)), words), 1, LOOKED_UP))
-    # Proposals as numbers, notice and start, so that repeats fall together cheaply.
+    # Proposals as numbers, notice and start of its key phrase, so that repeats fall together cheaply.
     hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))),
                     lambda h: h["w"].isin(ranked) & F.array_contains("_top", h["w"]))
     proposed = F.flatten(F.transform(hits, lambda h: F.transform(
@@ -100,11 +101,11 @@ def scan(docs: DataFrame, idf: dict[str, float], text: str = "text", notices: Se
         notice = F.get(table, F.floor(c / (1 << 40)).cast("int"))
         start = (c % (1 << 40)).cast("int")
         agree = F.size(F.filter(notice["index"], lambda x: F.get(words, start + x["p"]) == x["w"])) >= AGREEING
-        return agree & (F.slice(words, start + notice["at"] + 1, F.size(notice["key"])) == notice["key"])
+        return agree & (F.slice(words, start + 1, F.size(notice["key"])) == notice["key"])
 
     def describe(c: Column) -> Column:
         notice = F.get(table, F.floor(c / (1 << 40)).cast("int"))
-        start = (c % (1 << 40)).cast("int")
+        start = (c % (1 << 40)).cast("int") - notice["at"]
         same = F.size(F.filter(F.transform(notice["words"], lambda w, i: F.get(words, start + i) == w), lambda x: x))
         return F.struct(notice["label"].alias("label"), start.alias("start"), (same / F.size(notice["words"])).alias("share"))
 

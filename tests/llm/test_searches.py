@@ -75,6 +75,23 @@ def test_licences(make_docs, edge_texts):
     assert licenses.scan(make_docs({}), licenses.word_idf(make_docs({}))).count() == 0
 
 
+def test_licences_at_the_start_of_a_file(make_docs):
+    notices = licenses.NOTICES
+    texts = {i: phrase.title() for i, (_, _, phrase) in enumerate(notices)}
+    texts |= {100 + i: f"{phrase} and more words" for i, (_, _, phrase) in enumerate(notices)}
+    texts |= {200 + i: " ".join(body.split()[1:]) for i, (_, body, phrase) in enumerate(notices) if not body.startswith(phrase)}
+    docs = make_docs(texts)
+    rows = {r["doc_id"]: r for r in licenses.scan(docs, licenses.word_idf(docs)).collect()}
+    assert [i for i in texts if notices[i % 100][0] not in rows[i]["labels"]] == []
+    for i, t in texts.items():
+        for f in rows[i]["found"]:
+            body = next(b for label, b, _ in notices if label == f["label"] and f["share"] == sum(
+                0 <= f["start"] + k < len(plain(t)) and plain(t)[f["start"] + k] == w for k, w in enumerate(b.split())) / len(b.split()))
+            assert body
+    gpl = next(i for i, n in enumerate(notices) if n[2] == "gnu general public license version 3")
+    assert [(f["start"], f["share"]) for f in rows[gpl]["found"]] == [(-6, 0.5)]
+
+
 def luhn(digits):
     twice = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(digits))]
     return sum(v - 9 if v > 9 else v for v in twice) % 10 == 0
