@@ -1,9 +1,9 @@
 """Licence scan by a positional index of rare words, with built-in expressions only.
 
 Words are runs of ASCII letters and digits and of all that is not ASCII, A-Z lower-cased. Each notice is indexed by the
-``INDEXED`` words of its key phrase with the highest IDF over all documents, with their positions. A file looks up the
-``LOOKED_UP`` rarest licence words it holds; a word at ``i`` that a key phrase holds at ``p`` proposes that phrase at
-``i - p``. A proposal stands if at least two indexed words agree on it and the key phrase stands there word for
+``INDEXED`` words of its key phrase with the highest IDF over all documents, with their positions. A file looks up every
+indexed word it holds, however many notices it quotes; a word at ``i`` that a key phrase holds at ``p`` proposes that
+phrase at ``i - p``. A proposal stands if at least two indexed words agree on it and the key phrase stands there word for
 word. Its score is the share of the notice's words found in place; those before the file's first word are missing, and the
 notice's start is negative then. Base phrases are found where their words stand consecutively, and always keep their
 labels, with score 1.
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from postmill.llm.licence_texts import BASE, NOTICES
 
 INDEXED = 5
-LOOKED_UP = 32
 AGREEING = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -82,20 +81,19 @@ def scan(docs: DataFrame, idf: dict[str, float], text: str = "text", notices: Se
         index = [{"p": p, "w": w} for p, w in enumerate(key) if w in rare]
         postings += [{"w": x["w"], "t": t, "p": x["p"]} for x in index]
         templates.append({"label": label, "words": words, "at": at, "key": key, "index": index})
-    ranked = sorted({p["w"] for p in postings}, key=lambda w: (-idf[w], w))
+    indexed = sorted({p["w"] for p in postings})
     table = _literal(templates, "array<struct<label string, words array<string>, at int, key array<string>, index array<struct<p int, w string>>>>")
     listed = _literal(postings, "array<struct<w string, t int, p int>>")
     rows = docs.withColumn("_words", word_array(F.col(text)))
     words = F.col("_words")
-    rows = rows.withColumn("_top", F.slice(F.array_intersect(F.array(*map(F.lit, ranked)), words), 1, LOOKED_UP))
+    rows = rows.withColumn("_held", F.array_intersect(F.array(*map(F.lit, indexed)), words))
     # Proposals as numbers, notice and start of its key phrase, so that repeats fall together cheaply.
-    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))),
-                    lambda h: h["w"].isin(ranked) & F.array_contains("_top", h["w"]))
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(indexed))
     proposed = F.flatten(F.transform(hits, lambda h: F.transform(
         F.filter(listed, lambda p: p["w"] == h["w"]),
         lambda p: p["t"].cast("long") * (1 << 40) + (h["i"] - p["p"]).cast("long"))))
     proposed = F.filter(F.array_distinct(proposed), lambda c: (c % (1 << 40) >= 0) & (c % (1 << 40) < (1 << 39)) & (c >= 0))
-    rows = rows.withColumn("_proposed", F.when(F.size("_top") >= AGREEING, proposed).otherwise(F.array().cast("array<bigint>")))
+    rows = rows.withColumn("_proposed", F.when(F.size("_held") >= AGREEING, proposed).otherwise(F.array().cast("array<bigint>")))
 
     def stands(c: Column) -> Column:
         notice = F.get(table, F.floor(c / (1 << 40)).cast("int"))
@@ -116,4 +114,4 @@ def scan(docs: DataFrame, idf: dict[str, float], text: str = "text", notices: Se
     rows = rows.withColumn("labels", F.array_sort(F.array_union("base_labels", F.array_distinct(F.transform("found", lambda f: f["label"])))))
     score = F.when(F.size("base_labels") > 0, F.lit(1.0)).otherwise(
         F.coalesce(F.array_max(F.transform("found", lambda f: f["share"])), F.lit(0.0)))
-    return rows.withColumn("score", score).withColumn("n_words", F.size("_words").cast("long")).drop("_words", "_top", "_proposed")
+    return rows.withColumn("score", score).withColumn("n_words", F.size("_words").cast("long")).drop("_words", "_held", "_proposed")

@@ -92,6 +92,18 @@ def test_licences_at_the_start_of_a_file(make_docs):
     assert [(f["start"], f["share"]) for f in rows[gpl]["found"]] == [(-6, 0.5)]
 
 
+def test_licences_in_a_file_that_quotes_all(make_docs):
+    """The commonest words of the corpus are those of the short notices; a file with all notices gets all labels."""
+    texts = {i: "the mit license cc by sa 4 0 cc0 1 0 universal" for i in range(20)}
+    texts[100] = " and so on ".join(body for _, body, _ in licenses.NOTICES)
+    docs = make_docs(texts)
+    rows = {r["doc_id"]: r for r in licenses.scan(docs, licenses.word_idf(docs)).collect()}
+    assert set(rows[100]["labels"]) == {label for label, _, _ in licenses.NOTICES}
+    at = lambda body: plain(texts[100].split(body)[0])
+    assert {(label, len(at(body)), 1.0) for label, body, _ in licenses.NOTICES} <= {tuple(f) for f in rows[100]["found"]}
+    assert set(rows[0]["labels"]) == {"mit", "cc-by-sa", "cc0"}
+
+
 def luhn(digits):
     twice = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(digits))]
     return sum(v - 9 if v > 9 else v for v in twice) % 10 == 0
