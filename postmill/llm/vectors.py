@@ -7,11 +7,14 @@ supports, a node uses the cuts of its last ancestor that has a sample. Nodes tha
 of a cut, i.e. dense groups, are leaves. All pairs of a leaf are compared in double precision; a leaf of more
 than ``LEAF_ROWS`` vectors is compared as pairs of blocks, each a task key of its own.
 
+Vectors of each length have a forest and leaves of their own, so all lengths are searched; those with few enough
+vectors for a single leaf are compared pair by pair.
+
 A pair found in several leaves counts in the first one only: each row brings the codes of its earlier leaves. So
 direct links are counted without writing pairs, and each leaf gives one row per vector.
 
-Defined results: vectors that are NULL, zero, or hold NULL or non-finite components link with nothing, nor do those
-of another length than most; equal vectors are one node and link with each other; a NULL id has no component
+Defined results: vectors that are NULL, zero, or hold NULL or non-finite components link with nothing, nor do
+vectors of different lengths with each other; equal vectors are one node and link with each other; a NULL id has no component
 but its row is kept. Extra columns are ignored.
 """
 
@@ -105,16 +108,18 @@ def _matrix(column: pa.Array, rows: int) -> np.ndarray:
     return x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
 
 
-def _assigned(nodes: DataFrame, forest: list[Tree]) -> DataFrame:
-    """``(leaf, node, mult, vector, earlier)``: one row per vector and leaf; ``earlier`` holds its smaller leaf codes."""
-    shift = max(len(t.directions) for t in forest) + 2
+def _assigned(nodes: DataFrame, forests: dict[int, list[Tree]]) -> DataFrame:
+    """``(dim, leaf, node, mult, vector, earlier)``: one row per vector and leaf; ``earlier`` holds its smaller leaf codes."""
+    shift = max(len(t.directions) for forest in forests.values() for t in forest) + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 2000):
-                part = batch.slice(begin, 2000)
+            lengths = batch.column(3).to_numpy()
+            alike = [(d, np.flatnonzero(lengths == d)) for d in np.unique(lengths).tolist()]
+            for dim, some in ((d, at[i:i + 2000]) for d, at in alike for i in range(0, len(at), 2000)):
+                part = batch.take(pa.array(some))
                 x = _matrix(part.column(2), part.num_rows)
-                found = [leaves(x, t) for t in forest]
+                found = [leaves(x, t) for t in forests[dim]]
                 row = np.concatenate([f[0] for f in found])
                 code = np.concatenate([(i << shift) + f[1] for i, f in enumerate(found)])
                 order = np.lexsort((code, row))
@@ -123,10 +128,12 @@ def _assigned(nodes: DataFrame, forest: list[Tree]) -> DataFrame:
                 earlier = [code[b:i].tobytes() for i, b in enumerate(begin_of.tolist())]
                 vector = pa.array([v.tobytes() for v in x], pa.binary()).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(code), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), vector, pa.array(earlier, pa.binary())],
-                    names=["leaf", "node", "mult", "vector", "earlier"])
+                    [pa.array(np.full(len(row), dim, np.int32)), pa.array(code), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)),
+                     vector, pa.array(earlier, pa.binary())],
+                    names=["dim", "leaf", "node", "mult", "vector", "earlier"])
 
-    return nodes.select("node", "mult", "embedding").mapInArrow(run, "leaf long, node long, mult long, vector binary, earlier binary")
+    return nodes.select("node", "mult", "embedding", "dim").mapInArrow(
+        run, "dim int, leaf long, node long, mult long, vector binary, earlier binary")
 
 
 def _met_before(codes: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -182,41 +189,49 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     source = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("embedding"))
     sound = F.col("vec_id").isNotNull() & F.coalesce(
         F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0), F.lit(False))
-    usual = source.filter(sound).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    if usual is None:
+    nodes = stage(source.filter(sound).groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("mult")).withColumn(
+        "dim", F.size("embedding")), "vectors")
+    forests = {}
+    for dim, rows in sorted((r["dim"], r["count"]) for r in nodes.groupBy("dim").count().collect()):
+        if rows <= leaf:  # no cut, one leaf
+            forests[dim] = [grow(np.zeros((0, dim)), rows, 0, cosine, leaf)]
+            continue
+        picked = nodes.filter(F.col("dim") == dim).select("node", "embedding").orderBy(F.xxhash64("node"), "node").limit(sample).toArrow()
+        fitted = _matrix(picked["embedding"].combine_chunks(), picked.num_rows)
+        forests[dim] = [grow(fitted, rows, t, cosine, leaf) for t in range(trees)]
+    if not forests:
         return source.select(F.col("vec_id").alias(key), F.lit(0).cast("long").alias("n_links"),
                              F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    sound = sound & (F.size("embedding") == usual["d"])
-    nodes = stage(source.filter(sound).groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("mult")), "vectors")
-    picked = nodes.select("node", "embedding").orderBy(F.xxhash64("node"), "node").limit(sample).toArrow()
-    rows = nodes.count()
-    fitted = _matrix(picked["embedding"].combine_chunks(), picked.num_rows)
-    forest = [grow(fitted, rows, t, cosine, leaf) for t in range(trees)]
-    assigned = _assigned(nodes, forest)
+    assigned = _assigned(nodes, forests)
     # Large leaves are dealt to pairs of blocks.
-    large = assigned.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > leaf_rows).select(
-        "leaf", F.ceil(F.col("n") / leaf_rows * 2).cast("int").alias("blocks"))
+    large = assigned.groupBy("dim", "leaf").agg(F.count("*").alias("n")).filter(F.col("n") > leaf_rows).select(
+        "dim", "leaf", F.ceil(F.col("n") / leaf_rows * 2).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int")
-    dealt = assigned.join(large, "leaf", "left").withColumn("own", own).withColumn(
+    dealt = assigned.join(large, ["dim", "leaf"], "left").withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).select(
-        "leaf", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        "dim", "leaf", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "mult", "vector", "earlier")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in key_chunks(batches, ["leaf", "i", "j"], 256):
-            keys = np.stack([chunk[c].to_numpy().astype(np.int64) for c in ("leaf", "i", "j")], axis=1)
+        for chunk in key_chunks(batches, ["dim", "leaf", "i", "j"], 256):
+            keys = np.stack([chunk[c].to_numpy().astype(np.int64) for c in ("dim", "leaf", "i", "j")], axis=1)
             heads = np.flatnonzero(np.append(True, (np.diff(keys, axis=0) != 0).any(1)))
             for begin, end in zip(heads, np.append(heads[1:], len(keys)), strict=True):
                 if end - begin > 1:
                     node, links, root = _compare(chunk.slice(begin, end - begin), cosine)
                     some = (links > 0) | (root != node)
-                    yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some]), pa.array(root[some])], names=["node", "links", "root"])
-
-    found = stage(dealt.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j").mapInArrow(
-        run, "node long, links long, root long"), "vector-links")
-    totals = found.groupBy("node").agg(F.sum("links").alias("links"))
-    tied = components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    named = nodes.join(totals, "node", "left").join(tied, nodes["node"] == tied["id"], "left").select(
+                    dim = np.full(int(some.sum()), keys[begin, 0], np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(dim), pa.array(node[some]), pa.array(links[some]), pa.array(root[some])], names=["dim", "node", "links", "root"])
+
+    found = stage(dealt.repartition("dim", "leaf", "i", "j").sortWithinPartitions("dim", "leaf", "i", "j").mapInArrow(
+        run, "dim int, node long, links long, root long"), "vector-links")
+    totals = found.groupBy("dim", "node").agg(F.sum("links").alias("links"))
+    # One id may come with vectors of several lengths, which are different nodes.
+    node = lambda c: F.struct("dim", F.col(c).alias("node"))
+    tied = components(found.filter("node <> root").select(node("node").alias("a"), node("root").alias("b"))).select(
+        F.col("id.dim").alias("dim"), F.col("id.node").alias("node"), F.col("component.node").alias("component"))
+    named = nodes.join(totals, ["dim", "node"], "left").join(tied, ["dim", "node"], "left").select(
         F.col("embedding").alias("same"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).cast("long").alias("links"),
         F.coalesce("component", "node").alias("component"))
     sound_rows = source.filter(sound).join(named, F.col("embedding") == F.col("same")).select("vec_id", "links", "component")

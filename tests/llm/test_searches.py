@@ -184,6 +184,33 @@ def test_vectors_match_brute_force(spark, leaf_rows):
     assert vectors.near_vectors(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("leaf", [32, 512])
+def test_vectors_of_every_length_are_compared(spark, leaf):
+    rng = np.random.default_rng(8)
+    groups = {}
+    for dim, first, centres in ((16, 0, 40), (8, 1000, 25), (3, 2000, 1)):
+        x = [c + rng.normal(size=dim) * s for c in rng.normal(size=(centres, dim)) for s in (0.02, 0.05, 0.3)]
+        groups[dim] = [(first + i, [float(v) for v in np.float32(e)]) for i, e in enumerate([*x, x[0]])]
+    groups[8].append((0, groups[8][0][1]))  # the id of a vector of another length
+    rows = [r for g in groups.values() for r in g]
+    got = {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>"), leaf=leaf).collect()}
+    found = total = 0
+    for dim, group in groups.items():
+        ids, m = [i for i, _ in group], np.array([e for _, e in group])
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        near = m @ m.T >= 0.9
+        want = {i: int(n.sum()) - 1 for i, n in zip(ids, near, strict=True)}
+        assert near.sum() > len(ids)
+        total += sum(want.values()) - want.get(0, 0)
+        links = {v: n for v, n, _, _ in got if v in want}
+        assert all(links[i] <= want[i] for i in ids if i)
+        found += sum(links[i] for i in ids if i)
+    assert found >= 0.97 * total
+    assert {(0, 0), (1000, 0), (2000, 2000)} <= {(v, c) for v, _, c, _ in got}
+    assert all(k == (v == c) for v, _, c, k in got)
+
+
 def test_hilbert_neighbours_touch():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
     keys = packing.hilbert_key(cells, 3)
