@@ -28,6 +28,21 @@ def test_stages(spark, make_docs, edge_texts, sf_dir):
     assert ids(pipeline.sequences(spark, private, sf_dir)) == ids(clean)
 
 
+def test_rows_are_judged_by_their_own_text(spark, make_docs, sf_dir):
+    rng = random.Random(10)
+    sentence = lambda n: " ".join(f"wort{rng.randrange(10 ** 5)}" for _ in range(n))
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first()["text"]
+    a, b, c, d = (sentence(60) for _ in range(4))
+    leak = f"{sentence(30)} {bench} {sentence(30)}"
+    rows = lambda f: sorted((str(r["doc_id"]), str(r["text"])) for r in f.collect())
+    docs = make_docs([(1, a), (1, a), (2, b), (None, b), (None, c), (None, c), (3, d), (3, a), (None, None), (None, None)])
+    once = pipeline.near_duplicates(spark, docs, sf_dir)
+    assert once.columns == docs.columns
+    assert rows(once) == sorted([("1", a), ("2", b), ("None", c), ("3", d), ("None", "None"), ("None", "None")])
+    docs = make_docs([(1, a), (1, leak), (None, leak), (None, b), (2, c)])
+    assert rows(pipeline.decontamination(spark, docs, sf_dir)) == sorted([("1", a), ("None", b), ("2", c)])
+
+
 def test_run_and_registry(spark, sf_dir):
     import __spark_entry__ as entry
 
