@@ -7,7 +7,11 @@ dropped once they exceed the budget. All node pairs of a task go down one bit at
 
 Nodes are spread over tasks by their prefix. A node with more than ``NODE_ROWS`` entries, such as a hot block,
 is first split: its entries go to the pairs of its children that are still within the budget, each pair a task
-key of its own. This repeats until no node is too large, so no task meets an unbounded group.
+key of its own. This repeats until no node is too large. Nodes that are still too large when no bit is left, i.e. many
+entries with equal codes, are dealt to pairs of blocks, so no task meets an unbounded group.
+
+Entries with equal codes are linked through representatives, not as all pairs: what is near one is tied to it and
+asks no more; others are compared only with those of its members that the triangle inequality leaves (``connecting``).
 
 Links found within a task are reduced to a forest (one row per entry), so a group of near copies costs rows in
 proportion to its size, and no link between different fingerprints is lost.
@@ -81,11 +85,56 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
+def _apart(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(one ^ other).sum(-1, dtype=np.int64)
+
+
+def connecting(sketch: np.ndarray | None, far: float | None, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs that connect what all pairs of sketches at most ``far`` apart connect, each such a pair itself.
+
+    Without ``far`` all rows link. The first row left is a representative, and the rows near it are its members. A row
+    farther from it than ``far`` is near a member only if their distances from it differ by ``far`` at most. Such rows are
+    compared with the members, outermost first, until one is near; all rows but the members stay for later.
+    """
+    if far is None:
+        yield np.zeros(rows - 1, np.int64), np.arange(1, rows)
+        return
+    left = np.arange(rows)
+    while len(left) > 1:
+        head, left = left[0], left[1:]
+        apart = _apart(sketch[left], sketch[head])
+        near = apart <= far
+        member, inner = left[near], apart[near]
+        left, outer = left[~near], apart[~near]
+        if not len(member):
+            continue
+        yield np.full(len(member), head), member
+        order = np.argsort(-inner, kind="stable")
+        member, inner = member[order], inner[order]
+        some = outer <= far + inner[0]
+        ask, outer = left[some], outer[some]
+        for begin in range(0, len(member), 64):
+            m, reach = member[begin:begin + 64], far + inner[begin]
+            some = outer <= reach  # the members that follow reach no farther
+            ask, outer = ask[some], outer[some]
+            if not len(ask):
+                break
+            found = np.zeros(len(ask), bool)
+            for at in range(0, len(ask), 2048):
+                close = _apart(sketch[ask[at:at + 2048], None], sketch[None, m]) <= far
+                hit = np.flatnonzero(close.any(1))
+                if len(hit):
+                    yield m[close[hit].argmax(1)], ask[at + hit]
+                    found[at + hit] = True
+            ask, outer = ask[~found], outer[~found]
+
+
 def descend(left: np.ndarray, right: np.ndarray, ranges: tuple[np.ndarray, ...], depth: int, bits: int,
-            budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            budget: int, dense=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs within the budget below node pairs ``(lo, hi, lo, hi, differing bits)`` of sorted values.
 
-    Values are left-aligned. A pair of a node with itself yields each of its pairs once.
+    Values are left-aligned. A pair of a node with itself yields each of its pairs once. Where no bit is left and
+    many entries are, ``dense(lo, hi, lo, hi)`` takes them instead, if there is such a function.
     """
     same = left is right
     stack = [(*ranges, depth)]
@@ -99,6 +148,12 @@ def descend(left: np.ndarray, right: np.ndarray, ranges: tuple[np.ndarray, ...],
         n2 = hi2 - lo2
         area = (hi - lo) * n2
         leaf = (area <= 64) | (depth >= bits)
+        if dense is not None and depth >= bits and (area > 64).any():
+            for n in np.flatnonzero(area > 64).tolist():
+                dense(lo[n], hi[n], lo2[n], hi2[n])
+            some = area <= 64
+            lo, hi, lo2, hi2, used, n2, area = (x[some] for x in (lo, hi, lo2, hi2, used, n2, area))
+            leaf = np.ones(len(lo), bool)
         if leaf.any():
             total = area[leaf]
             which = np.repeat(np.flatnonzero(leaf), total)
@@ -128,7 +183,7 @@ def descend(left: np.ndarray, right: np.ndarray, ranges: tuple[np.ndarray, ...],
 
 def _near_in(rows: pa.Table, bits: int, budget: int, depth_of, far: float | None) -> pa.RecordBatch:
     """Forest over the links among the nodes of whole keys."""
-    t, a, b, side = (rows[c].to_numpy() for c in ("t", "a", "b", "side"))
+    t, a, b, side, pair = (rows[c].to_numpy() for c in ("t", "a", "b", "side", "pair"))
     value = rows["value"].to_numpy().view(np.uint64)
     ids, where = np.unique(rows["node"].to_numpy(), return_inverse=True)
     sketch = None
@@ -157,7 +212,28 @@ def _near_in(rows: pa.Table, bits: int, budget: int, depth_of, far: float | None
             tied = np.flatnonzero(root != np.arange(len(ids)))
             pairs = [(tied, root[tied])]
 
-    own = a == b
+    tied_links = 0
+
+    def equal(some: np.ndarray) -> None:
+        nonlocal tied_links
+        for i, j in connecting(None if sketch is None else sketch[some], far, len(some)):
+            pairs.append((where[some[i]], where[some[j]]))
+            tied_links += len(i)
+            if tied_links > 1 << 20:
+                shrink()
+                tied_links = 0
+
+    def dense(left: np.ndarray, right: np.ndarray):
+        """Links the entries of two nodes without further bits; those within one of the nodes link as well."""
+        return lambda lo, hi, lo2, hi2: equal(
+            left[lo:hi] if left is right and lo == lo2 else np.concatenate([left[lo:hi], right[lo2:hi2]]))
+
+    blocks = np.flatnonzero(pair >= 0)
+    if len(blocks):
+        change = np.flatnonzero(np.append(True, np.any([np.diff(x[blocks]) != 0 for x in (t, a, b, pair)], axis=0)))
+        for begin, end in zip(change, np.append(change[1:], len(blocks)), strict=True):
+            equal(blocks[begin:end])
+    own = (a == b) & (pair < 0)
     for kind in np.unique(t[own]):
         at = np.flatnonzero(own & (t == kind))
         at = at[np.argsort(value[at], kind="stable")]
@@ -170,8 +246,8 @@ def _near_in(rows: pa.Table, bits: int, budget: int, depth_of, far: float | None
             more = ends - heads > 1
             if more.any():
                 lo, hi = heads[more], ends[more]
-                take(descend(v, v, (lo, hi, lo, hi, np.zeros(len(lo), np.int64)), int(depth), bits, budget), some, some)
-    rest = np.flatnonzero(~own)
+                take(descend(v, v, (lo, hi, lo, hi, np.zeros(len(lo), np.int64)), int(depth), bits, budget, dense(some, some)), some, some)
+    rest = np.flatnonzero((a != b) & (pair < 0))
     if len(rest):
         change = np.flatnonzero(np.append(True, (np.diff(t[rest]) != 0) | (np.diff(a[rest]) != 0) | (np.diff(b[rest]) != 0)))
         for begin, end in zip(change, np.append(change[1:], len(rest)), strict=True):
@@ -182,7 +258,7 @@ def _near_in(rows: pa.Table, bits: int, budget: int, depth_of, far: float | None
                 one = lambda n: np.array([n])
                 spent = int(np.bitwise_count(np.uint64(a[group[0]] ^ b[group[0]])))
                 take(descend(value[left], value[right], (one(0), one(len(left)), one(0), one(len(right)), one(spent)),
-                             int(depth_of[group[0]]), bits, budget), left, right)
+                             int(depth_of[group[0]]), bits, budget, dense(left, right)), left, right)
     shrink()
     root = local_roots(len(ids), *pairs[0]) if pairs else np.arange(len(ids))
     tied = np.flatnonzero(root != np.arange(len(ids)))
@@ -207,10 +283,10 @@ def _rotated(codes: DataFrame, bits: int, budget: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((tab * (budget + 1) + r).astype(np.int32)), pa.array(np.full(n, block, np.int32)), pa.array(prefix),
                      pa.array(prefix), pa.array(np.zeros(n, np.int32)), pa.array(value.view(np.int64)), node,
-                     *([batch.column(3)] if extra else [])],
-                    names=["t", "depth", "a", "b", "side", "value", "node", *(["sketch"] if extra else [])])
+                     pa.array(np.full(n, -1)), *([batch.column(3)] if extra else [])],
+                    names=["t", "depth", "a", "b", "side", "value", "node", "pair", *(["sketch"] if extra else [])])
 
-    return codes.mapInArrow(run, f"t int, depth int, a long, b long, side int, value long, node long{extra}")
+    return codes.mapInArrow(run, f"t int, depth int, a long, b long, side int, value long, node long, pair long{extra}")
 
 
 def _children(rows: DataFrame, budget: int) -> DataFrame:
@@ -238,6 +314,23 @@ def _children(rows: DataFrame, budget: int) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+def _blocks(rows: DataFrame, budget: int, node_rows: int) -> DataFrame:
+    """Entries of nodes that are large though no bit is left, dealt to pairs of blocks.
+
+    Nodes of equal codes are the same in every rotation and stay in the first one; two nodes of which one is empty go.
+    """
+    half = max(1, node_rows // 2)
+    large = stage(rows.groupBy("t", "a", "b").agg(F.count("*").alias("n"), F.countDistinct("side").alias("sides")).filter(
+        F.col("n") > node_rows).withColumn("blocks", F.ceil(F.col("n") / half).cast("long")).drop("n"), "large-nodes")
+    keys = ["t", "a", "b"]
+    small = rows.join(large, keys, "left_anti").select(*rows.columns)
+    wanted = large.filter((F.col("a") == F.col("b")) & (F.col("t") % (budget + 1) == 0) | (F.col("a") != F.col("b")) & (F.col("sides") > 1))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = rows.drop("pair").join(wanted, keys).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn(
+        "pair", F.least(own, "other") * F.col("blocks") + F.greatest(own, "other"))
+    return small.unionAll(dealt.select(*rows.columns))
+
+
 def links(codes: DataFrame, bits: int = BITS, budget: int = BUDGET, node_rows: int = NODE_ROWS, far: int | None = None) -> DataFrame:
     """Edges ``(a, b)`` that connect all nodes linked in some table.
 
@@ -256,13 +349,16 @@ def links(codes: DataFrame, bits: int = BITS, budget: int = BUDGET, node_rows: i
         done = small if done is None else done.unionAll(small)
         rows = _children(rows.join(large, ["t", "a", "b"], "left_semi").select(*rows.columns), budget)
         depth += STEP
+    else:
+        if depth == bits:
+            rows = _blocks(rows, budget, node_rows)
     rows = rows if done is None else done.unionAll(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in key_chunks(batches, ["t", "a", "b"], CHUNK_ROWS):
+        for chunk in key_chunks(batches, ["t", "a", "b", "pair"], CHUNK_ROWS):
             yield _near_in(chunk, bits, budget, chunk["depth"].to_numpy(), far)
 
-    return rows.repartition("t", "a", "b").sortWithinPartitions("t", "a", "b").mapInArrow(run, "a long, b long")
+    return rows.repartition("t", "a", "b", "pair").sortWithinPartitions("t", "a", "b", "pair").mapInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, budget: int = BUDGET) -> DataFrame:

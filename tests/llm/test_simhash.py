@@ -69,6 +69,52 @@ def test_links_lose_nothing_when_nodes_are_split(spark, node_rows, bits):
     assert len(set(want.values())) < len(codes)
 
 
+def grouped_sketches(rng, centres, copies, flips):
+    out = []
+    for _ in range(centres):
+        base = rng.integers(0, 1 << 63, 5).astype(np.uint64)
+        for _ in range(copies):
+            one = base.copy()
+            for bit in rng.integers(0, 320, rng.integers(0, flips)):
+                one[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+            out.append(one)
+    return np.array(out)[rng.permutation(len(out))]
+
+
+def roots_of(n, pairs):
+    i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+    return simhash.local_roots(n, i, j)
+
+
+@pytest.mark.parametrize("flips", [2, 60, 120])
+def test_representatives_connect_like_all_pairs(flips):
+    rng = np.random.default_rng(flips)
+    for centres, copies in ((1, 200), (7, 40), (150, 2), (200, 1)):
+        x = grouped_sketches(rng, centres, copies, flips)
+        near = np.argwhere(np.bitwise_count(x[:, None] ^ x[None]).sum(2) <= simhash.FAR)
+        pairs = list(simhash.connecting(x, simhash.FAR, len(x)))
+        assert all((np.bitwise_count(x[i] ^ x[j]).sum(1) <= simhash.FAR).all() for i, j in pairs)
+        assert (roots_of(len(x), pairs) == simhash.local_roots(len(x), near[:, 0], near[:, 1])).all()
+
+
+def test_near_copies_are_not_enumerated():
+    x = grouped_sketches(np.random.default_rng(1), 1, 20_000, 20)
+    assert sum(len(i) for i, _ in simhash.connecting(x, simhash.FAR, len(x))) == len(x) - 1
+
+
+@pytest.mark.parametrize("node_rows", [20_000, 40, 6])
+def test_equal_codes_are_linked_by_their_sketches(spark, node_rows):
+    rng = np.random.default_rng(3)
+    x = grouped_sketches(rng, 20, 6, 90)
+    code = np.where(np.arange(len(x)) % 3 == 0, 5, np.where(np.arange(len(x)) % 3 == 1, 5 ^ (1 << 20), 77 << 20))
+    rows = [(0, i, int(c), v.tobytes()) for i, (c, v) in enumerate(zip(code, x, strict=True))]
+    table = spark.createDataFrame(rows, "tab int, node long, code long, sketch binary")
+    found = {r["id"]: r["component"] for r in components(simhash.links(table, 32, 3, node_rows, far=simhash.FAR)).collect()}
+    near = (np.bitwise_count(x[:, None] ^ x[None]).sum(2) <= simhash.FAR) & (np.bitwise_count(code[:, None] ^ code[None]) <= 3)
+    at = np.argwhere(near)
+    assert [found.get(i, i) for i in range(len(x))] == simhash.local_roots(len(x), at[:, 0], at[:, 1]).tolist()
+
+
 def shingles(text, k=5):
     words = (text or "").lower().split()
     return {tuple(words[i:i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
