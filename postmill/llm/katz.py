@@ -1,6 +1,6 @@
 """Katz back-off word model: Good-Turing discounted unigrams and bigrams with exactly normalised back-off weights.
 
-``P(w | h)`` is the discounted bigram estimate where ``h w`` was seen often enough (``LEAST`` times), else ``alpha(h) P(w)``;
+``P(w | h)`` is the discounted bigram estimate where ``h w`` was seen (``LEAST`` times: once is enough), else ``alpha(h) P(w)``;
 ``P(w)`` is the discounted unigram estimate, and all unseen words together are one further type that gets the mass
 the discounts leave. ``alpha(h) = (1 - sum P*(w | h)) / (1 - sum P(w))`` over the kept successors of ``h``, so the
 model sums to one after every history. The start of a text is a history of its own; its end is a token.
@@ -35,7 +35,7 @@ from postmill.llm.substrings import fixed_filter
 from postmill.llm.words import mix, slices, texts_of
 from postmill.sources.staging import stage
 
-LEAST = 3
+LEAST = 1
 DISCOUNTED = 5
 FREQUENT = 1 << 17
 FILTER_BITS = 26

@@ -129,6 +129,18 @@ def test_katz_matches_normalised_recursion(make_docs):
             assert math.isclose(rows[101]["base_score"], rows[100]["base_score"])
 
 
+def test_katz_keeps_every_bigram(make_docs):
+    rng = random.Random(3)
+    texts = {i: " ".join(f"w{int(rng.paretovariate(0.7)) % 60}" for _ in range(rng.randrange(40))) for i in range(60)}
+    train = {i: t for i, t in texts.items() if i < 50}
+    pairs = {p for t in train.values() for w in [["<s>", *t.split(), "</s>"]] for p in zip(w, w[1:], strict=False)}
+    model = katz.fit(make_docs(train), part=500)
+    assert model.bigrams.count() == len(pairs)
+    want = brute_katz(list(train.values()), texts, 1)
+    rows = {r["doc_id"]: r for r in katz.score(make_docs(texts), model, frequent=4, part=100).collect()}
+    assert {i: round(r["score"], 8) for i, r in rows.items()} == {i: round(s, 8) for i, s in want.items()}
+
+
 def test_katz_without_training_texts(make_docs):
     model = katz.fit(make_docs({}))
     rows = katz.score(make_docs({1: "a b", 2: None}), model).collect()
