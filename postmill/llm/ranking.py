@@ -268,6 +268,20 @@ def _searched(vectors: DataFrame, queries: list[Query], size: int, least: np.nda
     return vectors.select("doc", "length", "terms", "impacts").mapInArrow(run, "item int, score long, doc long")
 
 
+def _longest(vectors: DataFrame, first: int) -> DataFrame:
+    """About ``first`` of the longest vectors, longest first, in one part; of the shortest of them, where many are alike, some."""
+    step = F.floor(F.log2("length") * 32)
+    held, share, low = 0, 1.0, -math.inf
+    for r in sorted(vectors.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):  # 32 per power of two
+        low, share = r["step"], min(1.0, (first - held) / r["n"])
+        held += r["n"]
+        if held >= first:
+            break
+    chance = F.shiftrightunsigned(F.xxhash64("doc", F.monotonically_increasing_id()), 11) / F.lit(float(1 << 53))
+    some = vectors.filter((step > low) | ((step == low) & (chance < share)))
+    return some.coalesce(1).sortWithinPartitions(F.desc("length"))
+
+
 def rank(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", ranks: int = RANKS,
          block: int = BLOCK, bucket: int = BUCKET, first: int = FIRST) -> DataFrame:
     """``(item, rank, key, score)``: the ``ranks`` best documents of each item."""
@@ -301,9 +315,8 @@ def rank(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
         queries = [Query.of(term[order[a:z]], weight[term[order[a:z]]]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
         vectors = stage(_vectors(rows, counts[0], counts[1]), "impact-vectors")
         least = np.ones(len(queries), np.int64)
-        longest = vectors.orderBy(F.desc("length")).limit(first)
         seen: dict[int, list[int]] = {}
-        for r in _searched(longest, queries, size, least, ranks, bucket).select("item", "score").collect():  # items x ranks rows
+        for r in _searched(_longest(vectors, first), queries, size, least, ranks, bucket).select("item", "score").collect():  # items x ranks rows
             seen.setdefault(r["item"], []).append(r["score"])
         for i, scores in seen.items():
             if len(scores) >= ranks:
