@@ -8,6 +8,7 @@ write here while a failed round still waits to be run again.
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Row
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from postmill.operators import ingest, mutate, notify, queries
 from postmill.schemas import DETAIL_FIELDS
-from postmill.sources.staging import stage
+from postmill.sources.staging import scratch, stage
 from postmill.sources.store import Store
 
 
@@ -77,38 +78,47 @@ class Feed:
     # -- inserts ---------------------------------------------------------------
 
     def _own_batch(self, table: str) -> int:
-        lowest = self.store.read(table).agg(F.min("batch_id")).first()[0]
-        return min(lowest or 0, 0) - 1
+        return min([0, *[e["batch"] or 0 for e in self.store.entries(table)], *[
+            r[0] for r in self.store.folders(table, [e for e in self.store.entries(table) if e["batch"] is None]).agg(
+                F.coalesce(F.min("batch_id"), F.lit(0))).collect()]]) - 1
 
     def insert_postings(self, listings: DataFrame, order_by: Sequence[str] = ("source", "pos")) -> Row:
         """Store the new ones; ``(inserted, skipped)``."""
-        batch = stage(listings, "listings")
-        now, number = F.current_timestamp(), self._own_batch("postings")
-        new = ingest.ingest_new(batch, self.store.read("postings"), order_by, self.store.highest_id("postings"))
-        self.store.append("postings", new.withColumns({"created_at": now, "updated_at": now}), number)
-        return ingest.ingest_counts(batch, self.store.read("postings").filter(F.col("batch_id") == number)).first()
-
-    def insert_details(self, rows: DataFrame) -> Row:
-        """Store detail rows whose posting and URL have none yet; ``(inserted, skipped)``."""
-        batch = stage(rows.select("job_id", "job_url", *[
-            c if c in rows.columns else F.lit(None).cast(self.details().schema[c].dataType).alias(c) for c in DETAIL_FIELDS]), "details")
-        number = self._own_batch("details")
-        new = ingest.ingest_details(batch, self.details())
-        numbered = ingest.assign_ids(new, ["job_id"], self.store.highest_id("details"))
-        self.store.append("details", numbered.withColumn("scraped_at", F.current_timestamp()), number)
-        return ingest.ingest_counts(batch, self.details().filter(F.col("batch_id") == number)).first()
+        with scratch(self.spark):
+            batch = stage(listings, "listings")
+            now, number = F.current_timestamp(), self._own_batch("postings")
+            new = ingest.ingest_new(batch, self.store.read("postings"), order_by, self.store.highest_id("postings"))
+            change = self.store.change()
+            entry = change.put("postings", new.withColumns({"created_at": now, "updated_at": now}), number)
+            change.commit()
+            return ingest.ingest_counts(batch, self.store.folders("postings", [entry])).first()
+
+    def insert_details(self, rows: DataFrame, order_by: Sequence[str] = ("job_id",)) -> Row:
+        """Store detail rows, taken one by one in the given order, whose posting and URL have none yet; ``(inserted, skipped)``."""
+        with scratch(self.spark):
+            types = self.store.schema("details")
+            batch = stage(rows.select("job_id", "job_url", *[c for c in order_by if c not in types.names], *[
+                c if c in rows.columns else F.lit(None).cast(types[c].dataType).alias(c) for c in DETAIL_FIELDS]), "details")
+            number = self._own_batch("details")
+            new = ingest.ingest_details(batch, self.details(), order_by)
+            numbered = ingest.assign_ids(new, order_by, self.store.highest_id("details"))
+            change = self.store.change()
+            entry = change.put("details", numbered.withColumn("scraped_at", F.current_timestamp()), number)
+            change.commit()
+            return ingest.ingest_counts(batch, self.store.folders("details", [entry])).first()
 
     # -- delivery state --------------------------------------------------------
 
     def _log(self, rows: DataFrame) -> int:
-        """Add to the delivery log under the step for changes by hand, after all that is there.
+        """Add to the delivery log under the step for changes by hand, after all that is there; each call counts by itself.
 
         Before the first round it goes to batch -1, which that round takes into account.
         """
-        rows = stage(rows, "delivery")
-        last = self.store.read("delivery").agg(F.max("batch_id")).first()[0]
-        self.store.add_to_log(rows, -1 if last is None else last, "by-hand")
-        return rows.count()
+        last = max([-1, *[e["batch"] for e in self.store.entries("delivery")]])
+        change = self.store.change()
+        entry = change.add("delivery", rows.withColumn("call", F.lit(uuid.uuid4().hex)), last, "by-hand")
+        change.commit()
+        return entry["rows"]
 
     def mark_sent(self, ids: DataFrame) -> int:
         """Mark postings as sent; how many of the ids exist."""
@@ -125,9 +135,11 @@ class Feed:
     def clear_postings(self, keep_orphans: bool = False) -> int:
         deleted = self.count()
         left, details = mutate.clear_postings(self.store.read("postings"), self.details(), keep_orphans)
+        change = self.store.change()
         if not keep_orphans:
-            self.store.publish("details", details)
-        self.store.publish("postings", left)
+            change.publish("details", details)
+        change.publish("postings", left)
+        change.commit()
         return deleted
 
     def clear_details(self) -> int:

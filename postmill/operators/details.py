@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -21,7 +21,9 @@ from postmill.functions import text
 from postmill.functions.html_rows import loose_row, section_row
 from postmill.functions.numbers import first_compact_number, salary_span
 from postmill.functions.payload_rows import payload_row
+from postmill.operators.ingest import dedupe_first_wins
 from postmill.schemas import DETAIL_FIELDS
+from postmill.sources.staging import stage
 
 # The page helpers travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(postmill)
@@ -250,16 +252,27 @@ def title_and_sections_loose(pages: DataFrame, keys: Sequence[str] = ("page_id",
 
 
 def latest_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Newest usable page of each wanted posting, with its HTML: one scan of the bodies.
+    """Newest usable page of each wanted posting, with its HTML.
 
-    Pages of other URLs are left out first, so bodies are moved for wanted URLs only. The newest usable page is a
-    partial maximum by URL, so a URL landed very often sends one body per task.
+    Which pages these are is found on narrow rows: their ids are a partial maximum per URL of what a semi join lets through. (Pages that
+    have a column ``length`` need not be opened for that.) The chosen ids are written; then the bodies are scanned once, cut
+    in the scan to the range of the ids, and joined by id, so that bodies of other pages stay where they are: Spark
+    broadcasts the ids where they are few, else it filters the scan through a Bloom filter of them before it moves anything.
     """
-    usable = F.col("html").isNotNull() & (F.col("html") != "")
-    newest = pages.join(wanted.select(F.col("job_url").alias("url")).distinct(), "url", "left_semi").filter(usable).groupBy("url").agg(
-        F.max(F.struct("page_id", "html")).alias("newest"))
-    return wanted.select("job_id", "job_url").join(newest, F.col("job_url") == F.col("url")).select(
-        "job_id", "job_url", F.col("newest.page_id").alias("page_id"), F.col("newest.html").alias("html"))
+    body = F.col("length") > 0 if "length" in pages.columns else F.col("html").isNotNull() & (F.col("html") != "")
+    usable = body & (F.col("status") == 200) if "status" in pages.columns else body
+    newest = pages.filter(usable).select("url", "page_id").join(
+        wanted.select(F.col("job_url").alias("url")).distinct(), "url", "left_semi").groupBy("url").agg(F.max("page_id").alias("page_id"))
+    seen = Observation()
+    chosen = stage(wanted.select("job_id", "job_url").join(newest, F.col("job_url") == F.col("url")).select(
+        "job_id", "job_url", "page_id").observe(seen, F.min("page_id").alias("low"), F.max("page_id").alias("high")), "chosen-pages")
+    low, high = seen.get["low"], seen.get["high"]
+    if low is None:
+        return chosen.withColumn("html", F.lit(None).cast("string"))
+    bodies = pages.filter(F.col("page_id").between(low, high) & usable).select("page_id", "url", "html")
+    found = bodies.join(chosen.filter(F.col("page_id").between(low, high)).withColumnRenamed("page_id", "_chosen"),
+                        (F.col("page_id") == F.col("_chosen")) & (F.col("url") == F.col("job_url")))
+    return found.select("job_id", "job_url", "page_id", "html")
 
 
 def details_job(pending: DataFrame, pages: DataFrame, sites: Sequence[Site]) -> DataFrame:
@@ -284,6 +297,8 @@ def details_job(pending: DataFrame, pages: DataFrame, sites: Sequence[Site]) ->
         "job_id", "error", "meta", "payload", F.struct(*DETAIL_FIELDS).alias("_s"))
     fields = with_payload_fields(by_section).select("job_id", "error", *[
         F.coalesce(F.col(n), F.col("_s")[n]).alias(n) for n in DETAIL_FIELDS])
+    # Should a page have landed twice under one id, one of them counts, whichever way they come.
+    fields = dedupe_first_wins(fields, "job_id", ["error"])
     return wanted.drop("kind").join(fields.withColumn("_read", F.lit(True)), "job_id", "left").select(
         "job_id", "job_url", *DETAIL_FIELDS,
         F.when(F.col("_read").isNull(), "no_page").when(F.col("error").isNotNull(), "error")

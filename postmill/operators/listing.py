@@ -212,12 +212,13 @@ def read_guarded(readers: Mapping[str, Callable[[], DataFrame]]) -> tuple[dict[s
     return opened, failed
 
 
-def source_summary(spark: SparkSession, listings: DataFrame, expected: Sequence[str]) -> DataFrame:
-    """Rows per expected source; a source without rows counts as failed."""
+def source_summary(spark: SparkSession, listings: DataFrame, expected: Sequence[str], failed: Sequence[str] | None = None) -> DataFrame:
+    """Rows per expected source, and whether it failed: it is among ``failed``, or, where that is not known, it has no rows."""
     names = spark.createDataFrame([(n,) for n in expected], "source string")
     counts = listings.groupBy("source").agg(F.count("*").alias("rows"))
     return names.join(counts, "source", "left").select(
-        "source", F.coalesce("rows", F.lit(0)).alias("rows"), F.col("rows").isNull().alias("failed"))
+        "source", F.coalesce("rows", F.lit(0)).alias("rows"),
+        (F.col("rows").isNull() if failed is None else F.col("source").isin(list(failed))).alias("failed"))
 
 
 def sample_head(listings: DataFrame, n: int = 3, order_by: Sequence[str] = ("pos",)) -> DataFrame:

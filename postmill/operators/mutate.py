@@ -33,20 +33,21 @@ def with_sent_flag(postings: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def on_their_way(log: DataFrame, since: Column | None = None) -> DataFrame:
-    """Ids of jobs whose last entry says that a message was rendered: its result is not known yet.
+    """Jobs whose last entry says that a message was rendered, when and in which batch: its result is not known yet.
 
     With ``since``, messages rendered before that time count as lost and are left out.
     """
     order = F.struct("batch_id", "at", F.col("outcome") != RENDERED)
-    last = log.groupBy("job_id").agg(F.max_by(F.struct("outcome", "at"), order).alias("last")).filter(F.col("last.outcome") == RENDERED)
-    return (last if since is None else last.filter(F.col("last.at") >= since)).select(F.col("job_id").alias("id"))
+    last = log.groupBy("job_id").agg(F.max_by(F.struct("outcome", "at", "batch_id"), order).alias("last")).filter(F.col("last.outcome") == RENDERED)
+    return (last if since is None else last.filter(F.col("last.at") >= since)).select(
+        F.col("job_id").alias("id"), F.col("last.at").alias("rendered_at"), F.col("last.batch_id").alias("rendered_batch"))
 
 
 def log_rows(ids: DataFrame, outcome: str, at: Column) -> DataFrame:
-    """Log rows of one outcome; ``step`` keeps rows of different origin in one batch apart."""
+    """Log rows of one outcome; ``step`` keeps rows of different origin in one batch apart, ``call`` repeated actions."""
     return ids.select(
         F.col("id").alias("job_id"), F.lit(outcome).alias("outcome"),
-        F.lit(None).cast("string").alias("error"), at.alias("at"), F.lit(outcome).alias("step"))
+        F.lit(None).cast("string").alias("error"), at.alias("at"), F.lit(outcome).alias("call"), F.lit(outcome).alias("step"))
 
 
 def mark_sent(postings: DataFrame, ids: DataFrame, at: Column) -> DataFrame:

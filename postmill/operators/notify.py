@@ -99,7 +99,7 @@ def apply_outcomes(outbox: DataFrame, results: DataFrame, at: Column) -> DataFra
     return known.select(
         "job_id", F.when(F.col("ok"), mutate.SENT).otherwise(mutate.FAILED).alias("outcome"),
         F.when(~F.col("ok"), F.col("error")).alias("error"), at.alias("at"),
-        F.lit("result").alias("step"))
+        F.lit("result").alias("call"), F.lit("result").alias("step"))
 
 
 def retry_after(results: DataFrame) -> DataFrame:

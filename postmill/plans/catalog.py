@@ -8,14 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postmill import schemas
+from postmill.feed import Feed
 from postmill.functions import dates, keywords, numbers, text
 from postmill.functions import fixed_values as fv
 from postmill.operators import crawl, ingest, listing, mutate, notify, queries
 from postmill.operators import details as det
 from postmill.plans import views as v
 from postmill.plans.views import with_views
+from postmill.sources import readers
 from postmill.sources.readers import listings_from_payload, usable_page
-from postmill.sources.staging import shared_folder
+from postmill.sources.staging import create_once, shared_folder
 from postmill.sources.store import Store
 from postmill.streaming import rounds
 
@@ -735,18 +738,74 @@ def unsent_with_details_orders(spark, sf):
         "id", "title", "posted_date", F.coalesce("logged", F.lit(False)).alias("logged"), "views")
 
 
+@query("ingest_from_payload", f"""
+    WITH cards AS (SELECT doc_id AS payload, pos, CASE WHEN title = '' THEN 'Unknown' ELSE title END AS title, '{SITE_ROOT}/job/' || title AS job_url
+        FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS title FROM documents)),
+    first AS (SELECT *, row_number() OVER (PARTITION BY job_url ORDER BY payload, pos) AS rn FROM cards)
+    SELECT row_number() OVER (ORDER BY payload, pos) AS id, payload, pos, title, job_url FROM first WHERE rn = 1""")
+def ingest_from_payload(spark, sf):
+    """Each document is a payload with a listing per line, so first cards of all payloads share a place."""
+    payload = F.to_json(F.transform(F.split("text", "\n"), lambda line: F.struct(F.concat(F.lit("/job/"), line).alias("url"), line.alias("title"))))
+    payloads = v.table(spark, sf, "documents").select(F.col("doc_id").alias("payload"), payload.alias("cards"))
+    listings = listings_from_payload(payloads, "cards", SITE_ROOT, "B", keep=["payload"])
+    nothing = spark.createDataFrame([], "id long, job_url string")
+    return ingest.ingest_new(listings, nothing, ["payload", "pos"]).select("id", "payload", "pos", "title", "job_url")
+
+
+_DETAIL_ROWS = """
+    SELECT doc_id AS pos, CASE WHEN doc_id % 11 <> 0 THEN doc_id // 2 END AS job_id,
+           CASE WHEN source <> 'src7' THEN md5(text[:12]) END AS job_url FROM documents"""
+
+
+@query("accept_details", f"""
+    WITH RECURSIVE all_rows AS ({_DETAIL_ROWS}),
+    stored AS (SELECT job_id, job_url FROM all_rows WHERE pos % 17 = 0),
+    batch AS (SELECT *, row_number() OVER (ORDER BY pos) AS n FROM all_rows WHERE pos % 17 <> 0),
+    known AS (SELECT *, coalesce(job_id IN (SELECT job_id FROM stored WHERE job_id IS NOT NULL), false)
+                     OR coalesce(job_url IN (SELECT job_url FROM stored WHERE job_url IS NOT NULL), false) AS before FROM batch),
+    steps AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS ids, []::VARCHAR[] AS urls, NULL::BIGINT AS pos, NULL::BIGINT AS job_id, NULL::VARCHAR AS job_url, '' AS outcome
+        UNION ALL SELECT k.n,
+            CASE WHEN good AND k.job_id IS NOT NULL THEN list_append(s.ids, k.job_id) ELSE s.ids END,
+            CASE WHEN good AND k.job_url IS NOT NULL THEN list_append(s.urls, k.job_url) ELSE s.urls END,
+            k.pos, k.job_id, k.job_url, CASE WHEN k.before THEN 'stored' WHEN good THEN 'accepted' ELSE 'taken' END
+        FROM steps s JOIN (SELECT * FROM known) k ON k.n = s.n + 1,
+             LATERAL (SELECT NOT k.before AND NOT coalesce(list_contains(s.ids, k.job_id), false) AND NOT coalesce(list_contains(s.urls, k.job_url), false) AS good))
+    SELECT pos, job_id, job_url, outcome FROM steps WHERE n > 0""")
+def accept_details(spark, sf):
+    """Detail rows whose ids and URLs do not pair: two documents share an id, copies share a URL."""
+    rows = v.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 11 != 0, F.floor(F.col("doc_id") / 2)).alias("job_id"),
+        F.when(F.col("source") != "src7", F.md5(F.substring("text", 1, 12).cast("binary"))).alias("job_url"))
+    stored = F.col("pos") % 17 == 0
+    return ingest.accept_details(rows.filter(~stored), rows.filter(stored), ["pos"])
+
+
 # -- incremental rounds --------------------------------------------------------
 
-def _run_rounds(spark, sf, sites, files_per_round=None) -> Store:
-    """Land the feeds as JSON files in the shared folder and run the stream over them."""
+def _land(spark, sf, files_per_round=None, sites=()):
+    """The feeds landed as JSON files in the shared folder, an empty store, and what runs rounds over them."""
     folder = f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
     v.posting_batch(spark, sf).drop("id").withColumn("feed", F.col("source")).write.partitionBy("feed").json(f"{folder}/landed")
     store = Store(spark, f"{folder}/store").init()
     urls = v.posting_batch(spark, sf).select(F.col("id").alias("page_id"), F.col("job_url").alias("url"))
-    pages = v.section_pages(spark, sf).drop("url").join(urls, "page_id")
-    settings = rounds.RoundSettings("chat", sites, WORDS, SITE_ROOT)
-    landed = rounds.landed_listings(spark, f"{folder}/landed", files_per_round)
-    rounds.start_rounds(store, landed, lambda: pages, settings, f"{folder}/checkpoint").awaitTermination()
+    if sites:
+        pages = v.section_pages(spark, sf).drop("url").join(urls, "page_id")
+        pages.withColumns({"status": F.lit(200), "length": F.octet_length("html")}).repartition("page_id").write.parquet(f"{folder}/pages")
+    else:
+        spark.createDataFrame([], schemas.PAGE).write.parquet(f"{folder}/pages")
+    settings = rounds.RoundSettings("chat", sites, WORDS, SITE_ROOT, source_folders={"lost": "feed=lost"})
+
+    def run():
+        landed = rounds.landed_files(spark, f"{folder}/landed", files_per_round)
+        pages = lambda: spark.read.parquet(f"{folder}/pages")
+        rounds.start_rounds(store, landed, pages, settings, f"{folder}/checkpoint").awaitTermination()
+
+    return folder, store, run
+
+
+def _run_rounds(spark, sf, sites, files_per_round=None) -> Store:
+    _, store, run = _land(spark, sf, files_per_round, sites)
+    run()
     return store
 
 
@@ -765,4 +824,124 @@ def incremental_rounds(spark, sf):
 def round_metrics(spark, sf):
     """Counters of one full round: listings, details out of pages, selection."""
     store = _run_rounds(spark, sf, (det.Site("example.com", "sections"),))
-    return store.read("metrics").drop("batch_id")
+    return store.read("metrics").select("inserted", "skipped", "details_ok", "details_failed", "send", "skip", "skip_no_details")
+
+
+_SITE = (det.Site("example.com", "sections"),)
+_ROUND = with_views("", "postings").rstrip() + f""",
+    read AS (SELECT p.id, p.title, CASE WHEN p.job_url IS NOT NULL THEN {_STRIPPED} END AS description, p.job_url FROM postings p JOIN documents d ON d.doc_id = p.id),
+    chosen AS (SELECT *, regexp_matches(lower(title) || ' ' || lower(coalesce(description, '')) || ' ', '{_WHOLE_WORD}') AS hit FROM read)"""
+
+
+def _messages(store: Store, batch_id: int) -> DataFrame:
+    """URL and first line of the messages of a batch."""
+    urls = store.read("postings").select(F.col("id").alias("job_id"), "job_url")
+    return store.read("outbox").filter(F.col("batch_id") == batch_id).join(urls, "job_id").select(
+        "job_url", F.split_part("message", F.lit("\n"), F.lit(1)).alias("headline"))
+
+
+@query("outbox_rounds", _ROUND + " SELECT job_url, '💼 <b>' || title || '</b>' AS headline FROM chosen WHERE hit")
+def outbox_rounds(spark, sf):
+    """The outbox that a round over listings and pages leaves."""
+    return _messages(_run_rounds(spark, sf, _SITE), 0)
+
+
+@query("retry_undelivered", _ROUND + """
+    SELECT job_url, '💼 <b>' || title || '</b>' AS headline FROM chosen WHERE hit AND length(job_url) + length(title) > 0 AND ascii(right(job_url, 1)) % 2 = 0""")
+def retry_undelivered(spark, sf):
+    """Messages of a first round whose sending failed come again in the second, the others do not."""
+    folder, store, run = _land(spark, sf, sites=_SITE)
+    run()
+    failed = F.ascii(F.right("job_url", F.lit(1))) % 2 == 0
+    sent = store.read("outbox").join(store.read("postings").select(F.col("id").alias("job_id"), "job_url"), "job_id")
+    rounds.deliver(store, sent.filter("job_url IS NOT NULL").select(
+        "job_id", (~failed).alias("ok"), F.when(failed, "lost").alias("error")), 0)
+    v.posting_batch(spark, sf).drop("id").filter("job_url IS NOT NULL").write.json(f"{folder}/landed/feed=again")  # nothing new, but a round
+    run()
+    return _messages(store, 1)
+
+
+@query("rejected_listings", """
+    SELECT '{"pos": ' || doc_id || ', "title": "cut' AS line, 'malformed' AS reason FROM documents WHERE n_chars % 10 = 0
+    UNION ALL SELECT NULL, 'unreadable'
+    UNION ALL SELECT 'read ' || (SELECT count(*) FROM documents), 'listings'""")
+def rejected_listings(spark, sf):
+    """Broken lines, a file that cannot be read, and how many listings of the other files went through."""
+    folder, store, run = _land(spark, sf)
+    broken = v.table(spark, sf, "documents").filter("n_chars % 10 = 0").select(
+        F.concat(F.lit('{"pos": '), F.col("doc_id").cast("string"), F.lit(', "title": "cut')).alias("value"))
+    broken.write.text(f"{folder}/landed/feed=broken")
+    create_once(spark, f"{folder}/landed/feed=lost/part.json.gz", "this is no compressed file")
+    run()
+    totals = store.read("metrics").agg(
+        F.sum(F.col("inserted") + F.col("skipped")).alias("read"), F.sum("failed_files").alias("files"), F.sum("failed_sources").alias("sources"))
+    whole = totals.filter("files = 1 AND sources = 1").select(F.concat(F.lit("read "), F.col("read").cast("string")).alias("line"), F.lit("listings").alias("reason"))
+    return store.read("rejected").select(
+        "line", F.when(F.col("line").isNull() & F.endswith("file", F.lit("part.json.gz")), "unreadable").otherwise(F.col("reason")).alias("reason")).unionAll(whole)
+
+
+# -- the store -----------------------------------------------------------------
+
+def _filled(spark, sf) -> Store:
+    """A store with the postings and details of the driver tables."""
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}").init()
+    blank = lambda df, name: df.select(*[
+        c if c in df.columns else F.lit(None).cast(store.schema(name)[c].dataType).alias(c) for c in store.schema(name).names if c != "batch_id"])
+    store.append("postings", blank(v.postings(spark, sf), "postings"), -1)
+    store.append("details", blank(v.details(spark, sf).withColumn("id", F.col("job_id")), "details"), -1)
+    return store
+
+
+@query("publish_and_read", with_views("""
+    SELECT p.id, title, p.job_url, description, requirements FROM postings p
+    LEFT JOIN (SELECT * FROM details WHERE NOT (description IS NULL AND requirements IS NULL)) d ON d.job_id = p.id""", "postings", "details"))
+def publish_and_read(spark, sf):
+    """Both tables written, empty details deleted in a new version, and both read back by the file readers."""
+    store = _filled(spark, sf)
+    Feed(store).delete_empty_details()
+    path = lambda name: f"{store.root}/{name}/part={store.entries(name)[0]['part']}"
+    details = readers.read_details(spark, path("details")).select(F.col("job_id").alias("id"), "description", "requirements")
+    return readers.read_postings(spark, path("postings")).select("id", "title", "job_url").join(details, "id", "left")
+
+
+@query("mark_reset_mark", with_views("""
+    SELECT id, coalesce(id IN (SELECT job_id FROM details), false) AND id IN (SELECT user_id FROM events)
+               OR id IN (SELECT user_id FROM events WHERE event_type = 'click') AS is_sent FROM postings""", "postings", "details"))
+def mark_reset_mark(spark, sf):
+    """Marked by hand, reset where there are no details, and some marked again: every action counts."""
+    feed = Feed(_filled(spark, sf))
+    users = v.table(spark, sf, "events").select("user_id", "event_type")
+    feed.mark_sent(users.select("user_id"))
+    feed.reset_sent_without_details()
+    feed.mark_sent(users.filter("event_type = 'click'").select("user_id"))
+    return feed.postings().select("id", "is_sent")
+
+
+@query("deliver_in_parts", f"""
+    WITH results AS ({v.SQL_VIEWS['delivery_results']})
+    SELECT job_id, CASE WHEN ok THEN 'sent' ELSE 'failed' END AS outcome, error FROM results WHERE job_id IN (SELECT o_orderkey FROM orders)""")
+def deliver_in_parts(spark, sf):
+    """Results of one batch in two parts, the first of them twice."""
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}").init()
+    store.append("outbox", v.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("job_id"), F.lit("chat").alias("chat_id"), F.lit("text").alias("message"), AT().alias("rendered_at")), 0)
+    results = v.delivery_results(spark, sf)
+    for part in (0, 1, 0):
+        rounds.deliver(store, results.filter(F.col("job_id") % 2 == part), 0)
+    return store.read("delivery").filter("step = 'result'").select("job_id", "outcome", "error")
+
+
+@query("read_pages", """
+    SELECT page_id, url FROM pages WHERE page_id % 3 = 0 AND html <> ''""")
+def read_pages(spark, sf):
+    """Landed pages of which a third was fetched well."""
+    status = F.when(F.col("page_id") % 3 == 0, 200).when(F.col("page_id") % 3 == 1, 404)
+    landed = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    v.table(spark, sf, "pages").withColumn("status", status).write.parquet(landed)
+    return readers.read_pages(spark, landed).select("page_id", "url")
+
+
+@query("limit_one", with_views("SELECT least(count(*), 1) AS n FROM postings WHERE job_url LIKE '%en.example%'", "postings"))
+def limit_one(spark, sf):
+    """Is there a posting of the site."""
+    return queries.posting_count(queries.limit_one(queries.url_like(v.postings(spark, sf), "en.example")))

@@ -69,12 +69,14 @@ DELIVERY = T.StructType([
     T.StructField("outcome", T.StringType()),
     T.StructField("error", T.StringType()),
     T.StructField("at", T.TimestampType()),
+    T.StructField("call", T.StringType()),
     T.StructField("step", T.StringType()),
 ])
 
 METRICS = T.StructType([
     T.StructField(n, T.LongType())
-    for n in ("inserted", "skipped", "details_ok", "details_failed", "send", "skip", "skip_no_details")
+    for n in ("inserted", "skipped", "details_ok", "details_failed", "send", "skip", "skip_no_details",
+              "rejected_lines", "failed_files", "failed_sources")
 ])
 
 # One listing as it sits inside a JSON array payload.
@@ -91,3 +93,23 @@ REJECTED = T.StructType([
     T.StructField("reason", T.StringType()),
     T.StructField("at", T.TimestampType()),
 ])
+
+# Landed files that could not be read (outcome ``failed``), and those of them that could be read later (``read``).
+FILES = T.StructType([
+    T.StructField("file", T.StringType()),
+    T.StructField("outcome", T.StringType()),
+    T.StructField("reason", T.StringType()),
+    T.StructField("at", T.TimestampType()),
+])
+
+# What rounds carry on: postings without details, unsent postings with what a message needs, and stored URLs by bucket.
+PENDING = T.StructType([T.StructField("id", T.LongType()), T.StructField("job_url", T.StringType())])
+
+UNSENT = T.StructType([
+    *[f for f in POSTING.fields if f.name in ("id", "title", "company", "location", "job_url", "posted_date")],
+    *[f for f in DETAIL.fields if f.name in DETAIL_FIELDS and f.name != "education"],
+    T.StructField("rendered_at", T.TimestampType()),
+    T.StructField("rendered_batch", T.LongType()),
+])
+
+KEYS = T.StructType([T.StructField("job_url", T.StringType()), T.StructField("bucket", T.IntegerType())])

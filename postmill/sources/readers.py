@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +30,15 @@ def read_listings(spark: SparkSession, path: str, fmt: str = "json") -> DataFram
     )
 
 
-def listings_from_payload(payloads: DataFrame, payload: str, site_root: str, source: str) -> DataFrame:
-    """Listings out of a column of JSON arrays; absent keys get the reader's defaults."""
-    cards = payloads.select(F.posexplode(F.from_json(payload, LISTING_PAYLOAD)).alias("pos", "card"))
+def listings_from_payload(payloads: DataFrame, payload: str, site_root: str, source: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Listings out of a column of JSON arrays; absent keys get the reader's defaults.
+
+    ``pos`` counts within a payload, so columns that tell payloads apart (file, number) are kept for the order of arrival.
+    """
+    cards = payloads.select(*keep, F.posexplode(F.from_json(payload, LISTING_PAYLOAD)).alias("pos", "card"))
     card = lambda n: F.col("card")[n]
     return cards.select(
-        F.lit(source).alias("source"), F.col("pos").cast("long").alias("pos"),
+        *keep, F.lit(source).alias("source"), F.col("pos").cast("long").alias("pos"),
         default_unknown(card("title")).alias("title"), default_unknown(card("company")).alias("company"),
         default_unknown(card("location")).alias("location"), F.lit(None).cast("date").alias("posted_date"),
         absolute_url(F.coalesce(card("url"), F.lit("")), site_root).alias("job_url"),

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,11 +86,44 @@ def test_ingest_details(spark):
     assert sorted(map(str, rows)) == sorted(map(str, expected.collect()))
 
 
+def one_by_one(rows, have):
+    ids, urls = {i for i, _ in have if i is not None}, {u for _, u in have if u is not None}
+    before, out = (set(ids), set(urls)), []
+    for i, u in rows:
+        good = i not in ids and u not in urls
+        out.append("stored" if i in before[0] or u in before[1] else "accepted" if good else "taken")
+        if good:
+            ids |= {i} - {None}
+            urls |= {u} - {None}
+    return out
+
+
 @pytest.mark.parametrize("rows", [
-    [(1, "a"), (1, "b")], [(1, "a"), (2, "a")], [(1, "a"), (1, None)], [(1, "a"), (None, "a")]])
-def test_ambiguous_detail_batches_are_refused(spark, rows):
-    with pytest.raises(ValueError, match="several"):
-        ingest.ingest_details(details(spark, *rows), details(spark, (9, "z")))
+    [(1, "u"), (1, "v"), (2, "w")], [(1, "a"), (2, "a"), (2, "b"), (3, "b"), (3, "c")], [(1, "a"), (1, None), (1, None)],
+    [(1, "a"), (None, "a"), (None, "b"), (None, "b")], [(None, None), (None, None)], [], [(9, "q"), (4, "z"), (9, "z"), (4, "q")]])
+def test_details_are_accepted_one_by_one(spark, rows):
+    have = [(9, "z"), (None, "n"), (8, None)]
+    batch = spark.createDataFrame([(k, *r, "extra") for k, r in enumerate(rows)], "pos long, job_id long, job_url string, _extra string")
+    got = ingest.accept_details(batch, details(spark, *have), ["pos"]).orderBy("pos").collect()
+    assert [r.outcome for r in got] == one_by_one(rows, have)
+
+
+def test_large_tangled_batches_match_row_by_row(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice([None, 1, *range(60)]), rng.choice([None, "hot", *map(str, range(60))])) for _ in range(600)]
+    batch = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "pos long, job_id long, job_url string").repartition(5)
+    got = ingest.accept_details(batch, details(spark, (5, "3")), ["pos"]).orderBy("pos").collect()
+    assert [r.outcome for r in got] == one_by_one(rows, [(5, "3")])
+
+
+def test_equal_places_are_told_apart_by_content(spark):
+    rows = [(0, f"t{i}", f"u{i % 7}") for i in range(40)]
+    runs = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        new = ingest.ingest_new(spark.createDataFrame(rows, BATCH).repartition(1 + seed), stored(spark, "u3"))
+        runs.append(sorted((r.id, r.title, r.job_url) for r in new.collect()))
+    assert runs[0] == runs[1] and [r[0] for r in runs[0]] == list(range(2, 8))
 
 
 def test_url_exists_and_existing(spark):
