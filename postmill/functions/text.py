@@ -5,6 +5,7 @@ from __future__ import annotations
 import html.entities
 import json
 import string
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -19,7 +20,10 @@ _HIDDEN = r"(?is)<(?:!--.*?-->|(script|style|template)\b.*?</\1\s*>)"
 _MARKUP = r"(?is)<(?:!--.*?-->|(script|style|template)\b.*?</\1\s*>|[!/?a-z][^>]*>)"
 _BREAK = "\u0001"  # stands for "markup was here"; not a character of any HTML text
 
-_NAMED = json.dumps({n[:-1]: c for n, c in html.entities.html5.items() if n.endswith(";")})
+# A map is searched from its beginning, so the names are dealt by hash to many small ones.
+_DEALT = 512
+_NAMED = json.dumps([
+    {n[:-1]: c for n, c in html.entities.html5.items() if n.endswith(";") and zlib.crc32(n[:-1].encode()) % _DEALT == i} for i in range(_DEALT)])
 # Numbers 128 to 159 stand for the signs of the Windows code page, as in HTML; five of them have none.
 _WINDOWS = json.dumps({str(n): bytes([n]).decode("cp1252") for n in range(128, 160) if n not in (129, 141, 143, 144, 157)})
 
@@ -87,7 +91,7 @@ def _entity(segment: Column) -> Column:
     windows = F.try_element_at(F.from_json(F.lit(_WINDOWS), "map<string,string>"), number.cast("string"))
     char = F.coalesce(F.when(number.between(128, 159), windows), F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")))
     value = F.when(name.startswith("#"), char).otherwise(
-        F.try_element_at(F.from_json(F.lit(_NAMED), "map<string,string>"), name)
+        F.try_element_at(F.get(F.from_json(F.lit(_NAMED), "array<map<string,string>>"), (F.crc32(name) % _DEALT).cast("int")), name)
     )
     rest = F.substring(segment, F.length(name) + 2, F.length(segment))
     return F.coalesce(F.concat(value, rest), F.concat(F.lit("&"), segment))

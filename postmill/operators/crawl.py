@@ -146,12 +146,26 @@ def apply_cutoff(log: DataFrame, as_of: Column | datetime.date | str, target_day
 
 def apply_site_rules(log: DataFrame, as_of: Column | datetime.date | str, target_days: int,
                      rules: Mapping[str, SiteRule] = SITE_RULES) -> DataFrame:
-    """Cut a log of several sites, each by its own rule; sites without a rule keep all their cards, each URL once."""
-    parts = [apply_cutoff(log.filter(F.col("site") == site), as_of, target_days if r.by_age else None, r.streak, r.distinct_urls, r.max_scrolls)
-             for site, r in rules.items()]
-    others = log.filter(F.col("site").isNull() | ~F.col("site").isin(*rules))
-    parts.append(dedupe_first_wins(others, "url", ["scroll_no", "pos"], within=CRAWL, unique_order=True).select(*log.columns))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionAll(part)
-    return result
+    """Cut a log of several sites, each by its own rule; sites without a rule keep all their cards, each URL once.
+
+    The rules are a small table joined to the log, so that bound, streak and kind of count are columns: however many sites
+    there are, one pass over the scrolls and one over the cards does it.
+    """
+    kinds = {"max_scrolls": "int", "streak": "int", "distinct_urls": "boolean", "by_age": "boolean"}
+    names = {f"_{n}": k for n, k in kinds.items()}
+    table = log.sparkSession.createDataFrame(
+        [(site, *[getattr(r, n) for n in kinds]) for site, r in rules.items()], "site string, " + ", ".join(f"{n} {k}" for n, k in names.items()))
+    within = log.join(table, "site", "left").filter(F.col("_max_scrolls").isNull() | (F.col("scroll_no") <= F.col("_max_scrolls")))
+    scrolls = within.groupBy(*SCROLL, *names).agg(
+        F.max("height").alias("height"), F.count("*").alias("cards"), F.max_by("card_lines", "pos").alias("lines"))
+    grown = _with_growth(within, scrolls, None).withColumn("_count", F.when(F.col("_distinct_urls"), F.col("total_urls")).otherwise(F.col("cards")))
+    old = F.col("_by_age") & (days_ago(_last_date(as_of)["date"], as_of) >= target_days)
+    stop = F.coalesce(F.col("stalled") >= F.col("_streak"), F.lit(False)) | F.coalesce(old, F.lit(False))
+    first_stop = F.min(F.when(stop, F.col("scroll_no"))).over(Window.partitionBy(*CRAWL))
+    kept = _with_stall_length(grown, "_count").withColumn("_cutoff", first_stop).filter(
+        F.col("_cutoff").isNull() | (F.col("scroll_no") <= F.col("_cutoff"))).select(*[F.col(c).alias(f"_kept_{c}") for c in SCROLL])
+    cards = dedupe_first_wins(within, "url", ["scroll_no", "pos"], within=CRAWL, unique_order=True)
+    same = F.lit(True)
+    for c in SCROLL:
+        same = same & F.col(c).eqNullSafe(F.col(f"_kept_{c}"))
+    return cards.join(kept, same, "left_semi").select(*log.columns)

@@ -298,7 +298,7 @@ def details_job(pending: DataFrame, pages: DataFrame, sites: Sequence[Site]) ->
     fields = with_payload_fields(by_section).select("job_id", "error", *[
         F.coalesce(F.col(n), F.col("_s")[n]).alias(n) for n in DETAIL_FIELDS])
     # Should a page have landed twice under one id, one of them counts, whichever way they come.
-    fields = dedupe_first_wins(fields, "job_id", ["error"])
+    fields = dedupe_first_wins(fields, "job_id", ["error", F.xxhash64(*DETAIL_FIELDS)], unique_order=True)
     return wanted.drop("kind").join(fields.withColumn("_read", F.lit(True)), "job_id", "left").select(
         "job_id", "job_url", *DETAIL_FIELDS,
         F.when(F.col("_read").isNull(), "no_page").when(F.col("error").isNotNull(), "error")

@@ -492,6 +492,39 @@ def apply_cutoff(spark, sf):
     return kept.select("site", "crawl_id", "scroll_no", "url", "pos")
 
 
+_SITE_SCROLLS = """
+    limits (site, bound, streak, by_age) AS (VALUES ('A', 100, 1, true), ('B', 30, 3, false)),
+    within AS (SELECT l.*, streak, by_age FROM site_log l LEFT JOIN limits ON limits.site = l.site WHERE bound IS NULL OR scroll_no <= bound),
+    seen AS (SELECT crawl_id, url, min(scroll_no) AS scroll_no FROM within GROUP BY ALL),
+    fresh AS (SELECT crawl_id, scroll_no, count(*) AS new_urls FROM seen GROUP BY ALL),
+    scrolls AS (SELECT site, streak, by_age, w.crawl_id, w.scroll_no, max(height) AS height, count(*) AS cards, max(days) AS days FROM within w GROUP BY ALL),
+    grown AS (SELECT s.*, sum(coalesce(new_urls, 0)) OVER (PARTITION BY s.crawl_id ORDER BY s.scroll_no) AS total_urls
+              FROM scrolls s LEFT JOIN fresh f ON f.crawl_id = s.crawl_id AND f.scroll_no = s.scroll_no),
+    steps AS (SELECT *, height = lag(height, 1, 0) OVER w AND n = lag(n, 1, 0) OVER w AS same
+              FROM (SELECT *, CASE WHEN site = 'B' THEN total_urls ELSE cards END AS n FROM grown) WINDOW w AS (PARTITION BY crawl_id ORDER BY scroll_no)),
+    runs AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY crawl_id ORDER BY scroll_no) AS run FROM steps),
+    stalls AS (SELECT *, sum(CASE WHEN same THEN 1 ELSE 0 END) OVER (PARTITION BY crawl_id, run ORDER BY scroll_no) AS stalled FROM runs)"""
+
+
+@query("apply_site_rules", with_views("", "site_log").rstrip() + "," + _SITE_SCROLLS + """,
+    stops AS (SELECT crawl_id, min(scroll_no) AS stop FROM stalls WHERE stalled >= streak OR (by_age AND days >= 60) GROUP BY crawl_id),
+    firsts AS (SELECT *, row_number() OVER (PARTITION BY crawl_id, url ORDER BY scroll_no, pos) AS rn FROM within)
+    SELECT f.site, f.crawl_id, f.scroll_no, f.url, f.pos FROM firsts f LEFT JOIN stops ON stops.crawl_id = f.crawl_id
+    WHERE rn = 1 AND (stop IS NULL OR f.scroll_no <= stop)""")
+def apply_site_rules(spark, sf):
+    """Two sites cut by their own rules, a third that has none."""
+    return crawl.apply_site_rules(v.site_log(spark, sf), v.AS_OF, 60).select("site", "crawl_id", "scroll_no", "url", "pos")
+
+
+@query("cutoff_stalled_by_cards", with_views("", "site_log").rstrip() + """,
+    scrolls AS (SELECT site, crawl_id, scroll_no, max(height) AS height, count(*) AS cards FROM site_log GROUP BY ALL),
+    steps AS (SELECT *, height = lag(height, 1, 0) OVER w AND cards = lag(cards, 1, 0) OVER w AS same FROM scrolls WINDOW w AS (PARTITION BY crawl_id ORDER BY scroll_no))
+    SELECT site, crawl_id, min(CASE WHEN same THEN scroll_no END) AS stall_cutoff FROM steps GROUP BY ALL""")
+def cutoff_stalled_by_cards(spark, sf):
+    """Standstill of height and of a card count that changes."""
+    return crawl.cutoff_stalled(v.site_log(spark, sf))
+
+
 # -- detail extraction ---------------------------------------------------------
 
 _STRIPPED = "array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))"
@@ -550,6 +583,25 @@ def visible_text(spark, sf):
     return v.table(spark, sf, "pages").select("page_id", text.visible_text(F.col("html")).alias("text"))
 
 
+@query("decoded_references", """
+    SELECT doc_id, source || '+' || chr(8211) || chr(8204) || '&nosuch;' || lang || '&' || chr(10878) || chr(233) AS text FROM documents""")
+def decoded_references(spark, sf):
+    """Named and numeric references from all over the list, known and unknown."""
+    marked = F.concat("source", F.lit("&plus;&#150;&zwnj;&nosuch;"), "lang", F.lit("&amp;&ges;&#xe9;"))
+    return v.table(spark, sf, "documents").select("doc_id", text.visible_text(marked).alias("text"))
+
+
+@query("meta_description", """
+    SELECT doc_id AS page_id, nullif(lang || ' "' || source || '"', '') AS description FROM documents""")
+def meta_description(spark, sf):
+    """Pages whose only text is in the meta tag."""
+    tag = F.concat(F.lit('<html><head><meta name="x" content="no"><META content="'), "lang", F.lit(" &quot;"), "source",
+                   F.lit('&quot;" property="og:description"></head><script>'), F.replace("text", F.lit("<"), F.lit(" ")), F.lit("</script></html>"))
+    empty = F.lit(None).cast("string")
+    return v.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("page_id"), det.meta_fallback(empty, det.meta_description(tag)).alias("description"))
+
+
 @query("meta_fallback", """
     SELECT o_orderkey AS page_id, 'read ' || o_orderkey AS description FROM orders WHERE o_orderstatus <> 'P'
     UNION ALL SELECT o_orderkey, 'a b' FROM orders WHERE o_orderstatus = 'P'""")
@@ -945,3 +997,17 @@ def read_pages(spark, sf):
 def limit_one(spark, sf):
     """Is there a posting of the site."""
     return queries.posting_count(queries.limit_one(queries.url_like(v.postings(spark, sf), "en.example")))
+
+
+@query("stream_dedupe_seeded", with_views("""
+    SELECT DISTINCT job_url FROM arriving WHERE job_url NOT IN (SELECT job_url FROM stored WHERE job_url IS NOT NULL)
+    UNION ALL SELECT NULL FROM arriving WHERE job_url IS NULL""", "arriving", "stored"))
+def stream_dedupe_seeded(spark, sf):
+    """A stream of listings against postings that were stored before it began."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    arriving, stored = _split_feeds(spark, sf)
+    arriving.drop("id").repartition(4, "pos").write.json(f"{folder}/landed")
+    fresh = rounds.stream_dedupe(rounds.landed_listings(spark, f"{folder}/landed", files_per_round=2), stored=stored)
+    fresh.select("job_url").writeStream.format("parquet").option("path", f"{folder}/fresh").option(
+        "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("job_url string").parquet(f"{folder}/fresh")

@@ -90,6 +90,18 @@ def crawl_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.col("event_type"), F.lit("Company ● City"), shown).alias("card_lines"))
 
 
+def site_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawls of two sites, longer than either allows: scrolls of five hours, heights in steps of five scrolls, dates that
+    grow old at three speeds, and as many cards in a scroll as there were events."""
+    crawl, scroll = F.col("user_id") % 24, F.floor((F.dayofmonth("ts") * 24 + F.hour("ts")) / 5).cast("int")
+    days = F.floor(scroll / (1 + crawl % 3)).cast("int")
+    return table(spark, sf_dir, "events").select(
+        F.when(crawl % 2 == 0, "A").when(crawl % 4 == 1, "B").otherwise("C").alias("site"), crawl.alias("crawl_id"), scroll.alias("scroll_no"),
+        (F.floor(scroll / 5) * 100).alias("height"), F.col("event_id").alias("pos"),
+        F.concat_ws("/", "event_type", (F.floor("value") % 7).cast("string")).alias("url"),
+        F.array(F.col("event_type"), F.lit("Company"), F.date_format(F.date_sub(F.lit(AS_OF), days), "dd-MM-yyyy")).alias("card_lines"))
+
+
 # -- a wider binding: orders as postings, lines as details ----------------------
 
 def order_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,6 +230,11 @@ SQL_VIEWS = {
                event_type || '/' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS url,
                CAST(DATE '2024-01-31' - CAST(extract(day FROM ts) AS INTEGER) AS DATE) AS card_date
         FROM events""",
+    "site_log": """
+        SELECT CASE WHEN c % 2 = 0 THEN 'A' WHEN c % 4 = 1 THEN 'B' ELSE 'C' END AS site, c AS crawl_id, CAST(s AS INTEGER) AS scroll_no,
+               CAST(s // 5 * 100 AS BIGINT) AS height, event_id AS pos, event_type || '/' || CAST(CAST(floor(value) AS BIGINT) % 7 AS VARCHAR) AS url,
+               s // (1 + c % 3) AS days
+        FROM (SELECT *, user_id % 24 AS c, (extract(day FROM ts) * 24 + extract(hour FROM ts)) // 5 AS s FROM events)""",
     "order_postings": """
         SELECT o_orderkey AS id, o_orderkey AS pos, o_orderstatus AS source, 'Order ' || o_orderkey AS title,
                'https://c.example.com/' || o_custkey || '/' || o_orderpriority AS job_url, CAST(o_orderdate AS DATE) AS posted_date

@@ -331,12 +331,15 @@ def deliver(store: Store, results: DataFrame, batch_id: int) -> None:
     store.add_to_log(notify.apply_outcomes(outbox, results, F.current_timestamp()), batch_id, "result")
 
 
-def stream_dedupe(listings: DataFrame, within: str | None = None, time: str = "_file_time") -> DataFrame:
+def stream_dedupe(listings: DataFrame, within: str | None = None, time: str = "_file_time", stored: DataFrame | None = None) -> DataFrame:
     """Each URL once over the whole stream, kept in stream state instead of in the tables.
 
     State grows with the number of URLs; with ``within`` (e.g. ``30 days``) it is bounded and a
-    URL may pass again after that time. NULL URLs never collide, so each gets a key of its own.
+    URL may pass again after that time. NULL URLs never collide, so each gets a key of its own. URLs of ``stored``, a table,
+    count as seen: each micro-batch is held against it, so state holds the new ones only and a restart loses nothing.
     """
+    if stored is not None:
+        listings = listings.join(stored.select("job_url").dropna().distinct(), "job_url", "left_anti").select(*listings.columns)
     own = F.when(F.col("job_url").isNull(), F.struct("_file", "pos"))
     keyed = listings.withColumn("_own", own)
     if within is None:

@@ -10,7 +10,7 @@ from postmill.plans import catalog
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-LANDING = {"incremental_rounds", "round_metrics"}  # run a stream while they are built
+LANDING = {"incremental_rounds", "round_metrics", "outbox_rounds", "retry_undelivered", "rejected_listings", "stream_dedupe_seeded"}  # run a stream while they are built
 
 
 @pytest.fixture(scope="module")

@@ -4,6 +4,7 @@ from html.parser import HTMLParser
 import pytest
 from pyspark.sql import functions as F
 
+from postmill.functions import fixed_values as fv
 from postmill.functions.html_rows import NO_TEXT, VOID, Outline
 from postmill.operators import details as det
 from postmill.sources.readers import read_pages
@@ -194,8 +195,23 @@ def test_details_job(spark):
 
 def test_bodies_are_scanned_once(spark, plan, tmp_path):
     path = str(tmp_path / "pages")
-    spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string").write.parquet(path)
+    spark.createDataFrame([(1, "a.example/u", 200, "h")], "page_id long, url string, status int, html string").write.parquet(path)
     wanted = spark.range(1).select(F.col("id").alias("job_id"), F.lit("u").alias("job_url"))
     pending = wanted.withColumnRenamed("job_id", "id").withColumn("job_url", F.lit("a.example/u"))
     text = plan(det.details_job(pending, read_pages(spark, path), [det.Site("a.example", "sections")]))
     assert len(re.findall("ReadSchema: struct<[^>]*html", text)) == 1
+
+
+def test_payload_script_is_the_one_all_scripts_would_give(spark):
+    mark = fv.PAYLOAD_MARKER
+    pages = [
+        f"<script>a</script><script defer>x {mark} y</script>z", f"<SCRIPT>x {mark} y</SCRIPT>", f"{mark}<script>x {mark} y</script>", f"<p>{mark}</p>",
+        f"<script>a</script>{mark}<script>{mark}=1</script>", f"<script>x {mark} never ends", f"<scripted>{mark}</scripted><script>b {mark}</script>",
+        f"<script>a<SCRIPT>{mark}</Script>", f"<script src='{mark}'>a</script>", f"<script>{mark}</SCRIPT>b</script>", "", None, "no", f"é\U0001F600<script>é {mark} ü</script>"]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
+    got = [r[0] for r in df.orderBy("i").select(det.payload_script(F.col("html"))).collect()]
+    want = []
+    for p in pages:
+        found = [s for s in re.findall(r"(?is)<script\b[^>]*>(.*?)</script", p or "") if mark in s]
+        want.append(found[0] if found else None)
+    assert got == want
