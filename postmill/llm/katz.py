@@ -5,18 +5,20 @@
 the discounts leave. ``alpha(h) = (1 - sum P*(w | h)) / (1 - sum P(w))`` over the kept successors of ``h``, so the
 model sums to one after every history. The start of a text is a history of its own; its end is a token.
 
-Words are 64-bit hashes. Counts cover every training text; what grows with the corpus is only ever held in parts:
-tasks pre-aggregate, and ship sorted hashes by parts in byte planes, which compress well. Successors of a
-history go to one part, but those of frequent words (at most five per part) are dealt by both words. Word
-counts, bigrams and back-off weights are tables in the shared folder.
+Words are 63-bit hashes; the ``FREQUENT`` commonest are known to all tasks, with their values, and written by rank. Bigrams are
+a table of one row per part, in packed form: histories, how many successors each has, successors and counts. A history
+and its successors are in one part, but a frequent history has as many parts as its count demands, so a part never
+holds more than about ``PART`` tokens. Counting ships each task's distinct bigrams to their part once and makes that table;
+sums per history and the probabilities of rare successors are made from it in passes without another copy of it.
 
-A text's probability is the recursion summed in another order: every token brings ``log P(w)``, and as a history
-``log alpha``; a token whose bigram is kept replaces both by the bigram's estimate, i.e. adds ``log P* - log P(w) - log
-alpha(h)``. The values of the ``FREQUENT`` commonest words go to all tasks (a fixed size); other words, and bigrams that a
-filter of fixed size lets through, look theirs up in the parts of the table.
+Scoring ships each task's distinct bigrams with the texts they stand in to the same parts, where the recursion is evaluated for
+every token: the bigram's estimate, or back-off weight times the word's own probability. What does not depend on the bigram,
+``log alpha(h) + log P(w)``, is added where it is known (frequent words in the task, rare ones in their part), and where the
+bigram is kept the part adds the rest of its estimate. Sums come back per batch of texts, packed.
 
 Defined results: NULL counts as empty, which is the end token alone. Without training texts every token is unseen
-and has probability 1. Repeated rows are scored each. Extra columns are ignored.
+and has probability 1. Repeated rows are scored each, also those with one id or none. Very long texts are read whole and
+alone. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,37 +29,69 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import drop_staged, key_chunks
-from postmill.llm.substrings import fixed_filter
+from postmill.llm.common import key_chunks
 from postmill.llm.words import mix, slices, texts_of
-from postmill.sources.staging import stage
+from postmill.sources.staging import stage, unstage
 
 LEAST = 1
 DISCOUNTED = 5
-FREQUENT = 1 << 17
-FILTER_BITS = 26
-#: Tokens that a task gathers before it ships them, and entries of one part.
-GATHER = 500_000
-PART = 1_500_000
+FREQUENT = 1 << 20
+#: Distinct bigrams that a task gathers before it ships them, and tokens of one part.
+GATHER = 2_000_000
+PART = 4_000_000
+TOP = np.uint64(1 << 63)
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 _SECOND = np.uint64(0x9E3779B97F4A7C15)
+#: Codes below are ranks of frequent words; the packed form writes them with three bytes.
+_RANKS = 0xFFFFFF
+_CODEC = "zstd"
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Byte planes of 64-bit values, most significant first: of sorted values the first ones compress to nothing."""
-    return np.ascontiguousarray(x.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+# -- packed columns ------------------------------------------------------------
 
+def _squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, _CODEC, asbytes=True) if raw else b"")
 
-def _unplanes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
 
+def _stretch(raw: bytes) -> bytes:
+    size = int.from_bytes(raw[:8], "little")
+    return pa.decompress(raw[8:], size, _CODEC, asbytes=True) if size else b""
 
-def _part(x: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(x ^ _SECOND) >> np.uint64(32)).astype(np.int64) % parts
 
+def pack_numbers(x: np.ndarray, kind: str = "<u8") -> bytes:
+    """Byte planes, least significant first, compressed: what is small takes no room."""
+    x = np.ascontiguousarray(x.astype(kind))
+    return _squeeze(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+
+
+def unpack_numbers(raw: bytes, kind: str = "<u8") -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(_stretch(raw), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def pack_codes(x: np.ndarray) -> bytes:
+    """Ranks with three bytes, hashes with eight more."""
+    rank = x < _RANKS
+    short = np.where(rank, x, _RANKS).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+    raw = len(x).to_bytes(8, "little") + np.ascontiguousarray(short.T).tobytes() + x[~rank].astype("<u8").tobytes()
+    return _squeeze(raw)
+
+
+def unpack_codes(raw: bytes) -> np.ndarray:
+    raw = _stretch(raw)
+    n = int.from_bytes(raw[:8], "little")
+    short = np.zeros((n, 4), np.uint8)
+    short[:, :3] = np.frombuffer(raw, np.uint8, 3 * n, 8).reshape(3, n).T
+    out = short.view("<u4").ravel().astype(np.uint64)
+    out[out == _RANKS] = np.frombuffer(raw, "<u8", -1, 8 + 3 * n)
+    return out
+
+
+# -- tokens --------------------------------------------------------------------
 
 def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(h * _SECOND + w)
@@ -71,32 +105,76 @@ def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     token = np.empty(int(n.sum()), np.uint64)
     inner = np.ones(len(token), bool)
     inner[last] = False
-    token[inner], token[last] = words.hashes(), END
+    token[inner], token[last] = words.hashes() | TOP, END
     history = np.empty_like(token)
     history[1:] = token[:-1]
     history[last - n + 1] = BEGIN
     return history, token, np.repeat(np.arange(words.texts), n)
 
 
-def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, where = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(where, np.concatenate(counts), len(key)).astype(np.int64)
+@dataclass(frozen=True)
+class Ranks:
+    """Frequent words (and the start of a text, which comes last) by rank, and how many parts each has as a history."""
+
+    hashes: np.ndarray
+    ranks: np.ndarray
+    spread: np.ndarray
+    parts: int
+
+    @staticmethod
+    def of(hashes: np.ndarray, counts: np.ndarray, texts: int, parts: int, part: int) -> Ranks:
+        hashes, counts = np.append(hashes, BEGIN), np.append(counts, texts)
+        order = np.argsort(hashes)
+        return Ranks(hashes[order], order.astype(np.uint64), 1 + 2 * counts // part, parts)
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)
+        return np.where(self.hashes[place] == x, self.ranks[place], x)
+
+    def part(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Part of bigrams; a word of its own (as a rare history) is where its successors are."""
+        often = h < _RANKS
+        within = np.zeros(len(h), np.uint64)
+        within[often] = mix(w[often]) % self.spread[h[often].astype(np.int64)].astype(np.uint64)
+        return (mix((h + within * TOP.dtype.type(0xD1B54A32D192ED03)) ^ _SECOND) >> np.uint64(32)).astype(np.int64) % self.parts
+
 
+def _distinct(h: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    _, first, where = np.unique(pair_key(h, w), return_index=True, return_inverse=True)
+    return h[first], w[first], np.bincount(where, c, len(first)).astype(np.int64)
 
-def _ship(key: np.ndarray, count: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    part = _part(key, parts)
-    order = np.argsort(part, kind="stable")
-    bounds = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(bounds)):
-        some = order[bounds[p]:bounds[p + 1]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([int(p)], pa.int32()), pa.array([_planes(key[some])], pa.binary()), pa.array([_planes(count[some].astype(np.uint64))], pa.binary())],
-            names=["part", "keys", "counts"])
 
+def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First of each run of equal histories, and lengths."""
+    head = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    return head, np.diff(np.append(head, len(h)))
+
+
+def _by_part(rows: pa.Table) -> Iterator[pa.Table]:
+    part = rows["part"].to_numpy()
+    heads = np.flatnonzero(np.append(True, np.diff(part) != 0))
+    for begin, end in zip(heads, np.append(heads[1:], len(part)), strict=True):
+        yield rows.slice(begin, end - begin)
+
+
+# -- counts --------------------------------------------------------------------
 
 def word_counts(texts: DataFrame, parts: int) -> DataFrame:
     """``(w, c)`` of all tokens of a column ``text``."""
 
+    def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        key, where = np.unique(np.concatenate(keys), return_inverse=True)
+        return key, np.bincount(where, np.concatenate(counts), len(key)).astype(np.int64)
+
+    def ship(key: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+        part = (mix(key ^ _SECOND) >> np.uint64(32)).astype(np.int64) % parts
+        order = np.argsort(part, kind="stable")
+        bounds = np.searchsorted(part[order], np.arange(parts + 1))
+        for p in np.flatnonzero(np.diff(bounds)):
+            some = order[bounds[p]:bounds[p + 1]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(p)], pa.int32()), *(pa.array([pack_numbers(x[some])], pa.binary()) for x in (key, count))], names=["part", "keys", "counts"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
         for batch in slices(batches):
@@ -105,58 +183,47 @@ def word_counts(texts: DataFrame, parts: int) -> DataFrame:
             counts.append(n)
             held += len(key)
             if held > GATHER:
-                yield from _ship(*_merge(keys, counts), parts)
-                keys, counts, held = [], [], 0
+                key, n = merged(keys, counts)
+                keys, counts, held = [key], [n], len(key)
+                if held > GATHER // 2:
+                    yield from ship(key, n)
+                    keys, counts, held = [], [], 0
         if keys:
-            yield from _ship(*_merge(keys, counts), parts)
+            yield from ship(*merged(keys, counts))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in key_chunks(batches, ["part"], 1):
             for one in _by_part(rows):
-                key, n = _merge([_unplanes(k) for k in one["keys"].to_pylist()], [_unplanes(c) for c in one["counts"].to_pylist()])
+                key, n = merged(*([unpack_numbers(k) for k in one[c].to_pylist()] for c in ("keys", "counts")))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["w", "c"])
 
     shipped = texts.mapInArrow(count, "part int, keys binary, counts binary")
     return shipped.repartition("part").sortWithinPartitions("part").mapInArrow(add, "w long, c long")
 
 
-def _by_part(rows: pa.Table) -> Iterator[pa.Table]:
-    part = rows["part"].to_numpy()
-    heads = np.flatnonzero(np.append(True, np.diff(part) != 0))
-    for begin, end in zip(heads, np.append(heads[1:], len(part)), strict=True):
-        yield rows.slice(begin, end - begin)
-
-
-def bigram_counts(texts: DataFrame, parts: int, often: np.ndarray, least: int = LEAST) -> DataFrame:
-    """Kept bigrams ``(h, w, c)``; rows with NULL ``h`` tell how many bigrams (``c``) were seen ``w`` times."""
-    often = np.sort(np.append(often, BEGIN))
+def bigram_counts(texts: DataFrame, ranks: Ranks, least: int = LEAST) -> DataFrame:
+    """One row per part: kept bigrams ``n`` packed as ``heads, runs, w, c``, and how many were ``seen`` 1, 2, ... times."""
 
     def flush(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        h, w, c = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        _, first, where = np.unique(pair_key(h, w), return_index=True, return_inverse=True)
-        c = np.bincount(where, c, len(first)).astype(np.uint64)
-        h, w = h[first], w[first]
-        place = np.searchsorted(often, h)
-        place[place == len(often)] = 0
-        part = np.where(often[place] == h, _part(h ^ mix(w), parts), _part(h, parts))
+        h, w, c = _distinct(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
+        part = ranks.part(h, w)
         order = np.lexsort((w, h, part))
         h, w, c, part = h[order], w[order], c[order], part[order]
-        bounds = np.searchsorted(part, np.arange(parts + 1))
+        bounds = np.searchsorted(part, np.arange(ranks.parts + 1))
         for p in np.flatnonzero(np.diff(bounds)):
             a, b = bounds[p], bounds[p + 1]
-            head = np.flatnonzero(np.append(True, h[a + 1:b] != h[a:b - 1]))
-            runs = np.diff(np.append(head, b - a)).astype(np.uint64)
+            head, runs = _runs(h[a:b])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([int(p)], pa.int32()), *[pa.array([_planes(x)], pa.binary()) for x in (h[a:b][head], runs, w[a:b], c[a:b])]],
-                names=["part", "h", "runs", "w", "c"])
+                [pa.array([int(p)], pa.int32()), *[pa.array([x], pa.binary()) for x in (
+                    pack_codes(h[a:b][head]), pack_numbers(runs), pack_codes(w[a:b]), pack_numbers(c[a:b]))]],
+                names=["part", "heads", "runs", "w", "c"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, held = [], 0
         for batch in slices(batches):
             h, w, _ = _tokens(batch)
-            _, first, n = np.unique(pair_key(h, w), return_index=True, return_counts=True)
-            pairs.append((h[first], w[first], n))
-            held += len(first)
+            pairs.append(_distinct(ranks.codes(h), ranks.codes(w), np.ones(len(h))))
+            held += len(pairs[-1][0])
             if held > GATHER:
                 yield from flush(pairs)
                 pairs, held = [], 0
@@ -166,20 +233,22 @@ def bigram_counts(texts: DataFrame, parts: int, often: np.ndarray, least: int =
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in key_chunks(batches, ["part"], 1):
             for one in _by_part(rows):
-                w, c, runs, heads = (np.concatenate([_unplanes(x) for x in one[k].to_pylist()]) for k in ("w", "c", "runs", "h"))
-                h = np.repeat(heads, runs.astype(np.int64))
-                _, first, where = np.unique(pair_key(h, w), return_index=True, return_inverse=True)
-                total = np.bincount(where, c, len(first)).astype(np.int64)
-                seen = np.bincount(np.minimum(total, DISCOUNTED + 2))[1:DISCOUNTED + 2]
-                kept = np.flatnonzero(total >= least)
-                order = first[kept][np.argsort(h[first[kept]], kind="stable")]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[order].view(np.int64)), pa.array(w[order].view(np.int64)), pa.array(total[where[order]])], names=["h", "w", "c"])
+                heads, w = (np.concatenate([unpack_codes(x) for x in one[k].to_pylist()]) for k in ("heads", "w"))
+                runs, c = (np.concatenate([unpack_numbers(x) for x in one[k].to_pylist()]) for k in ("runs", "c"))
+                h, w, c = _distinct(np.repeat(heads, runs.astype(np.int64)), w, c)
+                seen = np.bincount(np.minimum(c, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1:DISCOUNTED + 2]
+                kept = np.flatnonzero(c >= least)
+                order = kept[np.lexsort((w[kept], h[kept]))]
+                h, w, c = h[order], w[order], c[order]
+                head, runs = _runs(h)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(seen), pa.int64()), pa.array(np.arange(1, len(seen) + 1)), pa.array(seen.astype(np.int64))], names=["h", "w", "c"])
+                    [one["part"][:1].combine_chunks(), pa.array([len(h)]), pa.array([seen.tolist()], pa.list_(pa.int64())),
+                     *[pa.array([x], pa.binary()) for x in (pack_codes(h[head]), pack_numbers(runs), pack_codes(w), pack_numbers(c))]],
+                    names=["part", "n", "seen", "heads", "runs", "w", "c"])
 
-    shipped = texts.mapInArrow(count, "part int, h binary, runs binary, w binary, c binary")
-    return shipped.repartition("part").sortWithinPartitions("part").mapInArrow(add, "h long, w long, c long")
+    shipped = texts.mapInArrow(count, "part int, heads binary, runs binary, w binary, c binary")
+    return shipped.repartition("part").sortWithinPartitions("part").mapInArrow(
+        add, "part int, n long, seen array<long>, heads binary, runs binary, w binary, c binary")
 
 
 def discounts(seen: dict[int, int], least: int) -> list[float]:
@@ -201,14 +270,22 @@ def discounts(seen: dict[int, int], least: int) -> list[float]:
 
 @dataclass(frozen=True)
 class KatzModel:
-    """``words (w, c, log_p, log_a)`` and ``bigrams (h, w, gain)`` are tables in the shared folder."""
+    """``words (w, c, log_p, log_a, log_total)`` of the rare words, ``bigrams`` packed by part and ``successors (part, w, log_p)``, the
+    rare words that follow others there, are tables in the shared folder; arrays hold the same for ranked words."""
 
     words: DataFrame
     bigrams: DataFrame
+    successors: DataFrame
+    ranks: Ranks
+    counts: np.ndarray
+    log_p: np.ndarray
+    log_a: np.ndarray
+    log_total: np.ndarray
     tokens: int
     distinct: int
     log_unseen: float
-    log_begin: float
+    #: Logarithm of the discounted count, by count up to ``DISCOUNTED``.
+    log_mass: np.ndarray
 
 
 def _discounted(c: Column, d: list[float]) -> Column:
@@ -218,7 +295,19 @@ def _discounted(c: Column, d: list[float]) -> Column:
     return out
 
 
-def fit(texts: DataFrame, text: str = "text", least: int = LEAST, part: int = PART) -> KatzModel:
+def _mass(c: np.ndarray, d: list[float]) -> np.ndarray:
+    low = np.array([r * f for r, f in enumerate(d)])
+    return np.where(c < len(low), low[np.minimum(c, len(low) - 1)], c)
+
+
+def _ranked(frame: DataFrame, ranks: int, column: str, empty: float) -> np.ndarray:
+    out = np.full(ranks, empty)
+    got = frame.select("h", column).toArrow()  # ranked words only
+    out[got["h"].to_numpy()] = got[column].to_numpy()
+    return out
+
+
+def fit(texts: DataFrame, text: str = "text", least: int = LEAST, part: int = PART, frequent: int = FREQUENT) -> KatzModel:
     spark = texts.sparkSession
     texts = texts.select(F.col(text).alias("text"))
     size = texts.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
@@ -230,180 +319,280 @@ def fit(texts: DataFrame, text: str = "text", least: int = LEAST, part: int = PA
     left = sum(n * r * (1 - d1[r]) for r, n in seen.items() if r <= DISCOUNTED)
     total = tokens if left > 0 else tokens + 1
     unseen = (left if left > 0 else 1.0) / total
-    p1 = _discounted(F.col("c"), d1) / F.lit(float(total))
-
-    parts = 1 + tokens // part
-    often = words.filter(F.col("c") * (5 * parts) > tokens).select("w").toArrow()["w"].to_numpy().view(np.uint64)
-    counted = stage(bigram_counts(texts, parts, often, least), "bigrams")
-    seen = {r["w"]: r["n"] for r in counted.filter("h IS NULL").groupBy("w").agg(F.sum("c").alias("n")).collect()}
+    p1 = lambda c: _discounted(c, d1) / F.lit(float(total))
+
+    # The commonest words: as many classes of alike counts, from the top, as stay within the bound.
+    step = F.floor(F.log2("c") * 16)
+    held, cut = 0, -1
+    for r in sorted(words.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):  # 16 per power of two
+        held += r["n"]
+        if held > min(frequent, _RANKS - 2):
+            cut = r["step"]
+            break
+    rare = words.filter(step <= cut)
+    top = words.filter(step > cut).toArrow()
+    order = np.lexsort((top["w"].to_numpy(), -top["c"].to_numpy()))
+    hashes, counts = top["w"].to_numpy().view(np.uint64)[order], top["c"].to_numpy()[order]
+    ranks = Ranks.of(hashes, counts, int(size[0]), 1 + tokens // part, part)
+    n_ranks, begin = len(hashes) + 1, len(hashes)
+    top_p = np.append(_mass(counts, d1) / total, 0.0)
+
+    bigrams = stage(bigram_counts(texts, ranks, least), "bigrams")
+    seen = {r["r"]: r["n"] for r in bigrams.select(F.posexplode("seen").alias("r", "n")).groupBy((F.col("r") + 1).alias("r")).agg(F.sum("n").alias("n")).collect()}
     d2 = discounts(seen, least)
-    kept = counted.filter("h IS NOT NULL").withColumn("mass", _discounted(F.col("c"), d2))
-    with_p = kept.join(words.select("w", p1.alias("p1")), "w")
-    sums = with_p.groupBy("h").agg(F.sum("mass").alias("mass"), F.sum("p1").alias("low"))
-    begin = int(BEGIN.view(np.int64))
-    of = words.select(F.col("w").alias("h"), F.col("c").alias("n")).unionAll(
-        spark.createDataFrame([(begin, int(size[0]))], "h long, n long"))
-    # A history that leaves no mass gets one more count, so that what was not seen after it has some.
-    total_h = F.when(F.col("mass") < F.col("n") - 1e-6, F.col("n")).otherwise(F.col("n") + 1).cast("double")
-    weights = stage(sums.join(of, "h").withColumn("total", total_h).select(
-        "h", "total", F.log10((1 - F.col("mass") / F.col("total")) / (1 - F.col("low"))).alias("log_a")), "backoff")
-    bigrams = stage(with_p.join(weights, "h").select(
-        "h", "w", (F.log10(F.col("mass") / F.col("total")) - F.log10("p1") - F.col("log_a")).alias("gain")), "bigram-gains")
-    drop_staged(spark, counted)
-    valued = stage(words.join(weights.select(F.col("h").alias("w"), "log_a"), "w", "left").select(
-        "w", "c", F.log10(p1).alias("log_p"), F.coalesce("log_a", F.lit(0.0)).alias("log_a")), "word-values")
-    first = weights.filter(F.col("h") == begin).select("log_a").first()
-    return KatzModel(valued, bigrams, tokens, distinct, math.log10(unseen), first[0] if first else 0.0)
-
-
-def score(docs: DataFrame, model: KatzModel, key: str = "doc_id", text: str = "text", frequent: int = FREQUENT, part: int = PART) -> DataFrame:
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                heads, runs, w, c = (f(batch.column(k)[i].as_py()) for k, f in enumerate((unpack_codes, unpack_numbers, unpack_codes, unpack_numbers)))
+                first = np.cumsum(runs.astype(np.int64)) - runs.astype(np.int64)
+                known = w < _RANKS
+                low = np.where(known, top_p[np.where(known, w, 0).astype(np.int64)], 0.0)
+                both = [np.add.reduceat(x, first) if len(first) else np.zeros(0) for x in (_mass(c.astype(np.int64), d2), low)]
+                yield pa.RecordBatch.from_arrays([pa.array(heads.view(np.int64)), *map(pa.array, both)], names=["h", "mass", "low"])
+
+    def followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                heads, runs, w = (f(batch.column(k)[i].as_py()) for k, f in enumerate((unpack_codes, unpack_numbers, unpack_codes)))
+                some = w >= _RANKS
+                h = np.repeat(heads, runs.astype(np.int64))[some]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(h), batch.column(3)[i].as_py(), np.int32)), pa.array(h.view(np.int64)), pa.array(w[some].view(np.int64))],
+                    names=["part", "h", "w"])
+
+    follow = stage(bigrams.select("heads", "runs", "w", "part").mapInArrow(followers, "part int, h long, w long").join(
+        rare.select("w", p1(F.col("c")).alias("p1")), "w"), "rare-successors")
+    partial = bigrams.select("heads", "runs", "w", "c").mapInArrow(sums, "h long, mass double, low double")
+    per_history = stage(partial.unionAll(follow.select("h", F.lit(0.0).alias("mass"), F.col("p1").alias("low"))).groupBy("h").agg(
+        F.sum("mass").alias("mass"), F.sum("low").alias("low")), "histories")
+
+    def weights(n: Column) -> list[Column]:
+        # A history that leaves no mass gets one more count, so that what was not seen after it has some.
+        full = F.when(F.col("mass") < n - 1e-6, n).otherwise(n + 1).cast("double")
+        return [F.log10((1 - F.col("mass") / full) / (1 - F.col("low"))).alias("log_a"), F.log10(full).alias("log_total")]
+
+    ranked = per_history.filter((F.col("h") >= 0) & (F.col("h") < n_ranks))
+    often = spark.createDataFrame(pa.table({"h": pa.array(np.arange(n_ranks)), "n": pa.array(np.append(counts, int(size[0])))}))
+    weighed = stage(ranked.join(often, "h").select("h", *weights(F.col("n"))), "ranked-histories")
+    log_a, log_total = (_ranked(weighed, n_ranks, c, 0.0) for c in ("log_a", "log_total"))
+    valued = stage(rare.join(per_history.withColumnRenamed("h", "w"), "w", "left").select(
+        "w", "c", F.log10(p1(F.col("c"))).alias("log_p"), *[F.coalesce(x, F.lit(0.0)).alias(n) for x, n in zip(weights(F.col("c")), ("log_a", "log_total"), strict=True)]), "rare-words")
+    successors = stage(follow.select("part", "w", F.log10("p1").alias("log_p")).distinct(), "successors")
+    for frame in (words, follow, per_history, weighed):
+        unstage(frame)
+    with np.errstate(divide="ignore"):
+        log_p, log_mass = np.log10(top_p), np.log10(_mass(np.arange(DISCOUNTED + 1), d2))
+    log_p[begin] = 0.0
+    return KatzModel(valued, bigrams, successors, ranks, np.append(counts, 0), log_p, log_a, log_total, tokens, distinct, math.log10(unseen), log_mass)
+
+
+# -- scores --------------------------------------------------------------------
+
+_MESSAGE = ["part", "kind", "batch", "a", "b", "c", "d", "e"]
+#: Kinds of messages: of the model first, then of the texts.
+_BIGRAMS, _WORDS, _FOLLOWERS, _PAIRS, _RARE, _TEXTS = range(6)
+
+
+def _message(part: int, kind: int, batch: int, *columns: bytes) -> list[pa.Array]:
+    held = [*columns, *[b""] * (5 - len(columns))]
+    return [pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([batch], pa.int64()), *[pa.array([x], pa.binary()) for x in held]]
+
+
+def _find(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the values are, and which are there."""
+    if not len(sorted_):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    place = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
+    return place, sorted_[place] == x
+
+
+class _Part:
+    """The model of one part: keys of its bigrams with what each adds, and its rare words with their values."""
+
+    def __init__(self, model: dict, bigrams: list, words: list, followers: list):
+        columns = [np.concatenate(x) for x in zip(*words, strict=True)] if words else [np.zeros(0, np.uint64), *[np.zeros(0)] * 4]
+        order = np.argsort(columns[0])
+        self.words, self.base, log_p, log_a, log_total = (c[order] for c in columns)
+        self.value = log_p + log_a
+        known = [np.concatenate(x) for x in zip(*followers, strict=True)] if followers else [np.zeros(0, np.uint64), np.zeros(0)]
+        order = np.argsort(known[0])
+        rare, rare_p = known[0][order], known[1][order]
+        keys, gains = [np.zeros(0, np.uint64)], [np.zeros(0)]
+        for heads, runs, w, c in bigrams:
+            often = heads < _RANKS
+            place, _ = _find(self.words, heads)
+            at = np.where(often, heads, 0).astype(np.int64)
+            own = lambda ranked, other: np.where(often, ranked[at], other[place] if len(other) else 0.0)  # noqa: B023, E731
+            history = own(model["log_total"], log_total) + own(model["log_a"], log_a)
+            ranked = w < _RANKS
+            place_w, _ = _find(rare, w)
+            word = np.where(ranked, model["log_p"][np.where(ranked, w, 0).astype(np.int64)], rare_p[place_w] if len(rare) else 0.0)
+            c = c.astype(np.int64)
+            low = model["log_mass"]
+            mass = np.where(c < len(low), low[np.minimum(c, len(low) - 1)], np.log10(np.maximum(c, 1)))
+            runs = runs.astype(np.int64)
+            keys.append(pair_key(np.repeat(heads, runs), w))
+            gains.append(mass - word - np.repeat(history, runs))
+        key, gain = np.concatenate(keys), np.concatenate(gains)
+        order = np.argsort(key)
+        self.keys, self.gains = key[order], gain[order]
+
+
+def score(docs: DataFrame, model: KatzModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, n_tokens, n_known, base_score, score)`` for every document."""
-    kind = docs.schema[key].dataType.simpleString()
     types = float(model.tokens + model.distinct + 1)
-    end = int(END.view(np.int64))
-    values = model.words.select(
-        F.col("w").alias("key"), F.log10((F.col("c") + 1) / types).alias("base"),
-        (F.col("log_p") + F.when(F.col("w") == end, 0.0).otherwise(F.col("log_a"))).alias("value"), "c")
-    top = values.orderBy(F.desc("c"), "key").limit(frequent).toArrow()
-    top_key = top["key"].to_numpy().view(np.uint64)
-    order = np.argsort(top_key)
-    top_key, top_base, top_value = top_key[order], top["base"].to_numpy()[order], top["value"].to_numpy()[order]
-    gains = model.bigrams.select("h", "w", "gain")
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key_ = pair_key(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(key_.view(np.int64)), batch.column(2)], names=["key", "value"])
-
-    bigrams = gains.mapInArrow(keyed, "key long, value double")
-    passing = fixed_filter(bigrams, "key", FILTER_BITS)
-    entries = model.distinct + model.bigrams.count()
-    parts = 1 + entries // part
-    log_unseen, log_begin, base_unseen = model.log_unseen, model.log_begin, -math.log10(types)
-
-    def lists(kinds: int, number: np.ndarray, keys: np.ndarray, docs_: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Sorted distinct keys of each part with the rows they occur in."""
-        where = _part(keys, parts)
-        order = np.lexsort((docs_, keys, where))
-        keys, docs_, where = keys[order], docs_[order], where[order]
-        bounds = np.searchsorted(where, np.arange(parts + 1))
-        for p in np.flatnonzero(np.diff(bounds)):
-            k, d = keys[bounds[p]:bounds[p + 1]], docs_[bounds[p]:bounds[p + 1]]
-            head = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-            rows, local = np.unique(d, return_inverse=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(p)], pa.int32()), pa.array([kinds], pa.int32()),
-                 *[pa.array([x], pa.binary()) for x in (_planes(k[head]), np.diff(np.append(head, len(k))).astype("<u4").tobytes(),
-                                                        local.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), _planes(number[rows].view(np.uint64)))],
-                 *[pa.nulls(1, t) for t in (id_type, pa.int64(), pa.int64(), pa.float64(), pa.float64())]], names=names)
-
-    names = ["part", "kind", "keys", "runs", "local", "rows", key, "n_tokens", "n_known", "base", "score"]
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())
+    ranks, parts = model.ranks, model.ranks.parts
+    shared = {"log_p": model.log_p, "log_a": model.log_a, "log_total": model.log_total, "log_mass": model.log_mass}
+    top_base, top_value = np.log10((model.counts + 1) / types), model.log_p + model.log_a
+    log_begin, log_unseen, base_unseen = float(model.log_a[-1]), model.log_unseen, -math.log10(types)
+    id_type = docs.select(key).schema[0].dataType
+    message = "part int, kind int, batch long, a binary, b binary, c binary, d binary, e binary, ids array<" + id_type.simpleString() + ">"
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, numbers, count = [], 0, [], 0
+        number, held, size = TaskContext.get().partitionId() << 24, [], 0
+        arrow = None
+
+        def blank() -> pa.Array:
+            return pa.nulls(1, pa.list_(arrow))
+
+        def pairs(h: np.ndarray, w: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+            part = ranks.part(h, w)
+            order = np.lexsort((doc, w, h, part))
+            h, w, doc, part = h[order], w[order], doc[order], part[order]
+            bounds = np.searchsorted(part, np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(bounds)):
+                a, b = bounds[p], bounds[p + 1]
+                first = np.flatnonzero(np.append(True, (h[a + 1:b] != h[a:b - 1]) | (w[a + 1:b] != w[a:b - 1])))
+                head, runs = _runs(h[a:b][first])
+                yield pa.RecordBatch.from_arrays([*_message(
+                    int(p), _PAIRS, number, pack_codes(h[a:b][first][head]), pack_numbers(runs), pack_codes(w[a:b][first]),
+                    pack_numbers(np.diff(np.append(first, b - a))), pack_numbers(doc[a:b], "<u4")), blank()], names=[*_MESSAGE, "ids"])
+
+        def rare(w: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+            part = ranks.part(w, w)
+            order = np.lexsort((doc, w, part))
+            w, doc, part = w[order], doc[order], part[order]
+            bounds = np.searchsorted(part, np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(bounds)):
+                a, b = bounds[p], bounds[p + 1]
+                head, runs = _runs(w[a:b])
+                yield pa.RecordBatch.from_arrays([*_message(
+                    int(p), _RARE, number, pack_numbers(w[a:b][head]), pack_numbers(runs), pack_numbers(doc[a:b], "<u4")), blank()], names=[*_MESSAGE, "ids"])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            number = np.concatenate(numbers)
-            for kinds in (0, 1):
-                keys = np.concatenate([h[2 * kinds] for h in held])
-                if len(keys):
-                    yield from lists(kinds, number, keys, np.concatenate([h[2 * kinds + 1] for h in held]))
-
+            h, w, doc = (np.concatenate([x[i] for x in held]) for i in range(3))
+            ids = pa.concat_arrays([x[3] for x in held])
+            texts = len(ids)
+            ranked = w < _RANKS
+            at, owner = w[ranked].astype(np.int64), doc[ranked]
+            by = lambda x: np.bincount(owner, x, texts)
+            yield pa.RecordBatch.from_arrays([*_message(
+                number % parts, _TEXTS, number, np.bincount(doc, minlength=texts).astype("<i8").tobytes(), by(None).astype("<i8").tobytes(),
+                by(top_base[at]).tobytes(), (by(top_value[at]) + log_begin).tobytes()),
+                pa.ListArray.from_arrays(pa.array([0, texts], pa.int32()), ids)], names=[*_MESSAGE, "ids"])
+            yield from rare(w[~ranked], doc[~ranked])
+            yield from pairs(h, w, doc)
+
+        texts = 0
         for batch in slices(batches):
+            arrow = batch.column(0).type
             h, w, doc = _tokens(batch)
-            texts_, number = batch.num_rows, batch.column(0).to_numpy()
-            if len(top_key):
-                place = np.searchsorted(top_key, w)
-                place[place == len(top_key)] = 0
-                known = top_key[place] == w
-            else:
-                place, known = np.zeros(len(w), np.int64), np.zeros(len(w), bool)
-            by = lambda x: np.bincount(doc[known], x, texts_)  # noqa: B023, E731
-            at = place[known]
-            n_tokens = np.bincount(doc, minlength=texts_)
-            local = [by(top_base[at]), by(top_value[at]) + log_begin] if len(top_key) else [np.zeros(texts_), np.full(texts_, log_begin)]
-            key_ = pair_key(h, w)
-            slot = (key_ >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-            some = (passing[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) > 0
-            held.append((w[~known], doc[~known] + count, key_[some], doc[some] + count))
-            numbers.append(number)
-            count += texts_
-            size += len(held[-1][0]) + len(held[-1][2])
-            blank = pa.nulls(texts_, pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((number % parts).astype(np.int32)), pa.array(np.full(texts_, 2, np.int32)), blank, blank, blank,
-                 pa.array([n.tobytes() for n in number.astype("<i8")], pa.binary()), batch.column(1),
-                 pa.array(n_tokens), pa.array(np.bincount(doc[known], minlength=texts_)), pa.array(local[0]), pa.array(local[1])], names=names)
+            held.append((ranks.codes(h), ranks.codes(w), doc + texts, batch.column(0)))
+            texts += batch.num_rows
+            size += len(h)
             if size > GATHER:
                 yield from flush()
-                held, size, numbers, count = [], 0, [], 0
-        if size:
+                number, held, size, texts = number + 1, [], 0, 0
+        if held:
             yield from flush()
 
-    def model_rows(which: int):
+    def packed(kind: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                k, v = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-                b = batch.column(2).to_numpy() if which else np.zeros(len(k))
-                where = _part(k, parts)
-                order = np.lexsort((k, where))
-                bounds = np.searchsorted(where[order], np.arange(parts + 1))
+                if kind == _WORDS:
+                    w = batch.column(0).to_numpy().view(np.uint64)
+                    part = ranks.part(w, w)
+                    rest = [np.log10((batch.column(1).to_numpy() + 1) / types), *(batch.column(i).to_numpy() for i in (2, 3, 4))]
+                else:
+                    part, w = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+                    rest = [batch.column(2).to_numpy()]
+                order = np.argsort(part, kind="stable")
+                bounds = np.searchsorted(part[order], np.arange(parts + 1))
                 for p in np.flatnonzero(np.diff(bounds)):
                     some = order[bounds[p]:bounds[p + 1]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(p)], pa.int32()), pa.array([-1 if which else -2], pa.int32()),
-                         *[pa.array([x], pa.binary()) for x in (_planes(k[some]), v[some].tobytes(), b[some].tobytes(), b"")],
-                         *[pa.nulls(1, t) for t in (id_type, pa.int64(), pa.int64(), pa.float64(), pa.float64())]], names=names)
+                    yield pa.RecordBatch.from_arrays([*_message(
+                        int(p), kind, 0, w[some].tobytes(), *(x[some].tobytes() for x in rest)), pa.nulls(1, pa.list_(pa.null()))], names=[*_MESSAGE, "ids"])
         return run
 
-    schema = f"part int, kind int, keys binary, runs binary, local binary, rows binary, {key} {kind}, n_tokens long, n_known long, base double, score double"
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key), F.col(text).alias("text"))
-    sent = numbered.mapInArrow(prepare, schema).unionAll(
-        values.select("key", "value", "base").mapInArrow(model_rows(1), schema)).unionAll(
-        bigrams.mapInArrow(model_rows(0), schema))
+    none = F.lit(None).cast(f"array<{id_type.simpleString()}>").alias("ids")
+    plain = message[:message.index(", ids")]
+
+    def packed_rows(frame: DataFrame, kind: int) -> DataFrame:
+        run = packed(kind)
+        return frame.mapInArrow(lambda batches: (b.select(_MESSAGE) for b in run(batches)), plain).select("*", none)
+
+    sent = docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(prepare, message).unionAll(
+        model.bigrams.select("part", F.lit(_BIGRAMS).alias("kind"), F.lit(0).cast("long").alias("batch"), "heads", "runs", "w", "c", F.lit(b"").alias("e"), none)).unionAll(
+        packed_rows(model.words.select("w", "c", "log_p", "log_a", "log_total"), _WORDS)).unionAll(
+        packed_rows(model.successors.select("part", "w", "log_p"), _FOLLOWERS))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part_, tables, gathered = None, {}, {}
+        at, table, gathered = None, None, {}
         for batch in batches:
-            where, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            plain = np.flatnonzero(kinds == 2)
-            if len(plain):
-                some = batch.take(pa.array(plain))
-                rows = np.frombuffer(b"".join(some.column(5).to_pylist()), "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(rows), *(some.column(i) for i in range(6, 11))], names=["row", *names[6:]])
-            for i in np.flatnonzero(kinds != 2).tolist():
-                if where[i] != part_:
-                    part_, tables, gathered = where[i], {}, {-2: [], -1: []}
-                raw = [batch.column(c)[i].as_py() for c in (2, 3, 4, 5)]
-                if kinds[i] < 0:
-                    gathered[kinds[i]].append((_unplanes(raw[0]), np.frombuffer(raw[1]), np.frombuffer(raw[2])))
+            ids = batch.column(8)
+            for i in range(batch.num_rows):
+                part, kind, number = (batch.column(c)[i].as_py() for c in range(3))
+                raw = [batch.column(c)[i].as_py() for c in range(3, 8)]
+                if part != at:
+                    at, table, gathered = part, None, {_BIGRAMS: [], _WORDS: [], _FOLLOWERS: []}
+                if kind == _TEXTS:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([number]), *(pa.array([x], pa.binary()) for x in raw[:4]), ids.slice(i, 1)], names=["batch", "tokens", "known", "base", "score", "ids"])
+                    continue
+                if kind == _BIGRAMS:
+                    gathered[kind].append([f(x) for f, x in zip((unpack_codes, unpack_numbers, unpack_codes, unpack_numbers), raw[:4], strict=True)])
+                    continue
+                if kind in gathered:
+                    gathered[kind].append([np.frombuffer(raw[0], np.uint64), *(np.frombuffer(x) for x in raw[1:5 if kind == _WORDS else 2])])
                     continue
-                which = kinds[i] - 1 if kinds[i] == 0 else -2
-                if which not in tables:
-                    columns = [np.concatenate(x) for x in zip(*gathered.pop(which), strict=True)] if gathered[which] else [
-                        np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)]
-                    sorted_ = np.argsort(columns[0])
-                    tables[which] = [c[sorted_] for c in columns]
-                known_keys, value, base = tables[which]
-                k, rows = _unplanes(raw[0]), _unplanes(raw[3]).view(np.int64)
-                runs = np.frombuffer(raw[1], "<u4").astype(np.int64)
-                local = np.ascontiguousarray(np.frombuffer(raw[2], np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-                place = np.searchsorted(known_keys, k)
-                place[place == len(known_keys)] = 0
-                hit = known_keys[place] == k if len(known_keys) else np.zeros(len(k), bool)
-                if len(known_keys):
-                    v, b = np.where(hit, value[place], log_unseen if kinds[i] == 0 else 0.0), np.where(hit, base[place], base_unseen if kinds[i] == 0 else 0.0)
+                if table is None:
+                    table = _Part(shared, gathered[_BIGRAMS], gathered[_WORDS], gathered[_FOLLOWERS])
+                    gathered = {}
+                if kind == _PAIRS:
+                    heads, w = unpack_codes(raw[0]), unpack_codes(raw[2])
+                    times, doc = unpack_numbers(raw[3]).astype(np.int64), unpack_numbers(raw[4], "<u4").astype(np.int64)
+                    place, hit = _find(table.keys, pair_key(np.repeat(heads, unpack_numbers(raw[1]).astype(np.int64)), w))
+                    gain = np.where(hit, table.gains[place], 0.0) if len(table.keys) else np.zeros(len(w))
+                    out = [b"", b"", b"", np.bincount(doc, np.repeat(gain, times)).tobytes()]
                 else:
-                    v, b = np.full(len(k), log_unseen if kinds[i] == 0 else 0.0), np.full(len(k), base_unseen if kinds[i] == 0 else 0.0)
-                add = lambda x: np.bincount(local, np.repeat(x, runs), len(rows))  # noqa: B023, E731
-                known = add(hit.astype(float)).astype(np.int64) if kinds[i] == 0 else np.zeros(len(rows), np.int64)
+                    w, times, doc = unpack_numbers(raw[0]), unpack_numbers(raw[1]).astype(np.int64), unpack_numbers(raw[2], "<u4").astype(np.int64)
+                    place, hit = _find(table.words, w)
+                    pick = lambda x, other: np.where(hit, x[place], other) if len(x) else np.full(len(hit), other)  # noqa: B023, E731
+                    add = lambda x: np.bincount(doc, np.repeat(x, times))  # noqa: B023, E731
+                    out = [b"", add(hit.astype(float)).astype("<i8").tobytes(), add(pick(table.base, base_unseen)).tobytes(), add(pick(table.value, log_unseen)).tobytes()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows), pa.nulls(len(rows), id_type), pa.array(np.zeros(len(rows), np.int64)), pa.array(known), pa.array(add(b)), pa.array(add(v))],
-                    names=["row", *names[6:]])
+                    [pa.array([number]), *(pa.array([x], pa.binary()) for x in out), pa.nulls(1, ids.type)], names=["batch", "tokens", "known", "base", "score", "ids"])
 
     found = sent.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(
-        look_up, f"row long, {key} {kind}, n_tokens long, n_known long, base double, score double")
-    return found.groupBy("row").agg(
-        F.max(key).alias(key), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-        F.sum("base").alias("base_score"), F.sum("score").alias("score")).drop("row")
+        look_up, f"batch long, tokens binary, known binary, base binary, score binary, ids array<{id_type.simpleString()}>")
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in key_chunks(batches, ["batch"], 1):
+            number = rows["batch"].to_numpy()
+            heads = np.flatnonzero(np.append(True, np.diff(number) != 0))
+            for begin, end in zip(heads, np.append(heads[1:], len(number)), strict=True):
+                one = rows.slice(begin, end - begin)
+                whole = one.filter(one["ids"].is_valid())
+                ids = whole["ids"].combine_chunks().flatten()
+                sums = []
+                for name, kind in (("tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")):
+                    total = np.zeros(len(ids), kind)
+                    for raw in one[name].to_pylist():
+                        part = np.frombuffer(raw, kind)
+                        total[:len(part)] += part
+                    sums.append(pa.array(total))
+                yield pa.RecordBatch.from_arrays([ids, *sums], names=[key, "n_tokens", "n_known", "base_score", "score"])
+
+    return found.repartition("batch").sortWithinPartitions("batch").mapInArrow(
+        add_up, f"{key} {id_type.simpleString()}, n_tokens long, n_known long, base_score double, score double")

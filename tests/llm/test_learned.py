@@ -120,10 +120,10 @@ def test_katz_matches_normalised_recursion(make_docs):
     texts |= {100: None, 101: "", 102: "Never SEEN before", 103: "w1 " * 2000}
     train = {i: t for i, t in texts.items() if i < 50}
     for least in (2, 3):
-        model = katz.fit(make_docs(train), least=least, part=500)
         want = brute_katz(list(train.values()), texts, least)
         for frequent in (4, 1 << 17):
-            rows = {r["doc_id"]: r for r in katz.score(make_docs(texts), model, frequent=frequent, part=100).collect()}
+            model = katz.fit(make_docs(train), least=least, part=100, frequent=frequent)
+            rows = {r["doc_id"]: r for r in katz.score(make_docs(texts), model).collect()}
             assert {i: round(r["score"], 8) for i, r in rows.items()} == {i: round(s, 8) for i, s in want.items()}
             assert rows[100]["n_tokens"] == 1 and rows[102]["n_known"] == 1
             assert math.isclose(rows[101]["base_score"], rows[100]["base_score"])
@@ -134,10 +134,10 @@ def test_katz_keeps_every_bigram(make_docs):
     texts = {i: " ".join(f"w{int(rng.paretovariate(0.7)) % 60}" for _ in range(rng.randrange(40))) for i in range(60)}
     train = {i: t for i, t in texts.items() if i < 50}
     pairs = {p for t in train.values() for w in [["<s>", *t.split(), "</s>"]] for p in zip(w, w[1:], strict=False)}
-    model = katz.fit(make_docs(train), part=500)
-    assert model.bigrams.count() == len(pairs)
+    model = katz.fit(make_docs(train), part=500, frequent=4)
+    assert sum(r["n"] for r in model.bigrams.collect()) == len(pairs) and model.bigrams.count() > 1
     want = brute_katz(list(train.values()), texts, 1)
-    rows = {r["doc_id"]: r for r in katz.score(make_docs(texts), model, frequent=4, part=100).collect()}
+    rows = {r["doc_id"]: r for r in katz.score(make_docs(texts), model).collect()}
     assert {i: round(r["score"], 8) for i, r in rows.items()} == {i: round(s, 8) for i, s in want.items()}
 
 
@@ -146,3 +146,17 @@ def test_katz_without_training_texts(make_docs):
     rows = katz.score(make_docs({1: "a b", 2: None}), model).collect()
     assert {(r["n_tokens"], r["n_known"], r["score"], r["base_score"]) for r in rows} == {(3, 0, 0.0, 0.0), (1, 0, 0.0, 0.0)}
     assert katz.score(make_docs({}), model).count() == 0
+
+
+def test_katz_scores_every_row_with_its_own_id(make_docs):
+    model = katz.fit(make_docs({1: "a b a b c", 2: "a b"}))
+    rows = katz.score(make_docs([(1, "a b"), (1, "c c c"), (None, "a"), (None, None), (2, "a b")]), model).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in rows) == [("1", 3), ("1", 4), ("2", 3), ("None", 1), ("None", 2)]
+    assert len({r["score"] for r in rows if r["n_tokens"] == 3}) == 1
+
+
+def test_packed_columns_round_trip():
+    rng = np.random.default_rng(0)
+    codes = np.concatenate([rng.integers(0, katz._RANKS, 50), rng.integers(1 << 62, 1 << 63, 50)]).astype(np.uint64) | np.where(np.arange(100) < 50, 0, 1 << 63).astype(np.uint64)
+    for x in (codes, rng.permutation(codes), codes[:0], codes[:1]):
+        assert (katz.unpack_codes(katz.pack_codes(x)) == x).all() and (katz.unpack_numbers(katz.pack_numbers(x)) == x).all()
