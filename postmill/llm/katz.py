@@ -39,8 +39,8 @@ from postmill.sources.staging import stage, unstage
 
 LEAST = 1
 DISCOUNTED = 5
-FREQUENT = 1 << 20
-#: Distinct bigrams that a task gathers before it ships them, and tokens of one part.
+FREQUENT = 1 << 19
+#: Tokens that a task gathers before it ships them, and tokens of one part.
 GATHER = 2_000_000
 PART = 4_000_000
 TOP = np.uint64(1 << 63)
@@ -93,12 +93,36 @@ def unpack_codes(raw: bytes) -> np.ndarray:
 
 # -- tokens --------------------------------------------------------------------
 
-def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(h * _SECOND + w)
+def pair_order(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Numbers by which bigrams are sorted everywhere: those of one history stand together. Different ones may be equal."""
+    return (mix(h) & np.uint64(0xFFFFFFFF00000000)) | (mix(w) >> np.uint64(32))
+
+
+def sorted_pairs(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of bigrams with equal ones side by side, where each different one begins in it, and the sorted numbers."""
+    number = pair_order(h, w)
+    order = np.argsort(number)
+    number, h, w = number[order], h[order], w[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
+    mixed = np.flatnonzero(new[1:] & (number[1:] == number[:-1]))
+    if len(mixed):  # different bigrams with one number: sorted by what they are
+        some = np.flatnonzero(np.isin(number, number[mixed]))
+        order[some] = order[some][np.lexsort((w[some], h[some], number[some]))]
+        h[some], w[some] = h[some][turn := np.lexsort((w[some], h[some], number[some]))], w[some][turn]
+        new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
+    return order, np.flatnonzero(new), number
+
+
+def by_part(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order by part, and where each part begins in it (and the end)."""
+    part = part.astype(np.uint16) if parts <= 1 << 16 else part
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
 def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Histories, tokens and text numbers; each text ends with its end token."""
+    """Tokens, the first of each text, and text numbers; each text ends with its end token."""
     words = texts_of(batch)
     n = words.counts() + 1
     last = np.cumsum(n) - 1
@@ -106,30 +130,58 @@ def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inner = np.ones(len(token), bool)
     inner[last] = False
     token[inner], token[last] = words.hashes() | TOP, END
-    history = np.empty_like(token)
-    history[1:] = token[:-1]
-    history[last - n + 1] = BEGIN
-    return history, token, np.repeat(np.arange(words.texts), n)
+    return token, last - n + 1, np.repeat(np.arange(words.texts, dtype=np.uint32), n)
 
 
 @dataclass(frozen=True)
 class Ranks:
-    """Frequent words (and the start of a text, which comes last) by rank, and how many parts each has as a history."""
+    """Frequent words by rank, and how many parts each has as a history; the start of a text has the last rank."""
 
-    hashes: np.ndarray
+    #: Open table: a word's slot follows from its top bits, or is one of the next.
+    slots: np.ndarray
     ranks: np.ndarray
     spread: np.ndarray
     parts: int
 
     @staticmethod
     def of(hashes: np.ndarray, counts: np.ndarray, texts: int, parts: int, part: int) -> Ranks:
-        hashes, counts = np.append(hashes, BEGIN), np.append(counts, texts)
-        order = np.argsort(hashes)
-        return Ranks(hashes[order], order.astype(np.uint64), 1 + 2 * counts // part, parts)
+        bits = max(4, int(2 * len(hashes) + 1).bit_length())
+        slots, ranks = np.zeros((1 << bits) + 64, np.uint64), np.zeros((1 << bits) + 64, np.uint64)
+        at, left = Ranks._slot(hashes, bits), np.arange(len(hashes))
+        while len(left):
+            _, first = np.unique(at, return_index=True)
+            free = first[slots[at[first]] == 0]
+            slots[at[free]], ranks[at[free]] = hashes[left[free]], left[free].astype(np.uint64)
+            keep = np.ones(len(left), bool)
+            keep[free] = False
+            left, at = left[keep], at[keep] + 1
+            if len(at) and at.max() >= len(slots):
+                slots, ranks = np.append(slots, np.zeros(64, np.uint64)), np.append(ranks, np.zeros(64, np.uint64))
+        return Ranks(slots, ranks, 1 + 2 * np.append(counts, texts) // part, parts)
+
+    @staticmethod
+    def _slot(x: np.ndarray, bits: int) -> np.ndarray:
+        return ((x << np.uint64(1)) >> np.uint64(64 - bits)).astype(np.int64)
 
     def codes(self, x: np.ndarray) -> np.ndarray:
-        place = np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)
-        return np.where(self.hashes[place] == x, self.ranks[place], x)
+        """Ranks of frequent words, other words as they are."""
+        out, bits = x.copy(), (len(self.slots) - 64).bit_length() - 1
+        left, at = np.arange(len(x)), Ranks._slot(x, bits)
+        while len(left):
+            held = self.slots[at]
+            hit = held == x[left]
+            out[left[hit]] = self.ranks[at[hit]]
+            more = ~hit & (held != 0)
+            left, at = left[more], at[more] + 1
+        return out
+
+    def bigrams(self, token: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of histories and tokens."""
+        w = self.codes(token)
+        h = np.empty_like(w)
+        h[1:] = w[:-1]
+        h[first] = len(self.spread) - 1
+        return h, w
 
     def part(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Part of bigrams; a word of its own (as a rare history) is where its successors are."""
@@ -140,8 +192,9 @@ class Ranks:
 
 
 def _distinct(h: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    _, first, where = np.unique(pair_key(h, w), return_index=True, return_inverse=True)
-    return h[first], w[first], np.bincount(where, c, len(first)).astype(np.int64)
+    order, first, _ = sorted_pairs(h, w)
+    at = order[first]
+    return h[at], w[at], np.add.reduceat(c[order], first) if len(first) else c[:0]
 
 
 def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +231,7 @@ def word_counts(texts: DataFrame, parts: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
         for batch in slices(batches):
-            key, n = np.unique(_tokens(batch)[1], return_counts=True)
+            key, n = np.unique(_tokens(batch)[0], return_counts=True)
             keys.append(key)
             counts.append(n)
             held += len(key)
@@ -204,12 +257,11 @@ def word_counts(texts: DataFrame, parts: int) -> DataFrame:
 def bigram_counts(texts: DataFrame, ranks: Ranks, least: int = LEAST) -> DataFrame:
     """One row per part: kept bigrams ``n`` packed as ``heads, runs, w, c``, and how many were ``seen`` 1, 2, ... times."""
 
-    def flush(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        h, w, c = _distinct(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
-        part = ranks.part(h, w)
-        order = np.lexsort((w, h, part))
-        h, w, c, part = h[order], w[order], c[order], part[order]
-        bounds = np.searchsorted(part, np.arange(ranks.parts + 1))
+    def flush(h: np.ndarray, w: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order, first, _ = sorted_pairs(h, w)
+        h, w, c = h[order[first]], w[order[first]], np.diff(np.append(first, len(order)))
+        order, bounds = by_part(ranks.part(h, w), ranks.parts)
+        h, w, c = h[order], w[order], c[order]
         for p in np.flatnonzero(np.diff(bounds)):
             a, b = bounds[p], bounds[p + 1]
             head, runs = _runs(h[a:b])
@@ -221,25 +273,24 @@ def bigram_counts(texts: DataFrame, ranks: Ranks, least: int = LEAST) -> DataFra
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, held = [], 0
         for batch in slices(batches):
-            h, w, _ = _tokens(batch)
-            pairs.append(_distinct(ranks.codes(h), ranks.codes(w), np.ones(len(h))))
-            held += len(pairs[-1][0])
+            token, first, _ = _tokens(batch)
+            pairs.append(ranks.bigrams(token, first))
+            held += len(token)
             if held > GATHER:
-                yield from flush(pairs)
+                yield from flush(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
                 pairs, held = [], 0
         if pairs:
-            yield from flush(pairs)
+            yield from flush(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in key_chunks(batches, ["part"], 1):
             for one in _by_part(rows):
                 heads, w = (np.concatenate([unpack_codes(x) for x in one[k].to_pylist()]) for k in ("heads", "w"))
                 runs, c = (np.concatenate([unpack_numbers(x) for x in one[k].to_pylist()]) for k in ("runs", "c"))
-                h, w, c = _distinct(np.repeat(heads, runs.astype(np.int64)), w, c)
+                h, w, c = _distinct(np.repeat(heads, runs.astype(np.int64)), w, c.astype(np.int64))
                 seen = np.bincount(np.minimum(c, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1:DISCOUNTED + 2]
-                kept = np.flatnonzero(c >= least)
-                order = kept[np.lexsort((w[kept], h[kept]))]
-                h, w, c = h[order], w[order], c[order]
+                kept = c >= least
+                h, w, c = h[kept], w[kept], c[kept]
                 head, runs = _runs(h)
                 yield pa.RecordBatch.from_arrays(
                     [one["part"][:1].combine_chunks(), pa.array([len(h)]), pa.array([seen.tolist()], pa.list_(pa.int64())),
@@ -408,7 +459,7 @@ def _find(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Part:
-    """The model of one part: keys of its bigrams with what each adds, and its rare words with their values."""
+    """The model of one part: its bigrams with what each adds, and its rare words with their values."""
 
     def __init__(self, model: dict, bigrams: list, words: list, followers: list):
         columns = [np.concatenate(x) for x in zip(*words, strict=True)] if words else [np.zeros(0, np.uint64), *[np.zeros(0)] * 4]
@@ -418,7 +469,7 @@ class _Part:
         known = [np.concatenate(x) for x in zip(*followers, strict=True)] if followers else [np.zeros(0, np.uint64), np.zeros(0)]
         order = np.argsort(known[0])
         rare, rare_p = known[0][order], known[1][order]
-        keys, gains = [np.zeros(0, np.uint64)], [np.zeros(0)]
+        found = [[np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0)]]
         for heads, runs, w, c in bigrams:
             often = heads < _RANKS
             place, _ = _find(self.words, heads)
@@ -432,11 +483,25 @@ class _Part:
             low = model["log_mass"]
             mass = np.where(c < len(low), low[np.minimum(c, len(low) - 1)], np.log10(np.maximum(c, 1)))
             runs = runs.astype(np.int64)
-            keys.append(pair_key(np.repeat(heads, runs), w))
-            gains.append(mass - word - np.repeat(history, runs))
-        key, gain = np.concatenate(keys), np.concatenate(gains)
-        order = np.argsort(key)
-        self.keys, self.gains = key[order], gain[order]
+            found.append([np.repeat(heads, runs), w, mass - word - np.repeat(history, runs)])
+        h, w, gains = found[-1] if len(found) == 2 else (np.concatenate(x) for x in zip(*found, strict=True))
+        order, _, self.number = sorted_pairs(h, w)
+        self.h, self.w, self.gains = h[order], w[order], gains[order]
+
+    def gain(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What each bigram adds; nothing where it is not kept."""
+        number = pair_order(h, w)
+        place, out, left = np.searchsorted(self.number, number), np.zeros(len(h)), np.arange(len(h))
+        while True:
+            inside = place < len(self.number)
+            left, place = left[inside], place[inside]
+            same = self.number[place] == number[left]
+            left, place = left[same], place[same]
+            if not len(left):
+                return out
+            hit = (self.h[place] == h[left]) & (self.w[place] == w[left])
+            out[left[hit]] = self.gains[place[hit]]
+            left, place = left[~hit], place[~hit] + 1
 
 
 def score(docs: DataFrame, model: KatzModel, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -457,17 +522,20 @@ def score(docs: DataFrame, model: KatzModel, key: str = "doc_id", text: str = "t
             return pa.nulls(1, pa.list_(arrow))
 
         def pairs(h: np.ndarray, w: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+            order, first, _ = sorted_pairs(h, w)
+            times = np.diff(np.append(first, len(order)))
+            h, w, doc = h[order[first]], w[order[first]], doc[order]
             part = ranks.part(h, w)
-            order = np.lexsort((doc, w, h, part))
-            h, w, doc, part = h[order], w[order], doc[order], part[order]
-            bounds = np.searchsorted(part, np.arange(parts + 1))
+            doc = doc[by_part(np.repeat(part, times), parts)[0]]
+            order, bounds = by_part(part, parts)
+            h, w, times = h[order], w[order], times[order]
+            begin = np.concatenate([[0], np.cumsum(times)])
             for p in np.flatnonzero(np.diff(bounds)):
                 a, b = bounds[p], bounds[p + 1]
-                first = np.flatnonzero(np.append(True, (h[a + 1:b] != h[a:b - 1]) | (w[a + 1:b] != w[a:b - 1])))
-                head, runs = _runs(h[a:b][first])
+                head, runs = _runs(h[a:b])
                 yield pa.RecordBatch.from_arrays([*_message(
-                    int(p), _PAIRS, number, pack_codes(h[a:b][first][head]), pack_numbers(runs), pack_codes(w[a:b][first]),
-                    pack_numbers(np.diff(np.append(first, b - a))), pack_numbers(doc[a:b], "<u4")), blank()], names=[*_MESSAGE, "ids"])
+                    int(p), _PAIRS, number, pack_codes(h[a:b][head]), pack_numbers(runs), pack_codes(w[a:b]),
+                    pack_numbers(times[a:b]), pack_numbers(doc[begin[a]:begin[b]], "<u4")), blank()], names=[*_MESSAGE, "ids"])
 
         def rare(w: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
             part = ranks.part(w, w)
@@ -497,10 +565,10 @@ def score(docs: DataFrame, model: KatzModel, key: str = "doc_id", text: str = "t
         texts = 0
         for batch in slices(batches):
             arrow = batch.column(0).type
-            h, w, doc = _tokens(batch)
-            held.append((ranks.codes(h), ranks.codes(w), doc + texts, batch.column(0)))
+            token, first, doc = _tokens(batch)
+            held.append((*ranks.bigrams(token, first), doc + np.uint32(texts), batch.column(0)))
             texts += batch.num_rows
-            size += len(h)
+            size += len(token)
             if size > GATHER:
                 yield from flush()
                 number, held, size, texts = number + 1, [], 0, 0
@@ -562,8 +630,7 @@ def score(docs: DataFrame, model: KatzModel, key: str = "doc_id", text: str = "t
                 if kind == _PAIRS:
                     heads, w = unpack_codes(raw[0]), unpack_codes(raw[2])
                     times, doc = unpack_numbers(raw[3]).astype(np.int64), unpack_numbers(raw[4], "<u4").astype(np.int64)
-                    place, hit = _find(table.keys, pair_key(np.repeat(heads, unpack_numbers(raw[1]).astype(np.int64)), w))
-                    gain = np.where(hit, table.gains[place], 0.0) if len(table.keys) else np.zeros(len(w))
+                    gain = table.gain(np.repeat(heads, unpack_numbers(raw[1]).astype(np.int64)), w)
                     out = [b"", b"", b"", np.bincount(doc, np.repeat(gain, times)).tobytes()]
                 else:
                     w, times, doc = unpack_numbers(raw[0]), unpack_numbers(raw[1]).astype(np.int64), unpack_numbers(raw[2], "<u4").astype(np.int64)

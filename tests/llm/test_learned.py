@@ -160,3 +160,31 @@ def test_packed_columns_round_trip():
     codes = np.concatenate([rng.integers(0, katz._RANKS, 50), rng.integers(1 << 62, 1 << 63, 50)]).astype(np.uint64) | np.where(np.arange(100) < 50, 0, 1 << 63).astype(np.uint64)
     for x in (codes, rng.permutation(codes), codes[:0], codes[:1]):
         assert (katz.unpack_codes(katz.pack_codes(x)) == x).all() and (katz.unpack_numbers(katz.pack_numbers(x)) == x).all()
+
+
+def test_bigrams_are_sorted_and_found_where_numbers_clash(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(katz, "mix", lambda x: (x % np.uint64(5)) << np.uint64(40))
+    h, w = rng.integers(0, 30, 4000).astype(np.uint64), rng.integers(0, 30, 4000).astype(np.uint64)
+    order, first, _ = katz.sorted_pairs(h, w)
+    pairs = list(zip(h[order].tolist(), w[order].tolist(), strict=True))
+    assert [p for i, p in enumerate(pairs) if not i or p != pairs[i - 1]] == [pairs[i] for i in first] and len(first) == len(set(pairs))
+    a, b, n = katz._distinct(h, w, np.ones(len(h), np.int64))
+    assert dict(zip(zip(a.tolist(), b.tolist(), strict=True), n.tolist(), strict=True)) == collections.Counter(zip(h.tolist(), w.tolist(), strict=True))
+    part = object.__new__(katz._Part)
+    order, first, number = katz.sorted_pairs(a, b)
+    part.h, part.w, part.number, part.gains = a[order], b[order], number, n[order].astype(float)
+    ask = [(np.uint64(i), np.uint64(j)) for i in range(32) for j in range(32)]
+    got = part.gain(*(np.array(x) for x in zip(*ask, strict=True)))
+    held = dict(zip(zip(a.tolist(), b.tolist(), strict=True), n.tolist(), strict=True))
+    assert got.tolist() == [float(held.get((int(i), int(j)), 0)) for i, j in ask]
+
+
+def test_frequent_words_get_their_ranks():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 7, 5000):
+        words = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64) | katz.TOP)
+        rng.shuffle(words)
+        ranks = katz.Ranks.of(words, np.ones(len(words), np.int64), 3, 4, 100)
+        others = rng.integers(0, 1 << 62, 100).astype(np.uint64) | katz.TOP
+        assert (ranks.codes(words) == np.arange(len(words))).all() and (ranks.codes(others) == others).all()
