@@ -39,9 +39,9 @@ from postmill.sources.staging import stage, unstage
 
 LEAST = 1
 DISCOUNTED = 5
-FREQUENT = 1 << 19
+FREQUENT = 1 << 18
 #: Tokens that a task gathers before it ships them, and tokens of one part.
-GATHER = 2_000_000
+GATHER = 1_000_000
 PART = 4_000_000
 TOP = np.uint64(1 << 63)
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
@@ -257,7 +257,9 @@ def word_counts(texts: DataFrame, parts: int) -> DataFrame:
 def bigram_counts(texts: DataFrame, ranks: Ranks, least: int = LEAST) -> DataFrame:
     """One row per part: kept bigrams ``n`` packed as ``heads, runs, w, c``, and how many were ``seen`` 1, 2, ... times."""
 
-    def flush(h: np.ndarray, w: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def flush(pairs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        h, w = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        pairs.clear()
         order, first, _ = sorted_pairs(h, w)
         h, w, c = h[order[first]], w[order[first]], np.diff(np.append(first, len(order)))
         order, bounds = by_part(ranks.part(h, w), ranks.parts)
@@ -277,10 +279,10 @@ def bigram_counts(texts: DataFrame, ranks: Ranks, least: int = LEAST) -> DataFra
             pairs.append(ranks.bigrams(token, first))
             held += len(token)
             if held > GATHER:
-                yield from flush(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
-                pairs, held = [], 0
+                yield from flush(pairs)
+                held = 0
         if pairs:
-            yield from flush(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
+            yield from flush(pairs)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in key_chunks(batches, ["part"], 1):
@@ -551,6 +553,7 @@ def score(docs: DataFrame, model: KatzModel, key: str = "doc_id", text: str = "t
         def flush() -> Iterator[pa.RecordBatch]:
             h, w, doc = (np.concatenate([x[i] for x in held]) for i in range(3))
             ids = pa.concat_arrays([x[3] for x in held])
+            held.clear()
             texts = len(ids)
             ranked = w < _RANKS
             at, owner = w[ranked].astype(np.int64), doc[ranked]
