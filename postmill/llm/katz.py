@@ -42,7 +42,7 @@ DISCOUNTED = 5
 FREQUENT = 1 << 18
 #: Tokens that a task gathers before it ships them, and tokens of one part.
 GATHER = 1_000_000
-PART = 4_000_000
+PART = 2_000_000
 TOP = np.uint64(1 << 63)
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 _SECOND = np.uint64(0x9E3779B97F4A7C15)
