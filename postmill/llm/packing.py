@@ -10,16 +10,16 @@ tokens): running sums inside range partitions, plus one total per partition. Ids
 number, in one shuffle.
 
 Defined results: NULL counts as the empty text, which is one end token; equal texts share a key and are ordered
-by row number; repeated rows are packed each. An empty table gives no pieces.
+by row number; repeated rows are packed each, also those with one id or none. Very long texts are encoded whole, alone, and
+cut into as many sequences as they fill. Special tokens in a text are what the vocabulary's file makes of them. An empty
+table gives no pieces. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -27,95 +27,160 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.words import slices
+from postmill.llm.words import run_hash, slices, text_bytes
 from postmill.sources.staging import stage
 
 LENGTH = 2048
 END = 1
 BINS, DIMENSIONS, ORDER = 256, 4, 12
-#: Encoded parts that a worker remembers, the longest such part, and parts given to the tokenizer at once.
-REMEMBERED, LONGEST, TOGETHER = 800_000, 48, 2_000
-_SPACES = re.compile(r" (?:\s|$)")
+#: Encoded parts that a worker remembers, and parts given to the tokenizer at once.
+REMEMBERED, TOGETHER = 800_000, 2_000
+#: Bytes of text that are cut and put together at once.
+BYTES = 4 << 20
+# Signs after a space before which no text is cut: ASCII white space, and all that may begin other white space.
+_NO_CUT = np.zeros(256, bool)
+_NO_CUT[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 class Encoder:
     """Ids of whole texts, from the ids of their space-separated parts.
 
     The vocabulary's word pattern never joins what stands before a space with a sign after it, so a text may be
-    cut before every space that a non-space follows, and equal parts have equal ids.
+    cut before every space that a non-space follows, and equal parts have equal ids. A text that holds one of the
+    vocabulary's special tokens is one part: the tokenizer cuts at those first. Equal parts of a batch are found by hash,
+    compared as bytes, and looked up once; ids are gathered from one array.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end: int = END):
         # Tasks share the cores already; further threads would only hold memory.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.end = end
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         # Each sign of a byte-level token stands for one byte.
-        self.widths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        self.widths = np.zeros(size, np.int64)
         for token, number in self.tokenizer.get_vocab().items():
             self.widths[number] = len(token)
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _fresh(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of parts not met before. Parts with a leading space are encoded as one text, whose ids are then cut
+        self.old: tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray] | None = None
+        self._begin()
+
+    def _begin(self) -> None:
+        """An empty memory; its first entry is the end id."""
+        self.known: dict[bytes, int] = {}
+        self.pool, self.used = np.full(1 << 16, self.end, self.kind), 1
+        self.start, self.size, self.count = np.zeros(1 << 14, np.int64), np.ones(1 << 14, np.int64), 1
+
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """Put entries behind the others; the number of the first."""
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.count + len(sizes) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        first = self.count
+        self.pool[self.used:self.used + len(ids)] = ids
+        self.start[first:first + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.size[first:first + len(sizes)] = sizes
+        self.used += len(ids)
+        self.count += len(sizes)
+        return first
+
+    def _fresh(self, parts: list[bytes]) -> None:
+        """Encode parts not met before. Parts with a leading space are encoded as one text, whose ids are then cut
         where the tokens' bytes add up to the parts'; what the tokenizer returns is far larger than ids, so few at once."""
-        out = {}
-        spaced = [p for p in parts if p[:1] == " "]
+        alone = [p for p in parts if p[:1] != b" " or any(t in p for t in self.special)]
+        spaced = [p for p in parts if p[:1] == b" "]
+        if alone:
+            apart = set(alone)
+            spaced = [p for p in spaced if p not in apart]
         for begin in range(0, len(spaced), TOGETHER):
             some = spaced[begin:begin + TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.cumsum([len(p.encode()) for p in some])
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(some).decode()], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.cumsum([len(p) for p in some])
             cuts = np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1
-            raw, size = ids.astype(self.kind).tobytes(), self.kind.itemsize
-            out.update((p, raw[a * size:b * size]) for p, a, b in zip(some, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True))
-        for p in parts:
-            if p[:1] != " ":
-                out[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, self.kind).tobytes()
-        return out
-
-    @staticmethod
-    def parts(text: str) -> list[str]:
-        """The text's parts, each with its leading space."""
-        if not _SPACES.search(text) and "\0" not in text:
-            return text.replace(" ", "\0 ").split("\0")
-        raw = text.split(" ")
-        out = [raw[0]]
-        for p in raw[1:]:
-            if p and not p[0].isspace():
-                out.append(" " + p)
-            else:
-                out[-1] += " " + p
-        return out
-
-    def encode(self, texts: list[str], remembered: int = REMEMBERED) -> list[bytes]:
-        split = [self.parts(t) for t in texts]
-        if len(self.known) > remembered:  # what is met again moves on to the next generation
-            self.old, self.known = self.known, {}
-        known, old = self.known, self.old
-        extra: dict[str, bytes] = {}
-        fresh = set(filterfalse(known.__contains__, chain.from_iterable(split)))
-        again = fresh.intersection(old)
-        known.update((p, old[p]) for p in again)
-        fresh = list(fresh.difference(again))
-        for p, ids in self._fresh(fresh).items():
-            (known if len(p) <= LONGEST else extra)[p] = ids
-        if extra:
-            return [b"".join([known[p] if p in known else extra[p] for p in s]) for s in split]
-        return [b"".join(map(known.__getitem__, s)) for s in split]
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
+            first = self._add(ids.astype(self.kind), np.diff(cuts, prepend=0))
+            self.known.update(zip(some, range(first, first + len(some)), strict=True))
+        for p in alone:
+            ids = np.array(self.tokenizer.encode(p.decode(), add_special_tokens=False).ids, self.kind)
+            self.known[p] = self._add(ids, np.array([len(ids)]))
+
+    def numbers(self, parts: list[bytes], remembered: int = REMEMBERED) -> np.ndarray:
+        """Entry of each of the parts, which differ from each other."""
+        if len(self.known) > remembered or self.used > 8 * remembered:  # what is met again moves on to the next generation
+            self.old = self.known, self.pool, self.start, self.size
+            self._begin()
+        fresh = [p for p in parts if p not in self.known]
+        if fresh and self.old is not None:
+            known, pool, start, size = self.old
+            again = [p for p in fresh if p in known]
+            if again:
+                at = np.fromiter(map(known.__getitem__, again), np.int64, len(again))
+                first = self._add(pool[_ranges(start[at], size[at])], size[at])
+                self.known.update(zip(again, range(first, first + len(again)), strict=True))
+                fresh = [p for p in fresh if p not in known]
+        self._fresh(fresh)
+        return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+
+    def cuts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where parts begin."""
+        cut = np.zeros(len(data) + 1, bool)
+        cut[:-2] = (data[:-1] == 0x20) & ~_NO_CUT[data[1:]]
+        raw = data.tobytes()
+        for token in self.special:
+            found = raw.find(token)
+            while found >= 0:
+                text = int(np.searchsorted(at, found, "right")) - 1
+                cut[at[text]:at[text + 1]] = False
+                found = raw.find(token, max(found + 1, int(at[text + 1]) - len(token) + 1))
+        cut[at[:-1][np.diff(at) > 0]] = True
+        return np.flatnonzero(cut[:len(data)])
+
+    def encode(self, data: np.ndarray, at: np.ndarray, remembered: int = REMEMBERED) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id, one after the other, and how many each has."""
+        start = self.cuts(data, at)
+        end = np.append(start[1:], len(data)) if len(start) else start
+        _, first, which = np.unique(run_hash(data, start, end), return_index=True, return_inverse=True)
+        size = end - start
+        if len(start):
+            same = size[first][which] == size
+            inner = _ranges(start, size)
+            same &= np.logical_and.reduceat(data[inner] == data[np.minimum(_ranges(start[first][which], size), len(data) - 1)], np.cumsum(size) - size)
+            if not same.all():  # different parts with one hash
+                first, which = _by_bytes(data, start, end)
+        raw = data.tobytes()
+        number = self.numbers([raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)], remembered)[which]
+        # The end id is one more part of each text.
+        parts = np.searchsorted(start, at)
+        number = np.insert(number, parts[1:], 0)
+        sizes = self.size[number]
+        ids = self.pool[_ranges(self.start[number], sizes)]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        return ids, np.diff(bounds[parts + np.arange(len(at))])
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of several ranges."""
+    head = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(start - head, size)
+
+
+def _by_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    raw, known = data.tobytes(), {}
+    which = np.array([known.setdefault(raw[s:e], len(known)) for s, e in zip(start.tolist(), end.tolist(), strict=True)])
+    return np.unique(which, return_index=True)[1], which
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, end: int = END) -> Encoder:
     """One encoder per worker process and vocabulary."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, end) not in _encoders:
+        _encoders[path, end] = Encoder(path, end)
+    return _encoders[path, end]
 
 
 def hilbert_key(cells: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -160,21 +225,27 @@ def curve_keys(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return hilbert_key(np.minimum((place * (1 << ORDER)).astype(np.int64), (1 << ORDER) - 1))
 
 
+def _portions(ids: np.ndarray, counts: np.ndarray, texts: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    for a in range(0, len(counts), texts):
+        z = min(a + texts, len(counts))
+        yield ids[bounds[a]:bounds[z]], counts[a:z]
+
+
 def encoded(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", end: int = END,
             remembered: int = REMEMBERED) -> DataFrame:
     """``(row, key, curve, n, ids)``: the ids of each whole text with the end id, and its curve key."""
     schema = f"row long, {key} {docs.schema[key].dataType.simpleString()}, curve long, n long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
-        last = np.array([end], enc.kind).tobytes()
-        for batch in slices(batches, size=1 << 20):
-            ids = [x + last for x in enc.encode([t or "" for t in batch.column(2).to_pylist()], remembered)]
-            counts = np.fromiter(map(len, ids), np.int64, len(ids)) // enc.kind.itemsize
-            curve = curve_keys(np.frombuffer(b"".join(ids), enc.kind), counts)
+        enc = encoder(vocabulary, end)
+        for batch in slices(batches, size=BYTES):
+            ids, counts = enc.encode(*text_bytes(batch.column(2)), remembered)
+            curve = np.concatenate([curve_keys(i, c) for i, c in _portions(ids, counts)])
+            bounds = np.concatenate([[0], np.cumsum(counts)]) * enc.kind.itemsize
+            raw = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(bounds.astype("<i8")), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(curve), pa.array(counts), pa.array(ids, pa.binary())],
-                names=["row", key, "curve", "n", "ids"])
+                [batch.column(0), batch.column(1), pa.array(curve), pa.array(counts), raw.cast(pa.binary())], names=["row", key, "curve", "n", "ids"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key), F.col(text).alias("text"))
     return rows.mapInArrow(run, schema)

@@ -223,13 +223,15 @@ TRICKY = ["", " ", "  a", "a  b", "a \n b\n\n c ", "don't I'll 's", "x y  z",
           "日本語 テキスト ", "a" * 5000, " ".join(f"{i}" for i in range(3000)), "é ​ \U0001F600 \U0001F600", "\n \n", "a \u0085b"]
 
 
-def test_packed_pieces_hold_every_id_once(make_docs):
+@pytest.mark.parametrize("remembered", [packing.REMEMBERED, 3])
+def test_packed_pieces_hold_every_id_once(make_docs, remembered):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(vocabulary())
-    own.encode_special_tokens = True
-    texts = {i: t for i, t in enumerate([None, *TRICKY, *TRICKY[3:6]])}
-    rows = packing.pack(make_docs(texts), vocabulary(), length=64, with_ids=True).collect()
+    special = ["doc <|endoftext|> end", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y <|endoftext|", " <|endoftext|>", "a b " * 50 + "<|endoftext|>" + " c d" * 50]
+    texts = {i: t for i, t in enumerate([None, *TRICKY, *TRICKY[3:6], *special])}
+    assert own.encode(special[0], add_special_tokens=False).ids == [15390, 220, 50256, 886]
+    rows = packing.pack(make_docs(texts), vocabulary(), length=64, with_ids=True, remembered=remembered).collect()
     for i, t in texts.items():
         ids = np.array([*own.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
         pieces = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"])
@@ -246,6 +248,17 @@ def test_packed_pieces_hold_every_id_once(make_docs):
     assert packing.pack(make_docs({}), vocabulary()).count() == 0
 
 
+def test_encoder_keeps_parts_with_one_hash_apart(monkeypatch):
+    from tokenizers import Tokenizer
+
+    own, texts = Tokenizer.from_file(vocabulary()), [*TRICKY, *TRICKY]
+    raw = [t.encode() for t in texts]
+    monkeypatch.setattr(packing, "run_hash", lambda data, start, end: (end - start).astype(np.uint64))
+    ids, counts = packing.Encoder(vocabulary()).encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    want = [[*own.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_digest_columns(spark, sf_dir):
     from postmill.llm.queries import op8_pii
 
