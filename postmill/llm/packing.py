@@ -42,6 +42,74 @@ _NO_CUT = np.zeros(256, bool)
 _NO_CUT[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
+class _Memory:
+    """Ids of parts met before, found by hash and compared as bytes. Entry 0 is the end id."""
+
+    SLOTS = 21
+
+    def __init__(self, end: int, kind: np.dtype):
+        self.slots, self.entries = np.zeros((1 << self.SLOTS) + 4096, np.uint64), np.zeros((1 << self.SLOTS) + 4096, np.int32)
+        self.ids, self.used = np.full(1 << 16, end, kind), 1
+        self.start, self.size, self.count = np.zeros(1 << 14, np.int64), np.ones(1 << 14, np.int64), 1
+        self.bytes, self.written = np.zeros(1 << 16, np.uint8), 0
+        self.text, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    @staticmethod
+    def _room(x: np.ndarray, n: int) -> np.ndarray:
+        return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Put entries behind the others; their numbers."""
+        first, n = self.count, self.count + len(sizes)
+        self.ids = self._room(self.ids, self.used + len(ids))
+        self.start, self.size, self.text, self.length = (self._room(x, n) for x in (self.start, self.size, self.text, self.length))
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.start[first:n] = self.used + np.cumsum(sizes) - sizes
+        self.size[first:n] = sizes
+        self.used, self.count = self.used + len(ids), n
+        return np.arange(first, n)
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+
+    def remember(self, hashes: np.ndarray, entry: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        if not len(entry):
+            return
+        raw = data[_ranges(start, size)]
+        self.bytes = self._room(self.bytes, self.written + len(raw))
+        self.bytes[self.written:self.written + len(raw)] = raw
+        self.text[entry], self.length[entry] = self.written + np.cumsum(size) - size, size
+        self.written += len(raw)
+        at, left = self._slot(hashes), np.arange(len(entry))
+        while len(left):
+            _, first = np.unique(at, return_index=True)
+            free = first[self.slots[at[first]] == 0]
+            self.slots[at[free]], self.entries[at[free]] = hashes[left[free]], entry[left[free]]
+            keep = np.ones(len(left), bool)
+            keep[free] = False
+            keep &= (at + 1 < len(self.slots) - 1) & (self.slots[at] != hashes[left])  # a clash, or a full table: not remembered
+            left, at = left[keep], at[keep] + 1
+
+    def find(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Entry of each part, -1 where it is not known."""
+        out, left, at = np.full(len(hashes), -1, np.int64), np.arange(len(hashes)), self._slot(hashes)
+        while len(left):
+            held = self.slots[at]
+            hit = held == hashes[left]
+            out[left[hit]] = self.entries[at[hit]]
+            more = ~hit & (held != 0)
+            left, at = left[more], at[more] + 1
+        some = np.flatnonzero(out >= 0)
+        entry = out[some]
+        out[some[self.length[entry] != size[some]]] = -1
+        some = np.flatnonzero(out >= 0)
+        if len(some):
+            n = size[some]
+            same = data[_ranges(start[some], n)] == self.bytes[_ranges(self.text[out[some]], n)]
+            out[some[~np.logical_and.reduceat(same, np.cumsum(n) - n)]] = -1
+        return out
+
+
 class Encoder:
     """Ids of whole texts, from the ids of their space-separated parts.
 
@@ -65,64 +133,45 @@ class Encoder:
         self.widths = np.zeros(size, np.int64)
         for token, number in self.tokenizer.get_vocab().items():
             self.widths[number] = len(token)
-        self.old: tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray] | None = None
-        self._begin()
+        self.old: _Memory | None = None
+        self.memory = _Memory(end, self.kind)
 
-    def _begin(self) -> None:
-        """An empty memory; its first entry is the end id."""
-        self.known: dict[bytes, int] = {}
-        self.pool, self.used = np.full(1 << 16, self.end, self.kind), 1
-        self.start, self.size, self.count = np.zeros(1 << 14, np.int64), np.ones(1 << 14, np.int64), 1
-
-    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> int:
-        """Put entries behind the others; the number of the first."""
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while self.count + len(sizes) > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        first = self.count
-        self.pool[self.used:self.used + len(ids)] = ids
-        self.start[first:first + len(sizes)] = self.used + np.cumsum(sizes) - sizes
-        self.size[first:first + len(sizes)] = sizes
-        self.used += len(ids)
-        self.count += len(sizes)
-        return first
-
-    def _fresh(self, parts: list[bytes]) -> None:
-        """Encode parts not met before. Parts with a leading space are encoded as one text, whose ids are then cut
+    def _fresh(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, special: bool) -> np.ndarray:
+        """Entries of parts not met before. Parts with a leading space are encoded as one text, whose ids are then cut
         where the tokens' bytes add up to the parts'; what the tokenizer returns is far larger than ids, so few at once."""
-        alone = [p for p in parts if p[:1] != b" " or any(t in p for t in self.special)]
-        spaced = [p for p in parts if p[:1] == b" "]
-        if alone:
-            apart = set(alone)
-            spaced = [p for p in spaced if p not in apart]
+        out = np.zeros(len(start), np.int64)
+        alone = data[start] != 0x20
+        if special:
+            alone |= np.array([any(t in data[s:s + n].tobytes() for t in self.special) for s, n in zip(start.tolist(), size.tolist(), strict=True)], bool)
+        spaced = np.flatnonzero(~alone)
         for begin in range(0, len(spaced), TOGETHER):
             some = spaced[begin:begin + TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(some).decode()], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.cumsum([len(p) for p in some])
-            cuts = np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1
-            first = self._add(ids.astype(self.kind), np.diff(cuts, prepend=0))
-            self.known.update(zip(some, range(first, first + len(some)), strict=True))
-        for p in alone:
-            ids = np.array(self.tokenizer.encode(p.decode(), add_special_tokens=False).ids, self.kind)
-            self.known[p] = self._add(ids, np.array([len(ids)]))
-
-    def numbers(self, parts: list[bytes], remembered: int = REMEMBERED) -> np.ndarray:
+            text = data[_ranges(start[some], size[some])].tobytes().decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+            cuts = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum(size[some])) + 1
+            out[some] = self.memory.add(ids.astype(self.kind), np.diff(cuts, prepend=0))
+        for i in np.flatnonzero(alone).tolist():
+            ids = np.array(self.tokenizer.encode(data[start[i]:start[i] + size[i]].tobytes().decode(), add_special_tokens=False).ids, self.kind)
+            out[i] = self.memory.add(ids, np.array([len(ids)]))[0]
+        return out
+
+    def numbers(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray, remembered: int = REMEMBERED, special: bool = False) -> np.ndarray:
         """Entry of each of the parts, which differ from each other."""
-        if len(self.known) > remembered or self.used > 8 * remembered:  # what is met again moves on to the next generation
-            self.old = self.known, self.pool, self.start, self.size
-            self._begin()
-        fresh = [p for p in parts if p not in self.known]
-        if fresh and self.old is not None:
-            known, pool, start, size = self.old
-            again = [p for p in fresh if p in known]
-            if again:
-                at = np.fromiter(map(known.__getitem__, again), np.int64, len(again))
-                first = self._add(pool[_ranges(start[at], size[at])], size[at])
-                self.known.update(zip(again, range(first, first + len(again)), strict=True))
-                fresh = [p for p in fresh if p not in known]
-        self._fresh(fresh)
-        return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        if self.memory.count > remembered or self.memory.used > 8 * remembered:  # what is met again moves on to the next generation
+            self.old, self.memory = self.memory, _Memory(self.end, self.kind)
+        hashes = hashes | np.uint64(1)
+        out = self.memory.find(hashes, data, start, size)
+        fresh = np.flatnonzero(out < 0)
+        if len(fresh) and self.old is not None:
+            before = self.old.find(hashes[fresh], data, start[fresh], size[fresh])
+            again, before = fresh[before >= 0], before[before >= 0]
+            ids = self.old.ids[_ranges(self.old.start[before], self.old.size[before])]
+            out[again] = self.memory.add(ids, self.old.size[before])
+            self.memory.remember(hashes[again], out[again], data, start[again], size[again])
+            fresh = np.flatnonzero(out < 0)
+        out[fresh] = self._fresh(data, start[fresh], size[fresh], special)
+        self.memory.remember(hashes[fresh], out[fresh], data, start[fresh], size[fresh])
+        return out
 
     def cuts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where parts begin."""
@@ -141,26 +190,35 @@ class Encoder:
     def encode(self, data: np.ndarray, at: np.ndarray, remembered: int = REMEMBERED) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, one after the other, and how many each has."""
         start = self.cuts(data, at)
-        end = np.append(start[1:], len(data)) if len(start) else start
-        _, first, which = np.unique(run_hash(data, start, end), return_index=True, return_inverse=True)
-        size = end - start
-        if len(start):
-            same = size[first][which] == size
-            inner = _ranges(start, size)
-            same &= np.logical_and.reduceat(data[inner] == data[np.minimum(_ranges(start[first][which], size), len(data) - 1)], np.cumsum(size) - size)
-            if not same.all():  # different parts with one hash
-                first, which = _by_bytes(data, start, end)
-        raw = data.tobytes()
-        number = self.numbers([raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)], remembered)[which]
+        size = np.diff(np.append(start, len(data)))
+        hashes = run_hash(data, start, start + size)
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(start) and not _same(data, start, start[first][which], size, size[first][which]):  # different parts with one hash
+            first, which = _by_bytes(data, start, start + size)
+        special = any(t in data.tobytes() for t in self.special)
+        number = self.numbers(hashes[first], data, start[first], size[first], remembered, special)[which]
         # The end id is one more part of each text.
         parts = np.searchsorted(start, at)
         number = np.insert(number, parts[1:], 0)
-        sizes = self.size[number]
-        ids = self.pool[_ranges(self.start[number], sizes)]
+        sizes = self.memory.size[number]
+        ids = self.memory.ids[_ranges(self.memory.start[number], sizes)]
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         return ids, np.diff(bounds[parts + np.arange(len(at))])
 
 
+def _same(data: np.ndarray, start: np.ndarray, other: np.ndarray, size: np.ndarray, other_size: np.ndarray) -> bool:
+    """Whether all pairs of parts are equal: sizes, then the first eight bytes, then the rest of longer ones."""
+    if (size != other_size).any():
+        return False
+    for i in range(8):
+        some = size > i
+        if not some.all():
+            start, other, size = start[some], other[some], size[some]
+        if (data[start + i] != data[other + i]).any():
+            return False
+    return bool((data[_ranges(start + 8, size - 8)] == data[_ranges(other + 8, size - 8)]).all())
+
+
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """All places of several ranges."""
     head = np.cumsum(size) - size
