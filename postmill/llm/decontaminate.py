@@ -10,8 +10,9 @@ blocks of at most ``BLOCK`` shingles, each sent to all tasks for one pass over t
 more passes, never a larger block. What a document shares with a candidate is then compared as text.
 
 Defined results: NULL, empty and shorter texts have no shingle, so they contain nothing, and items of fewer
-than five words are contained nowhere. Repeated item ids count as one item with all their shingles; repeated
-documents are all reported if their ids differ. Extra columns are ignored.
+than five words are contained nowhere. Repeated item ids, and items without one, count as one item with all their shingles. Every
+text is judged by itself: texts of one document id are told apart by a hash and each reported, equal rows once. Very long
+texts are read whole, alone. Empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -89,8 +90,8 @@ def _search(block: Block, key: str, kind: pa.DataType):
                 seen[(int(owner[i]), _shingle(words, raw, int(first[i])))] = None
             rows = list(seen)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.string())],
-                names=[key, "shingle"])
+                [*(batch.column(i).take(pa.array([r[0] for r in rows], pa.int64())) for i in (0, 2)), pa.array([r[1] for r in rows], pa.string())],
+                names=[key, "_content", "shingle"])
     return run
 
 
@@ -107,7 +108,7 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                                          "n_shared long, n_shingles long, containment double")
     blocks = max(1, -(-2 * total[0] // block))
     numbered = shingles.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
-    source = docs.select(F.col(key), F.col(text).alias("text"))
+    source = docs.select(F.col(key), F.col(text).alias("text"), F.xxhash64(text).alias("_content"))
     matches = None
     for b in range(blocks):
         rows = numbered.filter(F.col("block") == b).select("item", "hash").toArrow()
@@ -123,12 +124,12 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
         sketches = [np.unique(hashes[order][in_sketch & (size_class == c)]) for c in np.unique(size_class)]
         by_hash = np.argsort(hashes, kind="stable")
         run = _search(Block(sketches, hashes[by_hash], owners[by_hash]), key, None)
-        found = source.mapInArrow(run, f"{key} {kind.simpleString()}, shingle string")
+        found = source.mapInArrow(run, f"{key} {kind.simpleString()}, _content long, shingle string")
         matches = found if matches is None else matches.unionAll(found)
     verified = (
         matches.distinct().join(shingles.select("item", "shingle"), "shingle")
-        .groupBy(key, "item").agg(F.count("*").alias("n_shared"))
-        .join(sizes.withColumnRenamed("n", "n_shingles"), "item")
+        .groupBy(key, "_content", "item").agg(F.count("*").alias("n_shared"))
+        .join(sizes.select(F.col("item").alias("_item"), F.col("n").alias("n_shingles")), F.col("item").eqNullSafe(F.col("_item")))
         .withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
         .filter(F.col("n_shared") >= F.ceil(F.col("n_shingles") * share - 1e-9))
     )

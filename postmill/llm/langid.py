@@ -5,7 +5,10 @@ languages over its words: expectation-maximisation estimates the proportions, an
 the one whose likelihood, less a penalty for each further language, is highest.
 
 Defined results: a NULL text, or one without a letter, is ``und`` with score 0. Ties between languages go to
-the first in sorted order. If no language can be learned, every text is ``und``. Extra columns are ignored.
+the first in sorted order (beyond ``BLOCK`` languages: to the one with more text). Any number of languages may be learned; each takes
+128 KB in every worker. A mixture is made of languages of one block; of the blocks' mixtures the likeliest counts, less its
+penalty. If no language can be learned, every text is ``und``. Very long texts are read whole, alone; repeated rows, also
+those with one id and different texts, are judged each. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ from postmill.llm.words import LOWER, SPACED, find_words, slices, text_bytes
 
 BINS = 1 << 15
 ROUNDS = 6
-#: Largest model sent to the tasks: languages x bins.
-MOST = 256
+#: Languages that one text's mixture may be made of; more are tried in blocks, the best supported ones first.
+BLOCK = 256
 UNKNOWN = "und"
 _SPACE = np.uint8(32)
 
@@ -82,9 +85,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Language
 
     counted = rows.mapInArrow(count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     packed = counted.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"))
-    found = packed.orderBy("lang").limit(MOST + 1).collect()
-    if len(found) > MOST:
-        raise ValueError(f"more than {MOST} languages")
+    found = packed.orderBy("lang").collect()  # a row per language
+    if len(found) > BLOCK:
+        found.sort(key=lambda r: (-sum(b["n"] for b in r["bins"]), r["lang"]))
     if not found:
         return LanguageModel((), np.zeros((BINS, 0), np.float32))
     counts = np.zeros((BINS, len(found)))
@@ -119,13 +122,28 @@ def _mixture(like: np.ndarray, owner: np.ndarray, first: np.ndarray, allowed: np
     return share, fit_
 
 
-def proportions(data: np.ndarray, at: np.ndarray, model: LanguageModel) -> np.ndarray:
+def proportions(data: np.ndarray, at: np.ndarray, model: LanguageModel, block: int = BLOCK) -> np.ndarray:
     """Share of each language in each text; all 0 where a text has no word of letters."""
     bins, heads, owner, first = _grams(data, at)
     texts, kinds = len(at) - 1, len(model.names)
+    out = np.zeros((texts, kinds))
     if not len(heads) or not kinds:
-        return np.zeros((texts, kinds))
-    score = np.add.reduceat(model.log_p[bins], heads, axis=0).astype(np.float64)
+        return out
+    likeliest = np.full(texts, -np.inf)
+    for begin in range(0, kinds, block):
+        score = np.add.reduceat(model.log_p[bins, begin:begin + block], heads, axis=0).astype(np.float64)
+        share, value = _best_mixture(score, owner, first, model.penalty)
+        value = value + _sum_by(score.max(1), first)
+        better = value > likeliest
+        out[better] = 0
+        out[better, begin:begin + block] = share[better]
+        likeliest[better] = value[better]
+    return out
+
+
+def _best_mixture(score: np.ndarray, owner: np.ndarray, first: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """Shares and penalised log likelihood (less the words' own best) of each text's best set of languages."""
+    texts, kinds = len(first) - 1, score.shape[1]
     like = np.exp(score - score.max(1, keepdims=True))
     full, _ = _mixture(like, owner, first, np.ones((texts, kinds)))
     n_words = np.diff(first)
@@ -143,11 +161,11 @@ def proportions(data: np.ndarray, at: np.ndarray, model: LanguageModel) -> np.nd
         keep = np.repeat(open_, n_words)
         lengths = np.concatenate([[0], np.cumsum(n_words[rows])])
         share, fit_ = _mixture(like[keep], np.repeat(np.arange(len(rows)), n_words[rows]), lengths, allowed[rows])
-        value = fit_ - model.penalty * (size - 1) * np.log(n_words[rows] + 1.0)
+        value = fit_ - penalty * (size - 1) * np.log(n_words[rows] + 1.0)
         better = value > best_fit[rows]
         best[rows[better]], best_fit[rows[better]] = share[better], value[better]
         open_[rows[~better]] = False
-    return best
+    return best, best_fit
 
 
 def mark(docs: DataFrame, model: LanguageModel, prefix: str = "", text: str = "text") -> DataFrame:

@@ -34,9 +34,9 @@ LENGTH = 2048
 END = 1
 BINS, DIMENSIONS, ORDER = 256, 4, 12
 #: Encoded parts that a worker remembers, and parts given to the tokenizer at once.
-REMEMBERED, TOGETHER = 800_000, 2_000
+REMEMBERED, TOGETHER = 800_000, 500
 #: Bytes of text that are cut and put together at once.
-BYTES = 4 << 20
+BYTES = 1 << 19
 # Signs after a space before which no text is cut: ASCII white space, and all that may begin other white space.
 _NO_CUT = np.zeros(256, bool)
 _NO_CUT[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = True

@@ -12,7 +12,7 @@ Positions are code points. They come from splitting the text by the same pattern
 matches. Patterns have no repeated groups that recurse per sign, so very long runs are safe, and texts
 without a digit or an at sign are passed over at once.
 
-Defined results: NULL counts as empty and has no spans. Candidates that overlap a base span, or an earlier
+Defined results: NULL counts as empty and has no spans; an empty table gives no rows; repeated rows are judged each. Candidates that overlap a base span, or an earlier
 candidate, are dropped. Without candidates the classifier accepts nothing. Extra columns are kept, unless
 their names begin with ``_pii``.
 """
@@ -42,12 +42,15 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "local_phone": r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "person_number": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,128}(?![A-Za-z0-9_/+-])",
+    # In one piece, or in groups of four as it is printed.
+    "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+",
 }
-# Beginnings of issued keys, country codes of account numbers, words before personal data, and before other numbers.
+# Beginnings of issued keys, country codes of account numbers, area codes of large cities, words before personal
+# data, and before other numbers.
 KEY_STARTS = "AKIA|ASIA|ghp_|gho_|xox[bp]-|sk_live_|AIza|eyJ"
 COUNTRIES = "AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE"
+AREAS = "202|206|212|213|214|215|216|303|305|310|312|313|314|315|404|408|412|415|416|503|504|512|514|602|604|612|613|614|615|617|619|702|703|704|713|718|808|816|817|901|904|913|916|917|919"
 CUES = "token|password|passwd|secret|api.?key|access.?key|phone|tel|mobile|call|fax|ssn|social security|iban|account|konto|contact"
 MISLEADING = "isbn|issn|doi|version|order|invoice|page|commit|md5|sha1|sha256|checksum|article"
 BEFORE = 24
@@ -146,10 +149,12 @@ def _votes(s: Column) -> list[Column]:
     shape = F.when(secret, vote(value.rlike("^[0-9a-f]{18,}$") | value.rlike("^[A-Z0-9]{20}$"), ~letters)).when(
         kind == number("local_phone"), vote(value.rlike(r"^\([0-9]{3}\) "), value.rlike("^[01]"))).when(
         kind == number("person_number"), vote(~value.rlike("^(000|666|9)") & ~value.rlike("-00-|-0000$"), F.lit(True))).when(
-        kind == number("account"), vote(F.length(value).between(15, 34) & value.rlike("^[A-Z]{2}[0-9]{2}"), F.lit(False))).otherwise(-1)
+        kind == number("account"), vote(F.length(F.replace(value, F.lit(" "), F.lit(""))).between(15, 34) & value.rlike("^[A-Z]{2}[0-9]{2}"), F.lit(False))).otherwise(-1)
     known = F.when(secret, vote(value.rlike(f"^({KEY_STARTS})"), F.lit(False))).when(
         kind == number("account"), vote(value.rlike(f"^({COUNTRIES})"), F.lit(True))).when(
-        kind == number("local_phone"), vote(value.rlike("[ .-]555[ .-]"), F.lit(False))).otherwise(0)
+        kind == number("local_phone"), vote(
+            # The numbering plan gives no area or exchange that begins with 0 or 1, and none that ends with 11.
+            value.rlike(rf"^\(?({AREAS})\)?[ .-](?![2-9]11)[2-9]"), value.rlike(r"^\(?([01]|[2-9]11|[2-9]9)") | value.rlike(r"[ .-]([01][0-9]{2}|[2-9]11)[ .-]"))).otherwise(0)
     cue = vote(before.rlike(f"({CUES})"), F.lit(False))
     wrong = vote(F.lit(False), before.rlike(f"({MISLEADING})"))
     mixture = F.when(secret, vote(letters & digits & (F.size(F.array_distinct(F.split(value, ""))) >= 8), ~(letters & digits))).otherwise(0)

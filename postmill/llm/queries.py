@@ -128,12 +128,12 @@ _ATTRIBUTE = ("replace(trim(regexp_extract(tag, '(?is)\\s{name}\\s*=\\s*(\"[^\"]
 
 SQL = {
     "op10_decontamination": f"""
-WITH d AS (SELECT doc_id, {_PLAIN_WORDS} AS w FROM documents),
-ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM d),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_PLAIN_WORDS} AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
+ds AS (SELECT DISTINCT r, doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM d),
 b AS (SELECT item_id, {_PLAIN_WORDS} AS w FROM benchmark),
 bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM b),
 n AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id),
-j AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+j AS (SELECT r, doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY r, doc_id, item_id)
 SELECT doc_id, item_id, n_shared, n_shingles, n_shared / n_shingles AS containment
 FROM j JOIN n USING (item_id) WHERE n_shared >= ceil(n_shingles * 0.8 - 1e-9)""",
     "op12_ranking": f"""

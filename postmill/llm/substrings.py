@@ -14,8 +14,10 @@ third of all documents costs rows in proportion.
 Repeated anchors, those with different hulls, and windows that several hulls share, reach the later steps as filters
 of fixed size, which may pass too much, never too little; joins on the full hashes follow.
 
-Defined results: NULL and texts below ``length`` words lose nothing; repeats within one document stay; documents
-with equal keys count as one holder. Extra columns are ignored.
+Defined results: NULL, empty texts and those below ``length`` words lose nothing; repeats within one document stay. Rows
+with one key count as one holder, so nothing is removed on account of a row with the same key, but each row loses the
+windows of its own text only (texts of one key are told apart by a hash); rows without a key lose nothing. Equal rows have
+equal results. Very long texts are read whole, alone. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -89,7 +91,7 @@ def _anchors(docs: DataFrame, key: str, text: str, length: int, k: int) -> DataF
 
 
 def _hulls(docs: DataFrame, key: str, text: str, length: int, k: int, passing: np.ndarray, with_windows: bool = False) -> DataFrame:
-    """Occurrences of the anchors that pass: ``(anchor, hull, doc, lo, n[, windows])``."""
+    """Occurrences of the anchors that pass: ``(anchor, hull, doc, content, lo, n[, windows])``; ``content`` is the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -97,17 +99,17 @@ def _hulls(docs: DataFrame, key: str, text: str, length: int, k: int, passing: n
             if found is None or not len(found[2]):
                 continue
             words, word, anchor, hull, owner, lo, counts = found
-            out = [pa.array(anchor.view(np.int64)), pa.array(hull.view(np.int64)), batch.column(0).take(pa.array(owner)),
+            out = [pa.array(anchor.view(np.int64)), pa.array(hull.view(np.int64)), *(batch.column(i).take(pa.array(owner)) for i in (0, 2)),
                    pa.array(lo - words.first[owner]), pa.array(counts)]
             if with_windows:
                 begin = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lo, counts)
                 window = run_hash(word, begin, begin + length)
                 bounds = np.append(0, np.cumsum(counts)).astype(np.int32)
                 out.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(window.view(np.int64))))
-            yield pa.RecordBatch.from_arrays(out, names=["anchor", "hull", "doc", "lo", "n", "windows"][:len(out)])
+            yield pa.RecordBatch.from_arrays(out, names=["anchor", "hull", "doc", "content", "lo", "n", "windows"][:len(out)])
 
-    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(
-        run, "anchor long, hull long, doc long, lo long, n long" + (", windows array<long>" if with_windows else ""))
+    return docs.select(F.col(key), F.col(text).alias("text"), F.xxhash64(text).alias("content")).mapInArrow(
+        run, "anchor long, hull long, doc long, content long, lo long, n long" + (", windows array<long>" if with_windows else ""))
 
 
 def fixed_filter(rows: DataFrame, column: str, width: int = FILTER_BITS) -> np.ndarray:
@@ -139,7 +141,7 @@ def _passing_windows(content: DataFrame, passing: np.ndarray) -> DataFrame:
 
 
 def covered(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
-    """``(doc, runs)``: for each document with repeats, ``(lo, mask)`` entries; bit i of a mask is the window at word lo + i."""
+    """``(doc, content, runs)``: for each text with repeats, ``(lo, mask)`` entries; bit i of a mask is the window at word lo + i."""
     if length - k + 1 > 62:
         raise ValueError("the anchor may be at most 61 words shorter than the window")
     docs = docs.filter(F.col(key).isNotNull()).withColumn(key, F.col(key).cast("long"))
@@ -160,16 +162,17 @@ def covered(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     # A table of its own, so that the join with the occurrences is one that adaptive execution may split at hot hulls.
     known = stage(hulls.join(masks, ["anchor", "hull"], "left").filter("first < last OR mask IS NOT NULL"), "known-hulls")
     hit = seen.join(known, ["anchor", "hull"]).select(
-        "doc", "lo", F.when(F.col("first") < F.col("doc"), F.expr("shiftleft(1L, cast(n as int)) - 1")).otherwise(F.col("mask")).alias("mask"))
-    return hit.filter("mask <> 0").groupBy("doc").agg(F.collect_list(F.struct("lo", "mask")).alias("runs"))
+        "doc", "content", "lo", F.when(F.col("first") < F.col("doc"), F.expr("shiftleft(1L, cast(n as int)) - 1")).otherwise(F.col("mask")).alias("mask"))
+    return hit.filter("mask <> 0").groupBy("doc", "content").agg(F.collect_list(F.struct("lo", "mask")).alias("runs"))
 
 
 def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = ANCHOR,
            with_text: bool = False) -> DataFrame:
     """``(key, n_words, n_removed, kept_sha256[, kept_text])`` for every document."""
     runs = covered(docs, key, text, length, k)
-    whole = docs.select(F.col(key), F.col(text).alias("text"))
-    joined = whole.join(runs, whole[key] == runs["doc"], "left").select(key, "text", "runs.lo", "runs.mask")
+    whole = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    own = (F.col("_key") == F.col("doc")) & (F.xxhash64("_text") == F.col("content"))
+    joined = whole.join(runs, own, "left").select(F.col("_key").alias(key), F.col("_text").alias("text"), "runs.lo", "runs.mask")
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

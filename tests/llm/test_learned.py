@@ -68,6 +68,52 @@ def test_languages_mixtures_and_edges(make_docs, edge_texts):
     assert all(r["lang_pred"] != "und" for i, r in rows.items() if i in (3, 5, 7, 8))
 
 
+def test_mixtures_match_a_direct_search(make_docs):
+    """Shares and sets of each text against expectation-maximisation written out for one text at a time."""
+    rng = random.Random(5)
+    kinds = {"aa": "lorem ipsum dolor sit amet", "bb": "the of and to in that", "cc": "der die und das nicht ein"}
+    train = {10 * i + k: " ".join(rng.choice(v.split()) for _ in range(30)) for i, v in enumerate(kinds.values()) for k in range(3)}
+    model = langid.fit(make_docs(train, {i: list(kinds)[i // 10] for i in train}))
+    texts = {200 + i: " ".join(rng.choice(kinds[rng.choice(list(kinds)[:1 + i % 3])].split()) for _ in range(rng.randrange(1, 40))) for i in range(12)}
+    rows = {r["doc_id"]: r["langs"] for r in langid.identify(make_docs(texts), model).collect()}
+
+    def em(like, allowed):
+        share = [1 / len(allowed)] * len(allowed)
+        for _ in range(langid.ROUNDS):
+            parts = [[w[k] * s for k, s in zip(allowed, share)] for w in like]
+            share = [sum(p[j] / sum(p) for p in parts) / len(like) for j in range(len(allowed))]
+        return share, sum(math.log(sum(w[k] * s for k, s in zip(allowed, share))) for w in like)
+
+    for i, t in texts.items():
+        like = []
+        for word in t.split():
+            bins, _, _, _ = langid._grams(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word)]))
+            logs = model.log_p[bins].astype(float).sum(0)
+            like.append([math.exp(x - logs.max()) for x in logs])
+        order = sorted(range(3), key=lambda k: -em(like, [0, 1, 2])[0][k])
+        best, best_value = None, -math.inf
+        for size in (1, 2, 3):
+            share, value = em(like, order[:size])
+            value -= (size - 1) * math.log(len(like) + 1)
+            if value <= best_value:
+                break
+            best, best_value = dict(zip([model.names[k] for k in order[:size]], share)), value
+        assert set(rows[i]) == set(best) and all(abs(rows[i][k] - best[k]) < 1e-6 for k in best)
+
+
+def test_more_languages_than_a_block(make_docs):
+    rng = random.Random(9)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz"[k % 20:k % 20 + 6]) for _ in range(6))
+    texts = {i: " ".join([f"l{i:03d}x".replace("0", "q").replace("1", "w")] + [word(i) for _ in range(4)]) for i in range(300)}
+    texts |= {1000 + i: LATIN for i in range(4)} | {2000 + i: GREEK for i in range(4)}
+    langs = {i: f"v{i}" if i < 1000 else "la" if i < 2000 else "el" for i in texts}
+    model = langid.fit(make_docs(texts, langs))
+    assert len(model.names) == 302 and model.names[0] in ("la", "el")
+    rows = {r["doc_id"]: r for r in langid.identify(make_docs({**texts, 5000: LATIN, 5001: GREEK}), model).collect()}
+    assert rows[5000]["lang_pred"] == "la" and rows[5001]["lang_pred"] == "el"
+    assert sum(rows[i]["lang_pred"] == langs[i] for i in range(300)) > 200
+
+
 def test_no_language_learned(make_docs):
     model = langid.fit(make_docs({1: "text"}))
     assert [r["lang_pred"] for r in langid.identify(make_docs({1: "text"}), model).collect()] == ["und"]

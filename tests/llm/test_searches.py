@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from postmill.llm import decontaminate, licenses, packing, pii, vectors
 from postmill.llm.queries import vocabulary
@@ -155,6 +156,30 @@ def test_personal_data(make_docs, edge_texts):
     assert pii.annotate(make_docs({}), pii.fit(make_docs({}))).count() == 0
 
 
+def test_long_secrets_grouped_accounts_and_area_codes(make_docs):
+    long = "eyJ" + hashlib.sha256(b"x").hexdigest() * 3 + "Qz"
+    texts = {1: f"token {long} end", 2: "iban DE89 3704 0044 0532 0130 00 please", 3: "iban DE89370400440532013000 please", 4: "token " + "a1B2" * 20_000,
+             5: "phone 212 736 5000 now", 6: "order 911 111 0000 x"}
+    docs = make_docs(texts)
+    rows = {r["doc_id"]: [(texts[r["doc_id"]][m["start"]:m["end"]], pii.KINDS[m["kind"]]) for m in r["_pii_more"]] for r in pii.candidates(docs).collect()}
+    assert (long, "secret") in rows[1] and ("DE89 3704 0044 0532 0130 00", "account") in rows[2] and ("DE89370400440532013000", "account") in rows[3]
+    assert ("a1B2" * 20_000, "secret") in rows[4] and ("212 736 5000", "local_phone") in rows[5]
+    votes = {r["doc_id"]: r["votes"] for r in pii.candidates(docs).filter("doc_id >= 5").select(
+        "doc_id", F.array(*pii._votes(F.filter("_pii_more", lambda m: m["kind"] == pii.KINDS.index("local_phone"))[0])).alias("votes")).collect()}
+    assert votes[5][1] == 1 and votes[6][1] == -1
+    found = {r["doc_id"]: [pii.KINDS[x["kind"]] for x in r["spans"]] for r in pii.annotate(docs, pii.fit(docs)).collect()}
+    assert found[1] == ["secret"] and found[2] == ["account"] and found[3] == ["account"]
+
+
+def test_every_text_of_one_id_is_judged_by_itself(spark, make_docs):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda my"
+    words = item.split()
+    items = spark.createDataFrame([(1, item), (None, "one two three four five six")], "item_id long, text string")
+    docs = make_docs([(5, " ".join(words[:8])), (5, "x " + " ".join(words[4:])), (6, item), (6, "clean"), (None, item), (7, "one two three four five six"), (7, "one two three four five six")])
+    rows = [(r["doc_id"], r["item_id"], r["containment"]) for r in decontaminate.contained(docs, items).collect()]
+    assert sorted(rows, key=str) == sorted([(6, 1, 1.0), (None, 1, 1.0), (7, None, 1.0)], key=str)
+
+
 def test_reliabilities_follow_the_votes():
     votes = np.array([[1, 1, 0], [1, 1, 1], [-1, -1, 0], [-1, -1, 1], [1, -1, 0]])
     soft, chance = pii.estimate(votes, np.array([50.0, 5, 60, 5, 3]))

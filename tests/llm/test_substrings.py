@@ -48,3 +48,12 @@ def test_kept_text_and_empty_table(make_docs):
     rows = {r["doc_id"]: r["kept_text"] for r in substrings.dedupe(docs, with_text=True).collect()}
     assert rows[2] == "start" and rows[1] == " ".join(map(str, range(60)))
     assert substrings.dedupe(make_docs({})).count() == 0
+
+
+def test_texts_of_one_id_lose_their_own_words_only(make_docs):
+    passage = " ".join(f"p{i}" for i in range(60))
+    other = " ".join(f"o{i}" for i in range(80))
+    docs = make_docs([(1, passage), (2, f"x {passage}"), (2, other), (2, "short"), (2, f"x {passage}"), (None, passage), (3, other)])
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.dedupe(docs, with_text=True).collect())
+    assert got == sorted([("1", 60, 0, passage), ("2", 61, 60, "x"), ("2", 80, 0, other), ("2", 1, 0, "short"), ("2", 61, 60, "x"),
+                          ("None", 60, 0, passage), ("3", 80, 80, "")])
