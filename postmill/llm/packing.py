@@ -42,13 +42,16 @@ _NO_CUT = np.zeros(256, bool)
 _NO_CUT[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
+#: The lowest 0 to 8 bytes of a number.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
 class _Memory:
     """Ids of parts met before, found by hash and compared as bytes. Entry 0 is the end id."""
 
-    SLOTS = 21
-
-    def __init__(self, end: int, kind: np.dtype):
-        self.slots, self.entries = np.zeros((1 << self.SLOTS) + 4096, np.uint64), np.zeros((1 << self.SLOTS) + 4096, np.int32)
+    def __init__(self, end: int, kind: np.dtype, remembered: int = REMEMBERED):
+        self.bits = max(10, (2 * remembered).bit_length())
+        self.slots, self.entries = np.zeros((1 << self.bits) + 4096, np.uint64), np.zeros((1 << self.bits) + 4096, np.int32)
         self.ids, self.used = np.full(1 << 16, end, kind), 1
         self.start, self.size, self.count = np.zeros(1 << 14, np.int64), np.ones(1 << 14, np.int64), 1
         self.bytes, self.written = np.zeros(1 << 16, np.uint8), 0
@@ -70,7 +73,7 @@ class _Memory:
         return np.arange(first, n)
 
     def _slot(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def remember(self, hashes: np.ndarray, entry: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         if not len(entry):
@@ -134,7 +137,8 @@ class Encoder:
         for token, number in self.tokenizer.get_vocab().items():
             self.widths[number] = len(token)
         self.old: _Memory | None = None
-        self.memory = _Memory(end, self.kind)
+        self.memory = _Memory(end, self.kind, 0)
+        self.remembered = -1
 
     def _fresh(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, special: bool) -> np.ndarray:
         """Entries of parts not met before. Parts with a leading space are encoded as one text, whose ids are then cut
@@ -157,8 +161,10 @@ class Encoder:
 
     def numbers(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray, remembered: int = REMEMBERED, special: bool = False) -> np.ndarray:
         """Entry of each of the parts, which differ from each other."""
-        if self.memory.count > remembered or self.memory.used > 8 * remembered:  # what is met again moves on to the next generation
-            self.old, self.memory = self.memory, _Memory(self.end, self.kind)
+        if self.memory.count > remembered or self.memory.used > 8 * remembered or self.remembered != remembered:
+            # What is met again moves on to the next generation.
+            self.old, self.memory = self.memory, _Memory(self.end, self.kind, remembered)
+            self.remembered = remembered
         hashes = hashes | np.uint64(1)
         out = self.memory.find(hashes, data, start, size)
         fresh = np.flatnonzero(out < 0)
@@ -207,16 +213,16 @@ class Encoder:
 
 
 def _same(data: np.ndarray, start: np.ndarray, other: np.ndarray, size: np.ndarray, other_size: np.ndarray) -> bool:
-    """Whether all pairs of parts are equal: sizes, then the first eight bytes, then the rest of longer ones."""
+    """Whether all pairs of parts are equal: sizes, then the first eight bytes as one number, then the rest of longer ones."""
     if (size != other_size).any():
         return False
-    for i in range(8):
-        some = size > i
-        if not some.all():
-            start, other, size = start[some], other[some], size[some]
-        if (data[start + i] != data[other + i]).any():
-            return False
-    return bool((data[_ranges(start + 8, size - 8)] == data[_ranges(other + 8, size - 8)]).all())
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data),), "<u8", padded, 0, (1,))
+    if ((eight[start] ^ eight[other]) & _FIRST[np.minimum(size, 8)]).any():
+        return False
+    some = size > 8
+    start, other, size = start[some] + 8, other[some] + 8, size[some] - 8
+    return bool((data[_ranges(start, size)] == data[_ranges(other, size)]).all())
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
