@@ -16,6 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 2,000 rows or 16 MB, unless the session has bounds of its own.
+
+    Spark's are 10,000 rows of any size: with long texts each task would hold the same hundreds of MB in the JVM and in Python.
+    """
+    for name, value in (("maxRecordsPerBatch", "2000"), ("maxBytesPerBatch", "16m")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
+
+
 def fold(key: str, parts: int) -> Column:
     """``crc32(key as text) mod parts``: the same split at any size and in any order."""
     return F.crc32(F.col(key).cast("string")) % parts

@@ -28,6 +28,8 @@ BINS = 1 << 15
 ROUNDS = 6
 #: Languages that one text's mixture may be made of; more are tried in blocks, the best supported ones first.
 BLOCK = 256
+#: Bytes of text looked at together: each has a row of the model.
+TEXTS = 1 << 19
 UNKNOWN = "und"
 _SPACE = np.uint8(32)
 
@@ -68,7 +70,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in slices(batches):
+        for batch in slices(batches, size=TEXTS):
             bins, heads, _, first = _grams(*text_bytes(batch.column(0)))
             ends = np.append(heads, len(bins))
             bounds = ends[first]
@@ -177,7 +179,7 @@ def mark(docs: DataFrame, model: LanguageModel, prefix: str = "", text: str = "t
     at_text = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, TEXTS):
             column = batch.column(at_text)
             data, at = text_bytes(column)
             share = proportions(data, at, model)

@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE = 2 << 20
+#: Bytes whose words are hashed at a time; a longer word is hashed whole, alone.
+PART = 1 << 17
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 #: Bytes that separate words: space and the five ASCII line and tab signs.
@@ -32,7 +34,7 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64, and of its inverse."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        n = max(n, SLICE + 1)
+        n = max(PART, 1 << (n - 1).bit_length())
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(n, b, dtype=np.uint64)
@@ -82,7 +84,13 @@ class Words:
         return np.repeat(np.arange(self.texts), self.counts())
 
     def hashes(self) -> np.ndarray:
-        return run_hash(self.data, self.start, self.end)
+        """Hash of each word, part by part: running sums take many times the bytes they stand for."""
+        out = np.empty(len(self.start), np.uint64)
+        cuts = np.unique(np.searchsorted(self.start, np.arange(0, len(self.data) + PART, PART)))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            low = self.start[a]
+            out[a:b] = run_hash(self.data[low:self.end[b - 1]], self.start[a:b] - low, self.end[a:b] - low)
+        return out
 
     def bytes_of(self, text: int) -> list[bytes]:
         raw = self.data.tobytes() if self.texts == 1 else self.data[self.at[text]:self.at[text + 1]].tobytes()
@@ -146,7 +154,3 @@ def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(words.texts), counts)
     skipped = np.cumsum(counts) - counts
     return np.arange(len(owner)) - skipped[owner] + words.first[owner], owner
-
-
-def long_bytes(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)

@@ -44,3 +44,12 @@ def test_key_chunks_never_cut_a_key():
 
 def test_local_roots_are_smallest_reachable():
     assert local_roots(6, np.array([5, 4, 2]), np.array([4, 1, 3])).tolist() == [0, 1, 2, 2, 1, 1]
+
+
+def test_words_hash_alike_in_parts_and_at_once(monkeypatch):
+    texts = ["ab  c " * 40, None, "x" * 300, "", " c ab", "é " * 50]
+    found = words.texts_of(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"]))
+    whole = found.hashes()
+    monkeypatch.setattr(words, "PART", 16)
+    assert (found.hashes() == whole).all() and len(whole) == 40 * 2 + 1 + 2 + 50
+    assert len(words.texts_of(pa.RecordBatch.from_arrays([pa.array([None, ""], pa.string())], names=["text"])).hashes()) == 0
