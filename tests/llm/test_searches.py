@@ -236,6 +236,36 @@ def test_vectors_of_every_length_are_compared(spark, leaf):
     assert all(k == (v == c) for v, _, c, k in got)
 
 
+@pytest.mark.parametrize(("rows", "dim"), [(10**6, 64), (10**8, 64), (10**8, 16)])
+def test_copies_of_a_vector_are_bounded_and_pairs_meet(rows, dim):
+    rng = np.random.default_rng(9)
+    sample = vectors._unit(rng.normal(size=(vectors.SAMPLE, dim)))
+    x = vectors._unit(rng.normal(size=(1000, dim)))
+    aside = rng.normal(size=x.shape)
+    aside = vectors._unit(aside - (aside * x).sum(1, keepdims=True) * x)
+    y = 0.9 * x + math.sqrt(1 - 0.9**2) * aside  # pairs that just link
+    depth = math.ceil(math.log2(rows / vectors.LEAF))
+    forest = [vectors.grow(sample, rows, t) for t in range(vectors.trees_for(depth))]
+    met = np.zeros(len(x), bool)
+    for tree in forest:
+        assert len(tree.directions) == depth
+        (row, leaf), (row2, leaf2) = vectors.leaves(x, tree), vectors.leaves(y, tree)
+        assert len(row) < 6 * len(x)
+        one, two = set(zip(row.tolist(), leaf.tolist(), strict=True)), set(zip(row2.tolist(), leaf2.tolist(), strict=True))
+        met[[r for r, _ in one & two]] = True
+    assert met.mean() >= 0.95
+
+
+def test_leaves_do_not_depend_on_what_is_computed_together():
+    rng = np.random.default_rng(10)
+    sample, x = vectors._unit(rng.normal(size=(4000, 48))), rng.normal(size=(300, 48)).astype(np.float32)
+    forest = [vectors.grow(sample, 10**5, t) for t in range(2)]
+    row, code = vectors._codes(vectors._unit(x), forest, 20)
+    for i in range(0, 300, 7):
+        _, alone = vectors._codes(vectors._unit(x[i:i + 1]), forest, 20)
+        assert (alone == code[row == i]).all()
+
+
 def test_hilbert_neighbours_touch():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
     keys = packing.hilbert_key(cells, 3)
