@@ -27,7 +27,9 @@ def test_contained_items_match_brute_force(spark, make_docs, edge_texts, block):
     items = {i: " ".join(f"W{rng.randrange(40)}" for _ in range(n)) for i, n in enumerate([0, 3, 5, 6, 12, 30, 60, 60])}
     items[8] = None
     items[9] = items[5]
+    items[None] = " ".join(f"W{i}" for i in range(20, 34))
     texts = dict(edge_texts)
+    texts[99] = items[None] + " w1"
     for i in range(60):
         words = [f"w{rng.randrange(40)}" for _ in range(rng.randrange(300))]
         part = (items[i % 10] or "").split()
