@@ -34,7 +34,7 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64, and of its inverse."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        n = max(PART, 1 << (n - 1).bit_length())
+        n = -(-n // PART) * PART
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(n, b, dtype=np.uint64)
