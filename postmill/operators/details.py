@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -77,13 +78,30 @@ def meta_description(html: Column) -> Column:
     return F.when(html.contains("og:description"), F.nullif(text.decode_entities(value), F.lit("")))
 
 
+#: Bytes of bodies, and pages, whose results a worker holds at a time; a longer body stands alone.
+SLICE_BYTES, SLICE_PAGES = 1 << 20, 256
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Neighbouring pages of a batch, few enough to be held as Python objects."""
+    begin = held = 0
+    for at, size in enumerate(pc.fill_null(pc.binary_length(batch.column("body")), 0).to_pylist()):
+        if at > begin and (held + size > SLICE_BYTES or at - begin == SLICE_PAGES):
+            yield batch.slice(begin, at - begin)
+            begin, held = at, 0
+        held += size
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def parse_pages(pages: DataFrame, parsers: dict[str, tuple[Callable[[str], dict], T.StructType]],
                 keys: Sequence[str]) -> DataFrame:
     """Run the parser named by column ``kind`` on column ``body``; a NULL body is left alone.
 
     The result has the keys, one struct per parser (NULL for the others) and ``error``. A page
     that cannot be read gives an error, not a failed task. Arrow batches are bounded in bytes by
-    ``spark.sql.execution.arrow.maxBytesPerBatch``.
+    ``spark.sql.execution.arrow.maxBytesPerBatch``; of a batch a worker turns one slice after the other into Python
+    objects, so what it holds beside the batch does not grow with the number of its rows.
     """
     source = pages.select(*keys, "kind", "body")
     schema = T.StructType([
@@ -104,11 +122,12 @@ def parse_pages(pages: DataFrame, parsers: dict[str, tuple[Callable[[str], dict]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [parse_one(k, b) for k, b in zip(
-                batch.column("kind").to_pylist(), batch.column("body").to_pylist(), strict=True)]
-            parsed = pa.RecordBatch.from_pylist(rows, pa.schema(list(arrow)[len(keys):]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(k) for k in keys] + parsed.columns, schema=arrow)
+            for part in _slices(batch):
+                rows = [parse_one(k, b) for k, b in zip(
+                    part.column("kind").to_pylist(), part.column("body").to_pylist(), strict=True)]
+                parsed = pa.RecordBatch.from_pylist(rows, pa.schema(list(arrow)[len(keys):]))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(k) for k in keys] + parsed.columns, schema=arrow)
 
     return source.mapInArrow(parse, schema)
 
