@@ -51,9 +51,10 @@ def dedupe_first_wins(df: DataFrame, key: str, order_by: Sequence[str] = ("pos",
 def accept_by_key(batch: DataFrame, stored: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:
     """First row of each key that is not stored yet; rows whose key is NULL never collide.
 
-    The rank and the anti join use one partitioning by the key.
+    The rank and the anti join use one partitioning by the key. Stored keys are merged, never broadcast: a round that
+    sent what is stored to the driver would do so again and again.
     """
-    first = _first_of_each(batch, key, order_by).join(stored.select(key), key, "left_anti")
+    first = _first_of_each(batch, key, order_by).join(stored.select(key).hint("merge"), key, "left_anti")
     return first.select(*batch.columns).union(batch.filter(F.col(key).isNull()))
 
 

@@ -837,7 +837,8 @@ def accept_details(spark, sf):
 def _land(spark, sf, files_per_round=None, sites=()):
     """The feeds landed as JSON files in the shared folder, an empty store, and what runs rounds over them."""
     folder = f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
-    v.posting_batch(spark, sf).drop("id").withColumn("feed", F.col("source")).write.partitionBy("feed").json(f"{folder}/landed")
+    # As few files as their size allows, or the number of rounds would follow that of the tasks that wrote them.
+    v.posting_batch(spark, sf).drop("id").withColumn("feed", F.col("source")).hint("rebalance", "feed").write.partitionBy("feed").json(f"{folder}/landed")
     store = Store(spark, f"{folder}/store").init()
     urls = v.posting_batch(spark, sf).select(F.col("id").alias("page_id"), F.col("job_url").alias("url"))
     if sites:

@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from postmill.operators import details as det
+from postmill.operators import ingest
+from postmill.plans import catalog
 
 
 def test_a_worker_holds_few_pages_as_objects(spark):
@@ -23,3 +25,26 @@ def test_pages_of_all_slices_are_read(spark):
     pages = spark.range(0, n, 1, 1).select(F.col("id").alias("page_id"), F.when(F.col("id") % 5 > 0, html).alias("html"))
     found = {r.page_id: r.education for r in det.section_details(pages).select("page_id", "education").collect()}
     assert found == {i: str(i) if i % 5 else None for i in range(n)}
+
+
+def test_landing_writes_a_file_for_a_feed(spark, tmp_path):
+    """Not one for each feed and task, which would make the number of rounds follow the number of tasks."""
+    spark.range(0, 4000, 1, 16).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"),
+        F.concat(F.lit("src"), (F.col("id") % 20).cast("string")).alias("source"), F.lit(2).cast("long").alias("n_chars"),
+    ).write.option("parquet.block.size", 1024).parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        folder, _, _ = catalog._land(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "32m")
+    assert len(list(Path(folder.removeprefix("file:")).glob("landed/*/*.json"))) == 20
+
+
+def test_stored_urls_are_not_broadcast(spark, plan):
+    batch = spark.createDataFrame([(0, "t", "u"), (1, "t", "v")], "pos long, title string, job_url string")
+    accepted = ingest.accept_new(batch, spark.createDataFrame([("u",)], "job_url string"))
+    assert [r.job_url for r in accepted.collect()] == ["v"]
+    assert "SortMergeJoin" in plan(accepted) and "Broadcast" not in plan(accepted)
