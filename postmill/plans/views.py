@@ -154,7 +154,11 @@ def _script_string(c: Column) -> Column:
 
 
 def payload_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Single-page-site pages of the orders. Category, salary and text are passed as arguments."""
+    """Single-page-site pages of the orders. Category, salary and text are passed as arguments.
+
+    Orders are few bytes in the file and much work as pages, so they are dealt out first: their row groups are too few tasks.
+    """
+    columns = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority", "o_orderstatus"]
     price = F.floor("o_totalprice").cast("string")
     text = F.concat(
         F.lit("<p>Responsibilities for order "), F.col("o_orderkey").cast("string"),
@@ -167,7 +171,8 @@ def payload_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").cast("string"), F.lit("}}}}})({},"), _script_string(F.col("o_orderpriority")),
         F.lit(","), F.when(F.col("o_orderstatus") == "O", price).when(F.col("o_orderstatus") == "F", _script_string(F.lit(" by talk "))).otherwise("void 0"),
         F.lit(","), _script_string(text), F.lit("))</script></body></html>"))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
+    orders = table(spark, sf_dir, "orders").select(*columns).repartition(F.xxhash64(*columns))
+    return orders.select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
 
 
 def order_cards(spark: SparkSession, sf_dir: str, path: str = "/vacancies/", key: str = "o_orderkey") -> DataFrame:

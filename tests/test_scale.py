@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postmill.operators import details as det
 from postmill.operators import ingest
-from postmill.plans import catalog
+from postmill.plans import catalog, views
 
 
 def test_a_worker_holds_few_pages_as_objects(spark):
@@ -48,3 +48,8 @@ def test_stored_urls_are_not_broadcast(spark, plan):
     accepted = ingest.accept_new(batch, spark.createDataFrame([("u",)], "job_url string"))
     assert [r.job_url for r in accepted.collect()] == ["v"]
     assert "SortMergeJoin" in plan(accepted) and "Broadcast" not in plan(accepted)
+
+
+def test_orders_are_dealt_out_before_they_become_pages(spark, sf_dir, plan):
+    """However few row groups they have."""
+    assert "REPARTITION_BY_COL" in plan(views.payload_pages(spark, sf_dir))
