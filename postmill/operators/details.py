@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -22,7 +22,6 @@ from postmill.functions import text
 from postmill.functions.html_rows import loose_row, section_row
 from postmill.functions.numbers import first_compact_number, salary_span
 from postmill.functions.payload_rows import payload_row
-from postmill.operators.ingest import dedupe_first_wins
 from postmill.schemas import DETAIL_FIELDS
 from postmill.sources.staging import stage
 
@@ -294,19 +293,21 @@ def latest_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select("job_id", "job_url", "page_id", "html")
 
 
-def details_job(pending: DataFrame, pages: DataFrame, sites: Sequence[Site]) -> DataFrame:
-    """One row per pending posting of the sites: detail fields and ``status``.
-
-    ``ok`` means that a page was there and could be read, even if it held no field; ``no_page``
-    and ``error`` are failures.
-    """
+def _kind(sites: Sequence[Site]) -> Column:
     url = text.ascii_fold(F.col("job_url"))
-    kind = F.coalesce(*[F.when(url.contains(s.host.lower()), F.lit(s.kind)) for s in sites], F.lit(None).cast("string"))
-    wanted = pending.select(F.col("id").alias("job_id"), "job_url").withColumn("kind", kind)
-    wanted = wanted.filter(F.col("kind").isNotNull())
+    return F.coalesce(*[F.when(url.contains(s.host.lower()), F.lit(s.kind)) for s in sites], F.lit(None).cast("string"))
+
+
+def wanted_of(pending: DataFrame, sites: Sequence[Site]) -> DataFrame:
+    """``(job_id, job_url)`` of the pending postings of the sites."""
+    return pending.select(F.col("id").alias("job_id"), "job_url").filter(_kind(sites).isNotNull())
+
+
+def read_details(wanted: DataFrame, pages: DataFrame, sites: Sequence[Site]) -> DataFrame:
+    """``job_id``, detail fields and ``error`` of the newest usable page of each wanted posting."""
     html = F.col("html")
     payload = F.col("kind") == "payload"
-    bodies = latest_pages(pages, wanted).withColumn("kind", kind).select(
+    bodies = latest_pages(pages, wanted).withColumn("kind", _kind(sites)).select(
         "job_id", "kind", F.when(payload, meta_description(html)).alias("meta"),
         F.when(payload, payload_script(html)).otherwise(html).alias("body"))
     parsed = parse_pages(bodies, {"sections": (section_row, SECTION_RAW), "payload": (payload_row, PAYLOAD_RAW)},
@@ -314,16 +315,36 @@ def details_job(pending: DataFrame, pages: DataFrame, sites: Sequence[Site]) ->
     # Each page is of one kind, so the fields of the other kind are NULL throughout.
     by_section = with_section_fields(parsed).select(
         "job_id", "error", "meta", "payload", F.struct(*DETAIL_FIELDS).alias("_s"))
-    fields = with_payload_fields(by_section).select("job_id", "error", *[
+    return with_payload_fields(by_section).select("job_id", "error", *[
         F.coalesce(F.col(n), F.col("_s")[n]).alias(n) for n in DETAIL_FIELDS])
-    # Should a page have landed twice under one id, one of them counts, whichever way they come.
-    fields = dedupe_first_wins(fields, "job_id", ["error", F.xxhash64(*DETAIL_FIELDS)], unique_order=True)
-    return wanted.drop("kind").join(fields.withColumn("_read", F.lit(True)), "job_id", "left").select(
-        "job_id", "job_url", *DETAIL_FIELDS,
+
+
+def content() -> Column:
+    """Tells the fields of two pages apart."""
+    return F.xxhash64(*DETAIL_FIELDS)
+
+
+def outcomes(wanted: DataFrame, read: DataFrame, order: Column, columns: Sequence[str]) -> DataFrame:
+    """One row per wanted posting: ``columns`` of what was read for it, and ``status``.
+
+    ``ok`` means that a page was there and could be read, even if it held no field; ``no_page``
+    and ``error`` are failures. Should a page have landed twice under one id, one of them counts, whichever way they come.
+    Choosing that one and the join use one partitioning by id.
+    """
+    best = Window.partitionBy("job_id").orderBy("error", order)
+    first = read.filter(F.col("job_id").isNotNull()).withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") == 1)
+    return wanted.join(first.select("job_id", "error", *columns, F.lit(True).alias("_read")), "job_id", "left").select(
+        "job_id", "job_url", *columns,
         F.when(F.col("_read").isNull(), "no_page").when(F.col("error").isNotNull(), "error")
         .otherwise("ok").alias("status"))
 
 
+def details_job(pending: DataFrame, pages: DataFrame, sites: Sequence[Site]) -> DataFrame:
+    """One row per pending posting of the sites: detail fields and ``status`` (``outcomes``)."""
+    wanted = wanted_of(pending, sites)
+    return outcomes(wanted, read_details(wanted, pages, sites), content(), DETAIL_FIELDS)
+
+
 def extract_counts(extracted: DataFrame, accepted: DataFrame | None = None) -> DataFrame:
     """Extractions that were stored, and those that failed or were refused."""
     ok = F.count_if(F.col("status") == "ok")

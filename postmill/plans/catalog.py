@@ -18,7 +18,7 @@ from postmill.plans import views as v
 from postmill.plans.views import with_views
 from postmill.sources import readers
 from postmill.sources.readers import listings_from_payload, usable_page
-from postmill.sources.staging import create_once, shared_folder
+from postmill.sources.staging import COMPACT, create_once, shared_folder
 from postmill.sources.store import Store
 from postmill.streaming import rounds
 
@@ -842,8 +842,9 @@ def _land(spark, sf, files_per_round=None, sites=()):
     store = Store(spark, f"{folder}/store").init()
     urls = v.posting_batch(spark, sf).select(F.col("id").alias("page_id"), F.col("job_url").alias("url"))
     if sites:
-        pages = v.section_pages(spark, sf).drop("url").join(urls, "page_id")
-        pages.withColumns({"status": F.lit(200), "length": F.octet_length("html")}).repartition("page_id").write.parquet(f"{folder}/pages")
+        # The merge deals the pages out by id, so that a table of one row group is no single task.
+        pages = v.section_pages(spark, sf).drop("url").join(urls.hint("merge"), "page_id")
+        pages.withColumns({"status": F.lit(200), "length": F.octet_length("html")}).write.option("compression", COMPACT).parquet(f"{folder}/pages")
     else:
         spark.createDataFrame([], schemas.PAGE).write.parquet(f"{folder}/pages")
     settings = rounds.RoundSettings("chat", sites, WORDS, SITE_ROOT, source_folders={"lost": "feed=lost"})

@@ -19,6 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 _scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
+#: How rounds write what holds texts: it is written once and read once or twice, so size counts more than speed.
+COMPACT = "zstd"
+
+
 @functools.cache
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="postmill-")
@@ -34,14 +38,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder()
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
     """Write once, read back: cuts the lineage, survives lost executors, keeps columns prunable."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/staged/{name}-{uuid.uuid4().hex}"
     held = _scratch.get()
     if held is not None:
         held.append(path)
-    df.write.parquet(path)
+    (df.write.option("compression", COMPACT) if compact else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

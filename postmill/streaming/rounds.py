@@ -232,19 +232,24 @@ def _run_round(store: Store, landed: DataFrame, pages: DataFrame, settings: Roun
     posted = change.put("postings", new.withColumns({"created_at": now, "updated_at": now}), batch_id)
     fresh = store.folders("postings", [posted])
 
-    # Details. Extraction is the costly step, so its result is written once and used twice.
+    # Details. Extraction is the costly step, so its result is written once. What becomes of it is found on narrow rows, and
+    # the texts are moved once more, to their ids.
     pending = state.pending.unionAll(fresh.select("id", "job_url"))
+    wanted = det.wanted_of(pending, settings.sites)
+    texts = stage(det.read_details(wanted, pages, settings.sites).withColumns({
+        "_content": det.content(), "_page": F.monotonically_increasing_id()}), "details", compact=True)
     read = Observation()
-    extracted = stage(det.details_job(pending, pages, settings.sites).observe(
-        read, F.count(F.lit(1)).alias("all"), F.count_if(F.col("status") == "ok").alias("ok")), "details")
+    extracted = stage(det.outcomes(wanted, texts, F.col("_content"), ["_page"]).observe(
+        read, F.count(F.lit(1)).alias("all"), F.count_if(F.col("status") == "ok").alias("ok")), "detail-outcomes")
     detailed = {"rows": 0}
     if read.get["ok"]:
-        ready = extracted.filter(F.col("status") == "ok")
+        ready = extracted.filter(F.col("status") == "ok").select("job_id", "job_url", "_page")
         # A pending posting has no details under its id; under its URL an orphan may be left.
         taken = ingest.stored_keys(state.keys["detail_keys"], ready).select(F.lit(None).cast("long").alias("job_id"), "job_url")
-        accepted = ingest.ingest_details(ready.select("job_id", "job_url", *DETAIL_FIELDS), taken, paired=True)
+        accepted = ingest.ingest_details(ready, taken, paired=True)
         numbered = ingest.assign_ids(accepted, ["job_id"], store.highest_id("details", batch_id))
-        detailed = change.put("details", numbered.withColumn("scraped_at", now), batch_id)
+        whole = numbered.join(texts.select("_page", *DETAIL_FIELDS), "_page")
+        detailed = change.put("details", whole.withColumn("scraped_at", now), batch_id)
     else:
         change.drop("details", batch_id)
     details = store.folders("details", [detailed])
@@ -259,9 +264,11 @@ def _run_round(store: Store, landed: DataFrame, pages: DataFrame, settings: Roun
         "outcome": F.when(free, F.col("outcome")).otherwise("wait"), "mark": F.col("mark") & free})
     chosen = Observation()
     outcome = F.col("outcome")
-    selected = stage(matched.observe(
+    counted = matched.observe(
         chosen, F.count_if(outcome == "send").alias("send"), F.count_if(outcome == "skip").alias("skip"),
-        F.count_if((outcome == "skip") & ~F.col("mark")).alias("skip_no_details")), "selected")
+        F.count_if((outcome == "skip") & ~F.col("mark")).alias("skip_no_details"))
+    # What is done with is logged by its id; nobody needs its texts again.
+    selected = stage(counted.withColumns({n: F.when(~F.col("mark"), F.col(n)) for n in UNSENT.names if n in DETAIL_FIELDS}), "selected", compact=True)
     sent = selected.filter(outcome == "send")
     counts = chosen.get
     consumed = list(state.consumed)

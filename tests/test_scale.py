@@ -1,5 +1,7 @@
 """What keeps memory, traffic and the number of rounds from growing faster than the input."""
 
+import json
+import random
 from pathlib import Path
 
 import pyarrow as pa
@@ -8,6 +10,9 @@ from pyspark.sql import functions as F
 from postmill.operators import details as det
 from postmill.operators import ingest
 from postmill.plans import catalog, views
+from postmill.sources.staging import stage
+from postmill.sources.store import Store
+from postmill.streaming import rounds
 
 
 def test_a_worker_holds_few_pages_as_objects(spark):
@@ -53,3 +58,31 @@ def test_stored_urls_are_not_broadcast(spark, plan):
 def test_orders_are_dealt_out_before_they_become_pages(spark, sf_dir, plan):
     """However few row groups they have."""
     assert "REPARTITION_BY_COL" in plan(views.payload_pages(spark, sf_dir))
+
+
+def test_round_moves_texts_by_themselves(spark, tmp_path, monkeypatch):
+    """Details are deduped and numbered as narrow rows; their texts are joined to that."""
+    rng = random.Random(3)
+    store = Store(spark, str(tmp_path / "store")).init()
+    body = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ABCDEFGH0123456789") for _ in range(3000))
+    n = 300
+    spark.createDataFrame([(i, f"https://a.com/{i}", 200, f"<h3>Təsvir</h3><p>{body()}</p>") for i in range(n)],
+                          "page_id long, url string, status int, html string").write.parquet(str(tmp_path / "pages"))
+    (tmp_path / "landed").mkdir()
+    (tmp_path / "landed" / "a.json").write_text("\n".join(json.dumps(
+        {"source": "A", "pos": i, "title": f"t{i}" if i % 3 else "sql", "job_url": f"https://a.com/{i}"}) for i in range(n)))
+    seen = []
+
+    def watched(frame, name, *rest):
+        seen.append((name, frame.columns))
+        return stage(frame, name, *rest)
+
+    monkeypatch.setattr(ingest, "stage", watched)
+    rounds.start_rounds(store, rounds.landed_files(spark, str(tmp_path / "landed")), lambda: spark.read.parquet(str(tmp_path / "pages")),
+                        rounds.RoundSettings("chat", (det.Site("a.com", "sections"),), ("sql",)), str(tmp_path / "checkpoint")).awaitTermination()
+    assert [name for name, _ in seen] == ["ids", "ids"] and not any("description" in columns for _, columns in seen)
+    rows = store.read("details").orderBy("id").collect()
+    assert [r.id for r in rows] == list(range(1, n + 1)) == [r.job_id for r in rows] and all(len(r.description) > 2900 for r in rows)
+    assert {r.job_url for r in rows} == {f"https://a.com/{i}" for i in range(n)}
+    unsent = store.folders("unsent", [store.state(1)["unsent"]])
+    assert unsent.count() == 100 and unsent.filter("description IS NULL").count() == 0
