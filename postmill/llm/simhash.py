@@ -475,10 +475,13 @@ def _judge(rows: DataFrame, similar: float, far: int) -> DataFrame:
     return rows.select("component", "salt", "role", "doc", "sketch", "shingles").mapInArrow(run, "doc long, leader long")
 
 
-def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
+def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, similar: float = SIMILAR,
+               prints: DataFrame | None = None) -> DataFrame:
     """``(key, kept)``: each document to leave out, and the kept one whose shingle set is at least ``similar`` to its own.
 
-    Candidates come from SimHash codes joined over tries, in ``TABLES`` tables. In each group of candidates documents are
+    Candidates come from SimHash codes joined over tries, in ``TABLES`` tables, and with ``prints`` (``fingerprints`` of the
+    documents) also from the self-join of the fingerprints, as ``classes`` does it; both under the bound ``FAR`` on the
+    sketches, so that unlike texts do not chain to groups. In each group of candidates documents are
     taken by id: one similar (Jaccard of the shingle sets) to a leader is left out, else it leads. ``LEADERS`` documents of
     a group are settled among themselves per round, and all others, spread over tasks, are compared with these; who
     finds none goes on to the next round. So everything left out has a kept document that it was compared with, and
@@ -498,7 +501,13 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
                     names=["tab", "node", "code", "sketch"])
 
     codes = nodes.select("node", "sketch").mapInArrow(split, "tab int, node long, code long, sketch binary")
-    groups = components(links(codes, CODE_BITS, BUDGET, far=FAR))
+    near = links(codes, CODE_BITS, BUDGET, far=FAR)
+    if prints is not None:
+        # Texts of one shingle set may differ in their fingerprints, as these count repeats.
+        owned = found.join(nodes.select("same", "n", "node"), ["same", "n"]).select(key, "node", "sketch")
+        marked = prints.join(owned, key).groupBy("node", "fp").agg(F.first("sketch").alias("sketch"))
+        near = near.unionAll(links(marked.select(F.lit(0).alias("tab"), "node", F.col("fp").alias("code"), "sketch"), BITS, BUDGET, far=FAR))
+    groups = components(near)
     members = docs.join(groups.withColumnRenamed("id", key), key, "left_semi")
     sets = shingle_sets(members, key, text, k).join(nodes.select(F.col("node").alias(key), "sketch"), key)
     open_ = stage(sets.join(groups, F.col(key) == F.col("id")).select("component", F.col(key).alias("doc"), "sketch", "shingles").distinct(), "group-sets")

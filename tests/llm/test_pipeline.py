@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline as pipeline
+from postmill.llm import simhash
 from postmill.llm.queries import QUERIES, SQL
 
 
@@ -57,3 +58,19 @@ def test_empty_documents_pass_every_stage(spark, make_docs, sf_dir):
         docs = stage(spark, docs, sf_dir)
         assert docs.count() == 0
         docs = docs if "text" in docs.columns else make_docs({})
+
+
+def test_near_duplicates_take_the_links_of_the_fingerprints(spark, make_docs, sf_dir, monkeypatch):
+    """What op5 puts into one class is compared, also where none of the other codes meet."""
+    rng = random.Random(12)
+    words = [f"wort{rng.randrange(10 ** 5)}" for _ in range(800)]
+    texts = {0: " ".join(words), 50: " ".join(f"wort{rng.randrange(10 ** 5)}" for _ in range(300))}
+    for i in range(1, 13):
+        texts[i] = " ".join(words[:60 * i] + ["anders"] + words[60 * i + 1:])
+    docs = make_docs(texts)
+    together = {r["doc_id"] for r in simhash.classes(docs).filter("component_id = 0").collect()}
+    assert len(together) > 4 and 50 not in together
+    links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda codes, bits, *a, **k: links(codes if bits == simhash.BITS else codes.limit(0), bits, *a, **k))
+    kept = {r["doc_id"] for r in pipeline.near_duplicates(spark, docs, sf_dir).collect()}
+    assert kept & together == {0} and 50 in kept
