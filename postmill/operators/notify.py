@@ -92,10 +92,11 @@ def skipped_log(selected: DataFrame, at: Column) -> DataFrame:
 def apply_outcomes(outbox: DataFrame, results: DataFrame, at: Column) -> DataFrame:
     """Log rows for delivery results ``(job_id, ok, error)`` of messages in the outbox.
 
-    A job with several results counts as sent if any of them was good.
+    A job with several results counts as sent if any of them was good. The outbox is merged, never broadcast: its ids are
+    few bytes in the file and many in the driver.
     """
     best = results.groupBy("job_id").agg(F.max("ok").alias("ok"), F.max("error").alias("error"))
-    known = best.join(outbox.select("job_id"), "job_id", "left_semi")
+    known = best.join(outbox.select("job_id").hint("merge"), "job_id", "left_semi")
     return known.select(
         "job_id", F.when(F.col("ok"), mutate.SENT).otherwise(mutate.FAILED).alias("outcome"),
         F.when(~F.col("ok"), F.col("error")).alias("error"), at.alias("at"),

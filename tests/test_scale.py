@@ -8,10 +8,10 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from postmill.operators import details as det
-from postmill.operators import ingest
+from postmill.operators import ingest, notify
 from postmill.plans import catalog, views
 from postmill.sources.staging import stage
-from postmill.sources.store import Store
+from postmill.sources.store import Change, Store
 from postmill.streaming import rounds
 
 
@@ -55,6 +55,22 @@ def test_stored_urls_are_not_broadcast(spark, plan):
     assert "SortMergeJoin" in plan(accepted) and "Broadcast" not in plan(accepted)
 
 
+def test_delivery_is_not_broadcast(spark, tmp_path, plan, monkeypatch):
+    """Neither the outbox that results are held against nor the log that they are added to."""
+    store = Store(spark, str(tmp_path / "store")).init()
+    sent = spark.createDataFrame([(i, "chat", "text") for i in range(40)], "job_id long, chat_id string, message string")
+    store.append("outbox", sent.withColumn("rendered_at", F.current_timestamp()), 0)
+    plans, add = [], Change.add
+    monkeypatch.setattr(Change, "add", lambda change, name, rows, *rest: plans.append(plan(rows)) or add(change, name, rows, *rest))
+    results = spark.createDataFrame([(i, i % 3 > 0, None if i % 3 else "lost") for i in range(50)], "job_id long, ok boolean, error string")
+    for part in (0, 1, 0):
+        rounds.deliver(store, results.filter(F.col("job_id") % 2 == part), 0)
+    assert all("Broadcast" not in p for p in plans) and sum("SortMergeJoin" in p for p in plans) == 3
+    found = {(r.job_id, r.outcome, r.error) for r in store.read("delivery").collect()}
+    assert found == {(i, "sent", None) if i % 3 else (i, "failed", "lost") for i in range(40)} and store.read("delivery").count() == 40
+    assert "Broadcast" not in plan(notify.apply_outcomes(store.read("outbox"), results, F.current_timestamp()))
+
+
 def test_orders_are_dealt_out_before_they_become_pages(spark, sf_dir, plan):
     """However few row groups they have."""
     assert "REPARTITION_BY_COL" in plan(views.payload_pages(spark, sf_dir))
