@@ -432,60 +432,89 @@ def shingle_sets(docs: DataFrame, key: str, text: str, k: int = SHINGLE) -> Data
     return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("text")).mapInArrow(run, f"{key} long, shingles binary")
 
 
-def _judge(rows: DataFrame, similar: float, far: int) -> DataFrame:
-    """``(doc, leader)`` of each row of ``component, salt, role, doc, sketch, shingles``; NULL while no leader is similar.
+class _Leaders:
+    """Leaders of one group with their shingles, sorted, so that what a set shares with each of them is counted at once."""
+
+    def __init__(self, similar: float):
+        self.similar = similar
+        self.docs: list[int] = []
+        self.sizes = np.zeros(0, np.int64)
+        self.shingles, self.owners = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.new: list[tuple[int, np.ndarray]] = []
+
+    def add(self, doc: int, shingles: np.ndarray) -> None:
+        self.new.append((len(self.docs), shingles))
+        self.docs.append(doc)
+        self.sizes = np.append(self.sizes, len(shingles))
+
+    def _settle(self) -> None:
+        """The new leaders' shingles are sorted in among the others."""
+        every = np.concatenate([self.shingles, *(x for _, x in self.new)])
+        order = np.argsort(every, kind="stable")
+        self.owners = np.concatenate([self.owners, *(np.full(len(x), i, np.int32) for i, x in self.new)])[order]
+        self.shingles, self.new = every[order], []
+
+    def first(self, shingles: np.ndarray) -> int | None:
+        """The first leader whose set is similar to this one: every leader is compared, exactly."""
+        n = len(shingles)
+        fits = (self.similar * n - 1e-9 <= self.sizes) & (self.sizes <= n / self.similar + 1e-9)
+        if not fits.any():
+            return None
+        if len(self.new) > 16:
+            self._settle()
+        both = np.zeros(len(self.docs), np.int64)
+        for begin in range(0, n, 2048) if len(self.shingles) else ():
+            some = shingles[begin:begin + 2048]  # each at most once in a leader
+            lo, hi = np.searchsorted(self.shingles, some), np.searchsorted(self.shingles, some, side="right")
+            some = hi - lo
+            at = np.arange(some.sum()) + np.repeat(lo - (np.cumsum(some) - some), some)
+            both += np.bincount(self.owners[at], minlength=len(both))
+        for i, x in self.new:
+            if fits[i]:
+                both[i] = len(np.intersect1d(shingles, x, assume_unique=True))
+        hit = np.flatnonzero(fits & (both >= self.similar * (n + self.sizes - both) - 1e-9))
+        return self.docs[hit[0]] if len(hit) else None
+
+
+def _judge(rows: DataFrame, similar: float) -> DataFrame:
+    """``(doc, leader)`` of each row of ``component, salt, role, doc, shingles``; NULL while no leader is similar.
 
     Rows come sorted: the candidates for leaders of a group (role 0), then its other documents. A candidate that is
     similar to an earlier leader follows it, else it leads. One task holds the leaders of one group.
     """
 
-    def near(one: tuple, other: tuple) -> bool:
-        x, y = one[2], other[2]
-        if not similar * len(x) - 1e-9 <= len(y) <= len(x) / similar + 1e-9:
-            return False
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return both >= similar * (len(x) + len(y) - both) - 1e-9
-
-    def follow(one: tuple, leaders: list[tuple], signs: np.ndarray) -> int | None:
-        if not leaders:
-            return None
-        close = np.flatnonzero(np.bitwise_count(signs[:len(leaders)] ^ one[1]).sum(1) <= far)
-        return next((leaders[i][0] for i in close.tolist() if near(one, leaders[i])), None)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, leaders, signs = None, [], np.zeros((0, 1), np.uint64)
+        group, leaders = None, _Leaders(similar)
         for batch in slices(batches, "shingles", 1 << 20):  # a batch may hold very long sets
             docs, led = [], []
-            columns = [batch.column(i).to_pylist() for i in range(6)]
-            for component, salt, role, doc, sketch, shingles in zip(*columns, strict=True):
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            for component, salt, role, doc, shingles in zip(*columns, strict=True):
                 if (component, salt) != group:
-                    group, leaders = (component, salt), []
-                    signs = np.zeros((LEADERS, len(sketch) // 8), np.uint64)
-                one = (doc, np.frombuffer(sketch, np.uint64), np.frombuffer(shingles, np.uint64))
-                leader = follow(one, leaders, signs)
+                    group, leaders = (component, salt), _Leaders(similar)
+                own = np.frombuffer(shingles, np.uint64)
+                leader = leaders.first(own)
                 if role == 0 and leader is None:
                     leader = doc
-                    signs[len(leaders)] = one[1]
-                    leaders.append(one)
+                    leaders.add(doc, own)
                 if role == 1 or salt == 0:
                     docs.append(doc)
                     led.append(leader)
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(led, pa.int64())], names=["doc", "leader"])
 
-    return rows.select("component", "salt", "role", "doc", "sketch", "shingles").mapInArrow(run, "doc long, leader long")
+    return rows.select("component", "salt", "role", "doc", "shingles").mapInArrow(run, "doc long, leader long")
 
 
 def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, similar: float = SIMILAR,
-               prints: DataFrame | None = None) -> DataFrame:
+               alike: DataFrame | None = None) -> DataFrame:
     """``(key, kept)``: each document to leave out, and the kept one whose shingle set is at least ``similar`` to its own.
 
-    Candidates come from SimHash codes joined over tries, in ``TABLES`` tables, and with ``prints`` (``fingerprints`` of the
-    documents) also from the self-join of the fingerprints, as ``classes`` does it; both under the bound ``FAR`` on the
-    sketches, so that unlike texts do not chain to groups. In each group of candidates documents are
+    Groups of candidates are what ``alike`` (``classes`` of the documents) puts into one class, whole, and what SimHash codes
+    joined over tries, in ``TABLES`` tables, link beyond that. The bound ``FAR`` on the sketches holds for the codes alone, so that
+    unlike texts, of which many have one short code, do not chain to groups. In each group documents are
     taken by id: one similar (Jaccard of the shingle sets) to a leader is left out, else it leads. ``LEADERS`` documents of
     a group are settled among themselves per round, and all others, spread over tasks, are compared with these; who
-    finds none goes on to the next round. So everything left out has a kept document that it was compared with, and
-    no two pairs of a group are compared but with leaders. Texts without words are never duplicates.
+    finds none goes on to the next round. Every comparison is exact, none is skipped: everything left out has a kept document
+    that it was compared with, and no two that stay of a group are similar. Texts without words are never duplicates.
     """
     spark = docs.sparkSession
     found = stage(sketches(docs, key, text, k), "sketches")
@@ -502,15 +531,16 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
 
     codes = nodes.select("node", "sketch").mapInArrow(split, "tab int, node long, code long, sketch binary")
     near = links(codes, CODE_BITS, BUDGET, far=FAR)
-    if prints is not None:
-        # Texts of one shingle set may differ in their fingerprints, as these count repeats.
-        owned = found.join(nodes.select("same", "n", "node"), ["same", "n"]).select(key, "node", "sketch")
-        marked = prints.join(owned, key).groupBy("node", "fp").agg(F.first("sketch").alias("sketch"))
-        near = near.unionAll(links(marked.select(F.lit(0).alias("tab"), "node", F.col("fp").alias("code"), "sketch"), BITS, BUDGET, far=FAR))
+    if alike is not None:
+        # Texts of one shingle set may be of several classes, as fingerprints count repeats.
+        owned = found.join(nodes.select("same", "n", "node"), ["same", "n"]).select(key, "node")
+        marked = stage(alike.join(owned, key).select("component_id", "node").distinct(), "class-nodes")
+        least = marked.groupBy("component_id").agg(F.min("node").alias("a"))
+        near = near.unionAll(marked.join(least, "component_id").filter("node <> a").select("a", F.col("node").alias("b")))
     groups = components(near)
     members = docs.join(groups.withColumnRenamed("id", key), key, "left_semi")
-    sets = shingle_sets(members, key, text, k).join(nodes.select(F.col("node").alias(key), "sketch"), key)
-    open_ = stage(sets.join(groups, F.col(key) == F.col("id")).select("component", F.col(key).alias("doc"), "sketch", "shingles").distinct(), "group-sets")
+    sets = shingle_sets(members, key, text, k)
+    open_ = stage(sets.join(groups, F.col(key) == F.col("id")).select("component", F.col(key).alias("doc"), "shingles").distinct(), "group-sets")
     placed = None
     while not open_.isEmpty():
         sizes = open_.groupBy("component").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
@@ -521,10 +551,10 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
             "role", F.when(F.col("lead").isNull(), 1).otherwise(0))
         own = F.array(F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int"))
         dealt = roles.withColumn("salt", F.explode(F.when(F.col("role") == 0, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(own)))
-        judged = stage(_judge(dealt.repartition("component", "salt").sortWithinPartitions("component", "salt", "role", "doc"), similar, FAR), "judged")
+        judged = stage(_judge(dealt.repartition("component", "salt").sortWithinPartitions("component", "salt", "role", "doc"), similar), "judged")
         near = judged.filter("leader IS NOT NULL")
         placed = near if placed is None else placed.unionAll(near)
-        following = stage(open_.join(judged.filter("leader IS NULL"), "doc", "left_semi").select("component", "doc", "sketch", "shingles"), "group-sets")
+        following = stage(open_.join(judged.filter("leader IS NULL"), "doc", "left_semi").select("component", "doc", "shingles"), "group-sets")
         drop_staged(spark, open_)
         open_ = following
     copies = found.join(nodes.select("same", "n", "node"), ["same", "n"]).select(F.col(key).alias("doc"), "node")

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline as pipeline
 from postmill.llm import simhash
 from postmill.llm.queries import QUERIES, SQL
@@ -74,3 +76,34 @@ def test_near_duplicates_take_the_links_of_the_fingerprints(spark, make_docs, sf
     monkeypatch.setattr(simhash, "links", lambda codes, bits, *a, **k: links(codes if bits == simhash.BITS else codes.limit(0), bits, *a, **k))
     kept = {r["doc_id"] for r in pipeline.near_duplicates(spark, docs, sf_dir).collect()}
     assert kept & together == {0} and 50 in kept
+
+
+def test_near_duplicates_compare_whole_classes(spark, make_docs, sf_dir):
+    """What op5 puts into one class is compared exactly, however far apart the other codes are."""
+    rng = random.Random(13)
+    texts = {}
+    for i in range(0, 400, 2):  # sets of four and five shingles, similar by 0.8; the repeats decide the fingerprint
+        a, b, c, x, y = (f"wort{rng.randrange(10 ** 6)}" for _ in range(5))
+        texts[i] = f"{' '.join([a, b, c] * 50)} {x}"
+        texts[i + 1] = f"{texts[i]} {y}"
+    found = {r["doc_id"]: np.frombuffer(r["sketch"], np.uint64) for r in simhash.sketches(make_docs(texts), "doc_id", "text").collect()}
+    far = [i for i in range(0, 400, 2) if np.bitwise_count(found[i] ^ found[i + 1]).sum() > simhash.FAR]
+    assert far
+    docs = make_docs({j: texts[j] for i in far for j in (i, i + 1)})
+    classes = {r["doc_id"]: r["component_id"] for r in simhash.classes(docs).collect()}
+    one = [i for i in far if classes[i] == classes[i + 1]]
+    assert one
+    kept = {r["doc_id"] for r in pipeline.near_duplicates(spark, docs, sf_dir).collect()}
+    assert set(one) <= kept and not kept & {i + 1 for i in one}
+
+
+def test_unlike_texts_of_a_class_stay(spark, make_docs, sf_dir, monkeypatch):
+    """Also where they are more than one round settles."""
+    monkeypatch.setattr(simhash, "LEADERS", 5)
+    rng = random.Random(14)
+    line = " ".join(["eins zwei drei"] * 200)
+    texts = {i: f"{line} {' '.join(f'wort{rng.randrange(10 ** 6)}' for _ in range(20))}" for i in range(12)}
+    texts |= {100 + i: f"{texts[i]} ende" for i in range(12)}
+    docs = make_docs(texts)
+    assert {r["component_id"] for r in simhash.classes(docs).collect()} == {0}
+    assert {r["doc_id"] for r in pipeline.near_duplicates(spark, docs, sf_dir).collect()} == set(range(12))

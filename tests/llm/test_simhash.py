@@ -148,3 +148,23 @@ def test_empty_table(make_docs):
 def test_majority_needs_more_than_half():
     one, two = np.uint64(1), np.uint64(3)
     assert simhash._majority(np.array([one, two], np.uint64), np.array([0]), np.array([2])).tolist() == [1]
+
+
+def test_leaders_are_compared_exactly():
+    rng = np.random.default_rng(4)
+    some = lambda n: np.sort(rng.choice(400, n, replace=False)).astype(np.uint64)
+    leaders, sets, met = simhash._Leaders(0.8), [], 0
+    for doc in range(300):
+        own = some(int(rng.integers(1, 12))) if doc % 3 else np.sort(np.append(sets[int(rng.integers(len(sets)))][1][1:] if sets else some(9), [1000 + doc])).astype(np.uint64)
+        want = next((d for d, x in sets if len(np.intersect1d(own, x)) >= 0.8 * len(np.union1d(own, x)) - 1e-9), None)
+        assert leaders.first(own) == want
+        met += want is not None
+        if want is None:
+            leaders.add(doc, own)
+            sets.append((doc, own))
+    assert met and len(sets) > 50
+    long = np.arange(10_000, 15_000, dtype=np.uint64)
+    leaders.add(-1, long)
+    for doc in range(300, 320):
+        leaders.add(doc, some(20))
+    assert leaders.first(long[100:]) == -1 and leaders.first(long[2000:]) is None
